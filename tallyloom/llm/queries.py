@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import exact, mixing, simhash, urlfilter
+from tallyloom.llm import exact, media, mixing, packing, quality, secret_scan, simhash, substring_dedup, toxicity, urlfilter
 from tallyloom.llm.common import documents, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.drop_repeated_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), "n_removed_words")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -23,16 +29,44 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "text", "copy", "copies", "mix_key")
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_quality_bytenet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_documents(documents(spark, sf_dir)))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_toxicity_chain": op5_toxicity_chain,
+    "op6_quality_bytenet": op6_quality_bytenet,
     "op7_url_filters": op7_url_filters,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_media_columns": op10_media_columns,
 }
 
 _TARGET_ROWS = ", ".join(f"('{s}', {w!r}::DOUBLE)" for s, w in mixing.TARGETS.items())
