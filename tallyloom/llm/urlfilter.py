@@ -2,9 +2,10 @@
 
 The labels of a host in reverse, each closed by a low character, make the hosts under a rule's host one interval
 of keys; intervals of different rules are nested or apart. A sweep over the rules' end points keeps the
-stack of active rules and cuts the keys into segments, each with its stack. Urls and segment starts are
-sorted together over the cluster, and every url takes the last segment that began before it: in its
-partition, or else the last one of an earlier partition.
+stack of active rules and cuts the keys into segments, each with its stack. The distinct hosts and the segment
+starts are sorted together over the cluster, and every host takes the last segment that began before it: in its
+partition, or else the last one of an earlier partition. The rows themselves move once, to join the stack of
+their host; a host that has very many is a skewed join that Spark splits.
 """
 
 from __future__ import annotations
@@ -72,6 +73,25 @@ def _starts(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame
     return spark.createDataFrame(segments(rules), schema)
 
 
+def host_stacks(hosts: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """``host, stack`` for distinct hosts: the rules whose host is the host itself or above it, the widest first."""
+    key = F.concat(F.array_join(F.reverse(F.split("host", r"\.")), CLOSE), F.lit(CLOSE))
+    keys = hosts.select(key.alias("key"), F.lit(1).alias("is_host"), "host")
+    starts = _starts(hosts.sparkSession, rules).select("key", F.lit(0).alias("is_host"), F.struct("stack").alias("segment"))
+    both = keys.unionByName(starts, allowMissingColumns=True)
+    swept = both.repartitionByRange("key", "is_host").sortWithinPartitions("key", "is_host")
+    swept = written(swept.withColumn("part", F.spark_partition_id()), "swept")
+
+    tops = swept.groupBy("part").agg(F.max_by("segment", F.when(F.col("is_host") == 0, F.col("key"))).alias("last"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("part", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    here = Window.partitionBy("part").orderBy("key", "is_host").rowsBetween(Window.unboundedPreceding, 0)
+    found = swept.withColumn("own", F.last("segment", ignorenulls=True).over(here)).where("is_host = 1")
+    # One row for each partition of the sweep: as many as there are shuffle partitions, whatever the input.
+    found = found.join(F.broadcast(carried), "part")
+    return found.select("host", F.coalesce("own", "carried").getField("stack").alias("stack"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = DEFAULT) -> DataFrame:
     """The columns of ``pages`` and ``host, path, rule, verdict`` of every ``url``.
 
@@ -81,23 +101,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     ``://`` has an empty host and path. Repeated rows are each judged, and an empty table stays empty. Input columns
     named like the added ones give way.
     """
-    spark = pages.sparkSession
     rows = with_row(pages, F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())
-    key = F.concat(F.array_join(F.reverse(F.split("host", r"\.")), CLOSE), F.lit(CLOSE))
-    urls = rows.select(key.alias("key"), F.lit(1).alias("is_url"), "tie", "row", "host", "path")
-    starts = _starts(spark, rules).select("key", F.lit(0).alias("is_url"), F.lit(0).cast("long").alias("tie"), F.struct("stack").alias("segment"))
-    both = urls.unionByName(starts, allowMissingColumns=True)
-    swept = both.repartitionByRange("key", "is_url", "tie").sortWithinPartitions("key", "is_url", "tie")
-    swept = written(swept.withColumn("part", F.spark_partition_id()), "swept")
-
-    tops = swept.groupBy("part").agg(F.max_by("segment", F.when(F.col("is_url") == 0, F.col("key"))).alias("last"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select("part", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    here = Window.partitionBy("part").orderBy("key", "is_url", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = swept.withColumn("own", F.last("segment", ignorenulls=True).over(here)).where("is_url = 1")
-    # One row for each partition of the sweep: as many as there are shuffle partitions, whatever the input.
-    found = found.join(F.broadcast(carried), "part").withColumn("stack", F.coalesce("own", "carried").getField("stack"))
+    hosts = rows.select("host").distinct()
+    found = rows.join(host_stacks(hosts, rules).withColumnRenamed("host", "swept_host"), F.col("host") == F.col("swept_host"))
 
     def fits(r: Column) -> Column:
         below = (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))
