@@ -1,0 +1 @@
+"""Readers, contracts and sinks."""
