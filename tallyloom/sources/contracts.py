@@ -82,7 +82,7 @@ def authority_breaches(df: DataFrame, kind: str, source: str, allowed: list[tupl
     return df.where(~F.coalesce(may, F.lit(False)))
 
 
-def governed_breaches(df: DataFrame, source: str, fields: dict[str, tuple[str, ...]]) -> Column:
+def governed_breaches(source: str, fields: dict[str, tuple[str, ...]]) -> Column:
     """Names of non-empty fields that the row's source may not state."""
     found = [F.when((F.coalesce(F.col(f).cast("string"), F.lit("")) != "") & ~F.coalesce(F.col(source).isin(*who), F.lit(False)), F.lit(f)) for f, who in fields.items()]
     return F.filter(F.array(*found), lambda x: x.isNotNull())

@@ -1,0 +1 @@
+"""Structured Streaming over the same operators."""
