@@ -21,7 +21,7 @@ from tallyloom.llm.common import row_columns, text_of, with_row
 #: Labelled rows that the chain learns from, taken by a hash of their id.
 TRAIN_ROWS = 3000
 FOLDS = 5
-#: Texts that have a feature, deviations that its frequencies differ by, and features of a model.
+#: Texts that have a feature, deviations that it is more frequent by in the class, and features of a model.
 LEAST_TEXTS, LEAST_DEVIATION, MOST_FEATURES = 3, 4.0, 400
 RIDGE = 0.5
 #: Lengths of the word beginnings that are features beside whole words.
@@ -71,7 +71,10 @@ class Chain:
 
 
 def _select(present: list[np.ndarray], y: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
-    """Numbers of the features whose frequencies in the two classes differ clearly, among ``rows``."""
+    """Numbers of the features that are clearly more frequent in the class than out of it, among ``rows``.
+
+    Only what speaks for a category counts, so a text with no such word, an empty one too, is left alone.
+    """
     ones, zeros = rows[y[rows] == 1], rows[y[rows] == 0]
     if not len(ones) or not len(zeros):
         return np.empty(0, np.int64)
@@ -79,7 +82,7 @@ def _select(present: list[np.ndarray], y: np.ndarray, rows: np.ndarray, many: in
     in_zeros = np.bincount(np.concatenate([present[i] for i in zeros]), minlength=many)
     share = (in_ones + in_zeros) / len(rows)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(ones) + 1 / len(zeros)))
-    deviation = np.abs(in_ones / len(ones) - in_zeros / len(zeros)) / spread
+    deviation = (in_ones / len(ones) - in_zeros / len(zeros)) / spread
     deviation[in_ones + in_zeros < LEAST_TEXTS] = 0
     best = np.argsort(-deviation, kind="stable")[:MOST_FEATURES]
     return np.sort(best[deviation[best] >= LEAST_DEVIATION])
