@@ -96,10 +96,15 @@ def _run_batch(ids: list, places: list[int], hashes: list[bytes]) -> pa.RecordBa
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """``doc_id, places``: where runs begin that occurred before, for documents that have any."""
+    """``doc_id, places``: where runs begin that occurred before, for documents that have any.
+
+    The repeated runs are a table of their own, so both sides of the join come straight from shuffles and Spark
+    can split the part with a very common run over many tasks.
+    """
     table = written(run_table(docs), "runs")
-    first = table.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    again = table.join(first.select("hi", "lo", "first"), ["hi", "lo"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
+    counted = table.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    first = written(counted.where("n > 1").select("hi", "lo", "first"), "repeated")
+    again = table.join(first, ["hi", "lo"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     return again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
