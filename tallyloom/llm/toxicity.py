@@ -116,27 +116,45 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[int, set[str], dict[str, int]]], categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
+def _encoded(rows: Iterable[tuple[int, Iterable[str], dict[str, int]]]) -> tuple[list[str], list[np.ndarray], np.ndarray, list[dict[str, int]]]:
+    """Names of the features that enough rows have, their numbers in each row, and the rows' folds and labels.
+
+    Rows are taken one at a time and kept as numbers: the words of two rows are never held at once, nor a feature twice.
+    """
+    number: dict[str, int] = {}
+    of_word: dict[str, list[int]] = {}
+    present, folds, labels = [], [], []
+    for fold, words, label in rows:
+        own: set[int] = set()
+        for word in words:
+            if word not in of_word:
+                of_word[word] = [number.setdefault(f, len(number)) for f in sorted(features_of((word,)))]
+            own.update(of_word[word])
+        present.append(np.fromiter(own, np.int32, len(own)))
+        folds.append(fold)
+        labels.append(label)
+    counts = np.bincount(np.concatenate([*present, np.empty(0, np.int32)]), minlength=len(number))
+    names = sorted(f for f, i in number.items() if counts[i] >= LEAST_TEXTS)
+    place = np.full(len(number), -1, np.int64)
+    place[[number[f] for f in names]] = np.arange(len(names))
+    present = [np.sort(at[at >= 0]) for at in (place[ids] for ids in present)]
+    return names, present, np.array(folds, np.int64), labels
+
+
+def train(rows: Iterable[tuple[int, Iterable[str], dict[str, int]]], categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
     """A chain from (fold number, words, labels by category) of each row. Without rows every category is unlikely."""
+    names, present, fold, given = _encoded(rows)
     chain = Chain(categories)
-    if not rows:
+    if not given:
         chain.weights, chain.earlier, chain.intercepts = [{} for _ in categories], [[] for _ in categories], [-1.0 for _ in categories]
         return chain
-    held = [features_of(words) for _, words, _ in rows]
-    counts: dict[str, int] = {}
-    for features in held:
-        for f in features:
-            counts[f] = counts.get(f, 0) + 1
-    names = sorted(f for f, n in counts.items() if n >= LEAST_TEXTS)
-    number = {f: i for i, f in enumerate(names)}
-    present = [np.sort(np.fromiter((number[f] for f in features if f in number), np.int64)) for features in held]
-    fold = np.array([f % folds for f, _, _ in rows])
-    odds = np.zeros((len(rows), 0))
+    fold %= folds
+    odds = np.zeros((len(given), 0))
     for category in categories:
-        y = np.array([labels[category] for _, _, labels in rows])
-        unseen = np.zeros(len(rows))
+        y = np.array([labels[category] for labels in given])
+        unseen = np.zeros(len(given))
         for k in [*range(folds), None]:
-            seen = np.flatnonzero(fold != k) if k is not None else np.arange(len(rows))
+            seen = np.flatnonzero(fold != k) if k is not None else np.arange(len(given))
             rest = np.flatnonzero(fold == k) if k is not None else seen
             if not len(seen) or not len(rest):
                 continue
@@ -159,14 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     sample = known.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def words(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(words_of(t)) for t in texts])
+        return pd.Series([" ".join(sorted(words_of(t))) for t in texts], dtype=object)
 
     chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
     found = chosen.select("doc_id", "toxic", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("fold"), words("text").alias("words")).collect()
-    once = {r["doc_id"]: r for r in sorted(found, key=lambda r: (r["doc_id"], r["words"]), reverse=True)}
-    return train([(r["fold"], set(r["words"]), category_labels(set(r["words"]), r["toxic"])) for _, r in sorted(once.items())])
+    found.sort(key=lambda r: (r["doc_id"], r["words"]), reverse=True)
+    once = {r["doc_id"]: r for r in found}
+    del found
+    split = ((r["fold"], r["toxic"], r["words"].split()) for _, r in sorted(once.items()))
+    return train((fold, words_of_row, category_labels(set(words_of_row), toxic)) for fold, toxic, words_of_row in split)
 
 
 def _with_probabilities(rows: DataFrame, chain: Chain) -> DataFrame:
