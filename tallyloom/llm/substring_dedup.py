@@ -2,9 +2,10 @@
 
 Every run of consecutive sentences is hashed to 128 bits and grouped over the whole corpus. The
 first occurrence of a run, by ``doc_id`` and place, stays; the sentences of all others are cut out of
-their documents. A sentence ends at its terminator, at a line's end, or before a capitalised word, and a long
-one is cut every few words from its start (an exclamation mark repeated is emphasis and ends none), so a passage that was put in the middle of a sentence
-still falls into the same units in every document.
+their documents. A sentence ends at its terminator, at a line's end, or before a capitalised word (an exclamation
+mark repeated is emphasis and ends none). A long one is cut after every word whose hash is the least
+among its neighbours, so a passage that was put in the middle of a sentence falls into the same units
+in every document, but for a few words at its ends.
 """
 
 from __future__ import annotations
@@ -23,11 +24,29 @@ from tallyloom.llm.common import text_of, with_row, written
 #: A run is so many sentences, and goes on until it has so many words.
 RUN_SENTENCES = 3
 RUN_WORDS = 10
-#: A longer sentence is cut every so many words.
+#: A longer sentence is cut after words whose hash is the least among so many neighbours on either side.
 SENTENCE_WORDS = 12
+NEIGHBOURS = 2
 
 _BREAK = re.compile(r"\s+(?:(?<=[.?]\s)|(?<=[^!]!\s)|(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])|(?<=\n))|(?<=[。！？])")
-_PIECE = re.compile(r"\S+(?:\s+\S+){0,%d}" % (SENTENCE_WORDS - 1))
+_WORD = re.compile(r"\S+")
+
+
+def _pieces(text: str, at: int, stop: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Units of a long sentence. Where it is cut depends on the words near by, not on how many come before."""
+    import xxhash
+
+    spans = [(m.start(), m.end()) for m in _WORD.finditer(text, at, stop)]
+    words = [text[s:e] for s, e in spans]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8")) for w in words), np.uint64, len(words))
+    least = hashes.copy()
+    for k in range(1, NEIGHBOURS + 1):
+        np.minimum(least[k:], hashes[:-k], out=least[k:])
+        np.minimum(least[:-k], hashes[k:], out=least[:-k])
+    first = 0
+    for last in [*np.flatnonzero(hashes[:-1] == least[:-1]).tolist(), len(words) - 1]:
+        yield spans[first][0], spans[last][1], words[first : last + 1]
+        first = last + 1
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -38,7 +57,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     for stop, after in [*ends, (len(text), len(text))]:
         words = text[at:stop].split()
         if len(words) > SENTENCE_WORDS:
-            out += [(m.start(), m.end(), m.group().split()) for m in _PIECE.finditer(text, at, stop)]
+            out += _pieces(text, at, stop)
         elif words:
             out.append((at, stop, words))
         at = after

@@ -128,3 +128,18 @@ def test_runs_equal_brute_force(spark):
             seen.add(h)
     got = {r["doc_id"]: set(r["places"]) for r in substring_dedup.repeated_sentences(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
     assert got == want
+
+
+def test_passage_inside_long_sentences_is_cut_after_any_prefix(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    docs = {i: " ".join([*[word() for _ in range(20 + i)], *passage, *[word() for _ in range(30)]]) for i in range(12)}
+    got = {r["doc_id"]: r for r in substring_dedup.drop_repeated_spans(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
+    assert got[0]["text"] == docs[0]
+    for i in range(1, 12):
+        left = set(got[i]["text"].split())
+        assert sum(w in left for w in passage) <= 20
+        assert set(docs[i].split()) - set(passage) <= left
