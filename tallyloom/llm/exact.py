@@ -1,10 +1,12 @@
 """Exact dedup over an extendible-hash index that is kept as tables in the shared folder.
 
-The index has one entry for every distinct text: its 64-bit key, its SHA-256, its length, how
-many rows have it and the largest ``doc_id`` among them. A directory names the bucket of every
-leading-bits slot of the key: a bucket over its capacity is split by one bit more, and the directory
-has as many bits as its deepest bucket. Owner tasks take ranges of keys, chain the entries whose
-keys collide, and the bytes of all rows of an entry are compared before it may stand for them.
+Copies are merged where their bytes are equal: a group-by on the 64-bit key and the whole text, whose map side
+leaves one row for every text of a task, so a text that a third of all rows have moves once a task. What comes out
+are the index entries: key, length, SHA-256, how many rows have the text, and the ``doc_id`` that stays.
+
+A directory names the bucket of every leading-bits slot of the key: a bucket over its capacity is split by one bit more and
+the directory doubles, until every bucket fits. Owner tasks take ranges of buckets and chain the entries whose keys
+collide. A document finds its entry as in any such index: slot, bucket, key, and then its place in the chain.
 """
 
 from __future__ import annotations
@@ -14,14 +16,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import row_columns, text_of, with_row, written
+from tallyloom.llm.common import drop_written, row_columns, text_of, with_row, written
 
 #: Index entries that a bucket holds before it is split.
 BUCKET_ENTRIES = 8192
-#: Leading bits beyond the even split that the directory may need before a bucket stays overfull.
-SPARE_BITS = 4
-#: Parts into which the copies of one text are dealt while their bytes are compared.
-COMPARE_PARTS = 64
+KEY_BITS = 64
 
 
 def _text_key(text: Column) -> Column:
@@ -32,89 +31,97 @@ def _text_key(text: Column) -> Column:
 def _slot(key: Column, bits: int) -> Column:
     if bits == 0:
         return F.lit(0).cast("long")
-    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 64 - bits)
+    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), KEY_BITS - bits)
+
+
+def _slots(index: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """``slot, n`` at the bits to which the directory has to double: then no slot holds more than ``capacity`` entries.
+
+    Only a single key that has more entries than that stays together: no further bit can part them.
+    """
+    bits = min(KEY_BITS, math.ceil(math.log2(max(1.0, index.count() / capacity))))
+    while True:
+        slots = index.groupBy(_slot(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n"))
+        most = slots.agg(F.max("n")).first()[0] or 0
+        if most <= capacity or bits == KEY_BITS:
+            return slots, bits
+        bits = min(KEY_BITS, bits + max(1, math.ceil(math.log2(most / capacity))))
 
 
 def directory(index: DataFrame, capacity: int = BUCKET_ENTRIES) -> tuple[DataFrame, int]:
     """``slot, depth, bucket`` and the directory's bits, for an index with a column ``key``.
 
-    A bucket of depth d holds the keys with the same d leading bits. The bucket of a slot is the
-    shallowest that has at most ``capacity`` entries: what splitting overfull buckets and doubling the directory
-    as often as needed leads to.
+    A bucket of depth d holds the keys with the same d leading bits. The bucket of a slot is the shallowest that has at
+    most ``capacity`` entries: what splitting overfull buckets one bit at a time leads to.
     """
-    entries = index.count()
-    bits = min(30, max(0, math.ceil(math.log2(max(1, entries / capacity)))) + SPARE_BITS)
-    slots = index.groupBy(_slot(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n"))
+    slots, bits = _slots(index, capacity)
     depths = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-    prefix = F.call_function("shiftright", F.col("slot"), (F.lit(bits) - F.col("depth")).cast("int"))
-    loads = depths.withColumn("bucket", prefix)
+    prefix = F.call_function("shiftrightunsigned", F.col("slot"), (F.lit(bits) - F.col("depth")).cast("int"))
+    loads = depths.withColumn("bucket", F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(prefix))
     held = loads.groupBy("depth", "bucket").agg(F.sum("n").alias("load"))
     fits = loads.join(held, ["depth", "bucket"]).where((F.col("load") <= capacity) | (F.col("depth") == bits))
     best = fits.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("b"))
     return best.select("slot", F.col("b.depth").alias("depth"), F.col("b.bucket").alias("bucket")), bits
 
 
-def exact_index(docs: DataFrame, capacity: int = BUCKET_ENTRIES, key_of=_text_key) -> tuple[DataFrame, DataFrame]:
-    """The documents' entries ``doc_id, key, sha, n_rows`` and the index built on them.
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def exact_index(docs: DataFrame, capacity: int = BUCKET_ENTRIES, key_of=_text_key) -> tuple[DataFrame, DataFrame, int]:
+    """The index ``bucket, key, chain_place, n_bytes, sha, group_size, keep_id``, its directory, and that one's bits.
 
     ``key_of`` gives a text's key; a weaker one makes longer chains and the same groups.
     """
-    text = text_of()
-    keyed = docs.select(F.col("doc_id"), text.alias("text")).select(
-        "doc_id", key_of(F.col("text")).alias("key"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.octet_length("text").alias("n_bytes")
-    )
-    entries = written(keyed.groupBy("doc_id", "key", "sha", "n_bytes").agg(F.count("*").alias("n_rows")), "entries")
-    texts = written(
-        entries.groupBy("key", "sha", "n_bytes").agg(F.sum("n_rows").alias("group_size"), F.max("doc_id").alias("keep_id")), "texts"
-    )
-    slots, bits = directory(texts, capacity)
-    owned = texts.withColumn("slot", _slot(F.col("key"), bits)).join(slots, "slot").repartitionByRange("key")
+    texts = docs.select("doc_id", text_of().alias("text")).select("doc_id", key_of(F.col("text")).alias("key"), "text")
+    merged = texts.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    entries = merged.select("key", F.octet_length("text").alias("n_bytes"), _digest(F.col("text")).alias("sha"), "group_size", "keep_id")
+    entries = written(entries, "entries")
+    slots, bits = directory(entries, capacity)
+    slots = written(slots, "directory")
+    owned = entries.withColumn("slot", _slot(F.col("key"), bits)).join(slots, "slot").repartitionByRange("key")
     chain = Window.partitionBy("key").orderBy("n_bytes", "sha")
-    index = owned.withColumn("chain_place", F.row_number().over(chain)).sortWithinPartitions("bucket", "key", "chain_place")
-    return entries, written(index.select("bucket", "depth", "key", "chain_place", "sha", "n_bytes", "group_size", "keep_id"), "index")
-
-
-def _compared(docs: DataFrame, index: DataFrame, key_of=_text_key) -> DataFrame:
-    """``key, sha, same``: whether all rows of an entry of several rows have the same bytes."""
-    copies = index.where("group_size > 1").select("key", "sha")
-    texts = docs.select("doc_id", text_of().alias("text")).select(
-        key_of(F.col("text")).alias("key"),
-        F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(COMPARE_PARTS)).alias("part"),
-        "text",
-    )
-    member = texts.join(copies, ["key", "sha"])
-    parts = member.groupBy("key", "sha", "part").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    return parts.groupBy("key", "sha").agg((F.min("low") == F.max("high")).alias("same"))
+    again = (F.lag("sha").over(chain) == F.col("sha")) & (F.lag("n_bytes").over(chain) == F.col("n_bytes"))
+    chained = owned.select(
+        "bucket", "key", F.row_number().over(chain).alias("chain_place"), "n_bytes", "sha", "group_size", "keep_id",
+        F.coalesce(again, F.lit(False)).alias("again"),
+    )
+    # Entries differ in their bytes, so two with one digest would mix up their documents.
+    told = F.when(F.col("again"), F.raise_error(F.lit("two texts with one SHA-256 differ")).cast("int")).otherwise(F.col("chain_place"))
+    index = written(chained.withColumn("chain_place", told).drop("again").sortWithinPartitions("bucket", "key", "chain_place"), "index")
+    drop_written(entries)
+    return index, slots, bits
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = BUCKET_ENTRIES, key_of=_text_key) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every document of ``docs``.
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
 
-    Texts are equal when their bytes are; a null text counts as empty. Of equal texts the row with the
-    largest ``doc_id`` stays; a null ``doc_id`` stays only where no other row of the group has one. Rows that
-    repeat both ``doc_id`` and text are one document, give one row, and all count in ``group_size``. An
-    empty table gives an empty result. Should two texts with one SHA-256 differ, the query fails.
+    Texts are equal when their bytes are; a null text counts as empty. Of equal texts the row with the largest ``doc_id``
+    stays; a null ``doc_id`` stays only where no other row of the group has one. Rows that repeat both ``doc_id`` and
+    text each give a row, the same one, and each count in ``group_size``. An empty table gives an empty result. Should two
+    texts with one SHA-256 differ, the query fails.
     """
-    entries, index = exact_index(docs, capacity, key_of)
-    same = written(_compared(docs, index, key_of), "compared")
-    checked = index.join(same, ["key", "sha"], "left").select(
-        "key",
-        "sha",
-        F.when(F.col("same") == F.lit(False), F.raise_error(F.lit("two texts with one SHA-256 differ"))).otherwise(F.col("keep_id")).alias("keep_id"),
-        "group_size",
-    )
-    checked = written(checked, "checked")
-    joined = entries.join(checked, ["key", "sha"])
-    return joined.select(
+    index, slots, bits = exact_index(docs, capacity, key_of)
+    text = docs.select("doc_id", text_of().alias("text"))
+    probes = text.select("doc_id", key_of(F.col("text")).alias("key"), F.octet_length("text").alias("n_bytes"), _digest(F.col("text")).alias("sha"))
+    placed = probes.withColumn("slot", _slot(F.col("key"), bits)).join(slots.select("slot", "bucket"), "slot")
+    found = placed.join(index, ["bucket", "key", "n_bytes", "sha"])
+    return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for every distinct text, that of the largest ``doc_id``."""
-    stays = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays_id"), F.col("text_sha256").alias("stays_sha"))
-    rows = with_row(docs, F.col("doc_id").alias("key_id"), F.sha2(text_of().cast("binary"), 256).alias("key_sha"))
-    kept = rows.join(stays, F.col("key_id").eqNullSafe(F.col("stays_id")) & (F.col("key_sha") == F.col("stays_sha")), "left_semi")
-    kept = kept.dropDuplicates(["key_sha", "key_id"])
+    """``docs`` with one row for every distinct text, that of the largest ``doc_id``; of rows that repeat it, any one.
+
+    The rows move once, to the index entries that name them, and what repeats a ``doc_id`` there lies together already.
+    """
+    index, _, _ = exact_index(docs)
+    named = [F.col("keep_id").isNull().alias("no_id"), F.coalesce("keep_id", F.lit(0)).alias("the_id")]
+    stays = index.select("key", "n_bytes", "sha", *named)
+    text = text_of()
+    own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id")]
+    rows = with_row(docs, _text_key(text).alias("key"), F.octet_length(text).alias("n_bytes"), _digest(text).alias("sha"), *own)
+    at = ["key", "n_bytes", "sha", "no_id", "the_id"]
+    kept = rows.join(stays, at, "left_semi").dropDuplicates(at)
     return kept.select(*row_columns(kept))

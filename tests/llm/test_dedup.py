@@ -88,10 +88,29 @@ def test_exact_equals_brute_force(spark, weak):
 def test_exact_with_repeated_rows_and_none(spark):
     docs = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "b", 2)], "doc_id long, text string, key long")
     assert sorted(map(tuple, exact.drop_exact_duplicates(docs).collect())) == [(1, "a", 1), (2, "b", 2)]
-    assert {r["group_size"] for r in exact.exact_duplicates(docs).where("doc_id = 1").collect()} == {2}
+    assert [(r["group_size"], r["kept"]) for r in exact.exact_duplicates(docs).where("doc_id = 1").collect()] == [(2, True)] * 2
+    ids = spark.createDataFrame([(None, "a"), (None, "a"), (0, "b"), (None, "b"), (0, "c")], SCHEMA)
+    assert sorted(map(str, map(tuple, exact.drop_exact_duplicates(ids).collect()))) == ["(0, 'b')", "(0, 'c')", "(None, 'a')"]
     assert exact.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_with_one_text_in_half_the_rows(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN repeat('same ', 200) ELSE concat('own ', id) END AS text")
+    got = exact.exact_duplicates(docs, capacity=50).groupBy("keep_id", "group_size", "kept").count()
+    large = sorted((r["keep_id"], r["kept"], r["count"]) for r in got.where("group_size > 1").collect())
+    assert large == [(3998, False, 1999), (3998, True, 1)] and got.where("group_size = 1 AND kept").count() == 2000
+    assert exact.drop_exact_duplicates(docs).count() == 2001
+
+
+@pytest.mark.parametrize("bits", [0, 40, 62])
+def test_directory_doubles_until_crowded_keys_are_apart(spark, bits):
+    """Keys that share many leading bits need as many doublings."""
+    index = spark.range(300).select(F.expr(f"shiftleft(id, {max(0, 54 - bits)}) ^ (-1L << 63)").cast("long").alias("key"))
+    slots, deep = exact.directory(index, 16)
+    held = index.withColumn("slot", exact._slot(F.col("key"), deep)).join(slots, "slot").groupBy("depth", "bucket").count()
+    assert held.agg(F.max("count")).first()[0] <= 16 and held.agg(F.sum("count")).first()[0] == 300
+
+
 def test_buckets_split_until_they_fit(spark):
     index = spark.range(5000).select(F.xxhash64("id").alias("key"))
     slots, bits = exact.directory(index, 64)
