@@ -1,11 +1,10 @@
 """Substring dedup by sliding sentence spans: runs of sentences that occurred before are removed.
 
-Every run of consecutive sentences is hashed to 128 bits and grouped over the whole corpus. The
-first occurrence of a run, by ``doc_id`` and place, stays; the sentences of all others are cut out of
-their documents. A sentence ends at its terminator, at a line's end, or before a capitalised word (an exclamation
-mark repeated is emphasis and ends none). A long one is cut after every word whose hash is the least
-among its neighbours, so a passage that was put in the middle of a sentence falls into the same units
-in every document, but for a few words at its ends.
+Every run of consecutive sentences is hashed to 128 bits and grouped over the whole corpus. The first occurrence of a
+run, by ``doc_id``, text hash and place, stays; the sentences of all others are cut out of their documents. A sentence
+ends at a terminator before white space, or at a line's end. A long one is cut after every word whose hash is the least
+among its neighbours, so a passage that was put in the middle of a sentence falls into the same units in every
+document, but for a few words at its ends.
 """
 
 from __future__ import annotations
@@ -21,14 +20,16 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import text_of, with_row, written
 
-#: A run is so many sentences, and goes on until it has so many words.
+#: A run is so many sentences, and goes on until it has so many words: any passage of fifty words holds one.
 RUN_SENTENCES = 3
-RUN_WORDS = 10
+RUN_WORDS = 25
 #: A longer sentence is cut after words whose hash is the least among so many neighbours on either side.
 SENTENCE_WORDS = 12
 NEIGHBOURS = 2
+#: Runs that leave a task as one batch.
+RUN_BATCH = 50_000
 
-_BREAK = re.compile(r"\s+(?:(?<=[.?]\s)|(?<=[^!]!\s)|(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])|(?<=\n))|(?<=[。！？])")
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])")
 _WORD = re.compile(r"\S+")
 
 
@@ -88,43 +89,49 @@ def runs(text: str) -> Iterator[tuple[int, bytes]]:
         yield i, xxhash.xxh3_128_digest(b"".join(digests[i : i + n]))
 
 
+def _identity() -> list:
+    """``doc_id`` and a hash of the text: rows that share an id are told apart by it, null ids too."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash")]
+
+
 def run_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, hi, lo``: one row for every run of every document."""
+    """``doc_id, text_hash, place, hi, lo``: one row for every run of every document."""
 
     def of(batches):
         for batch in batches:
-            ids, places, hashes = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(runs(text.as_py()))
-                ids += [doc] * len(found)
-                places += [place for place, _ in found]
-                hashes += [h for _, h in found]
-                if len(ids) >= 50_000:
-                    yield _run_batch(ids, places, hashes)
-                    ids, places, hashes = [], [], []
-            yield _run_batch(ids, places, hashes)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(of, "doc_id long, place int, hi long, lo long")
-
-
-def _run_batch(ids: list, places: list[int], hashes: list[bytes]) -> pa.RecordBatch:
+            ids, texts, places, hashes = [], [], [], []
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for place, h in runs(text.as_py()):
+                    ids.append(doc)
+                    texts.append(text_hash)
+                    places.append(place)
+                    hashes.append(h)
+                    if len(ids) >= RUN_BATCH:
+                        yield _run_batch(ids, texts, places, hashes)
+                        ids, texts, places, hashes = [], [], [], []
+            yield _run_batch(ids, texts, places, hashes)
+
+    rows = docs.select(*_identity(), text_of().alias("text"))
+    return rows.mapInArrow(of, "doc_id long, text_hash long, place int, hi long, lo long")
+
+
+def _run_batch(ids: list, texts: list, places: list[int], hashes: list[bytes]) -> pa.RecordBatch:
     halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-    columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "hi", "lo"])
+    columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "place", "hi", "lo"])
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """``doc_id, places``: where runs begin that occurred before, for documents that have any.
+    """``doc_id, text_hash, places``: where runs begin that occurred before, for documents that have any.
 
     The repeated runs are a table of their own, so both sides of the join come straight from shuffles and Spark
     can split the part with a very common run over many tasks.
     """
     table = written(run_table(docs), "runs")
-    counted = table.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    counted = table.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first"))
     first = written(counted.where("n > 1").select("hi", "lo", "first"), "repeated")
-    again = table.join(first, ["hi", "lo"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    again = table.join(first, ["hi", "lo"]).where(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
+    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
 
 def _cut(text: str, places) -> tuple[str, list[dict], int]:
@@ -152,12 +159,14 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``removed`` lists the code-point spans of the original text that were cut, of sentences in a run of which there is
     an earlier occurrence, in this document or another. Null texts count as empty and come back empty. A text of fewer
-    words than a run keeps all. Rows that repeat a ``doc_id`` are one document and are cut alike; a null ``doc_id`` comes first
-    in the order. An empty table gives an empty result. Input columns named like the added ones give way.
+    sentences or words than a run keeps all, copies of it too. Rows that share a ``doc_id`` but not their text are
+    documents of their own; rows that repeat both are one document and come back alike. A null ``doc_id`` comes first in
+    the order. An empty table gives an empty result. Input columns named like the added ones give way.
     """
-    spans = repeated_sentences(docs)
-    rows = with_row(docs, F.col("doc_id").cast("long").alias("key_id"), text_of().alias("full_text"))
-    joined = rows.join(spans.withColumnRenamed("doc_id", "span_id"), F.col("key_id").eqNullSafe(F.col("span_id")), "left")
+    spans = repeated_sentences(docs).toDF("span_id", "span_hash", "places")
+    rows = with_row(docs, *[c.alias(f"key_{n}") for n, c in zip(("id", "hash"), _identity())], text_of().alias("full_text"))
+    same = F.col("key_id").eqNullSafe(F.col("span_id")) & (F.col("key_hash") == F.col("span_hash"))
+    joined = rows.join(spans, same, "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>, n_removed_words long")
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:

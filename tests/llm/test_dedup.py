@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 import xxhash
@@ -137,16 +138,32 @@ def test_runs_equal_brute_force(spark):
     import random
 
     rng = random.Random(2)
-    pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(5)).capitalize() + "." for _ in range(12)]
-    docs = {i: " ".join(rng.choice(pool) for _ in range(8)) for i in range(30)}
+    pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(9)).capitalize() + "." for _ in range(12)]
+    docs = [(i if i % 5 else None, " ".join(rng.choice(pool) for _ in range(8))) for i in range(40)]
+    short = "The river rises over the meadow in spring. It carries the boats away again! Nobody remembers a year without it.\nChildren wait on the bridge with poles. They count what drifts by below."
+    docs += [(7, "Unique words of one more row that has the number seven. Nothing in it comes twice at all. It has to stay whole, every word."), (7, short), (9, short), (9, short), (None, short), (50, ""), (50, None)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    hashes = [r["h"] for r in table.selectExpr("xxhash64(coalesce(text, '')) AS h").collect()]
+    order = sorted({(d is not None, d or 0, h, t or "") for (d, t), h in zip(docs, hashes)})
     seen, want = set(), {}
-    for i, t in sorted(docs.items()):
-        for place, h in substring_dedup.runs(t):
-            if h in seen:
-                want.setdefault(i, set()).add(place)
-            seen.add(h)
-    got = {r["doc_id"]: set(r["places"]) for r in substring_dedup.repeated_sentences(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
-    assert got == want
+    for has_id, d, _, t in order:  # the plain way: sentence by sentence, what was seen before goes
+        units = [u for line in t.split("\n") for u in re.split(r"(?<=[.!?])\s+", line) if u.strip()]
+        gone = set()
+        for i in range(len(units)):
+            n = next((n for n in range(3, len(units) - i + 1) if len(" ".join(units[i : i + n]).split()) >= substring_dedup.RUN_WORDS), None)
+            if n is None:
+                break
+            run = tuple(units[i : i + n])
+            if run in seen:
+                gone |= set(range(i, i + n))
+            seen.add(run)
+        want[d if has_id else None, t] = " ".join(u for k, u in enumerate(units) if k not in gone).split()
+    got = substring_dedup.drop_repeated_spans(table.withColumn("removed", F.lit(1)).withColumnRenamed("text", "Text"))
+    assert got.columns == ["doc_id", "Text", "removed", "n_removed_words"]
+    cleaned = substring_dedup.drop_repeated_spans(table.withColumn("before", F.col("text"))).collect()
+    assert len(cleaned) == len(docs)
+    for r in cleaned:
+        assert r["text"].split() == want[r["doc_id"], r["before"] or ""], r
 
 
 def test_passage_inside_long_sentences_is_cut_after_any_prefix(spark):
