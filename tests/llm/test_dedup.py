@@ -36,24 +36,27 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("pairwise", [simhash.PAIRWISE_LIST, 1])
-def test_simhash_equals_all_pairs(spark, pairwise):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+def test_simhash_equals_all_pairs(spark, block):
     base = "the quick brown fox jumps over the lazy dog and then it runs away from the very angry farmer of the town " * 4
     texts = {1: base, 2: base + "again", 3: base.upper(), 4: "", 5: None, 6: "one", 7: "One", 8: "wholly other words stand here and nothing else at all", 9: base.replace("fox", "cat"), 10: " \t\n", 11: "é ê è ü"}
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA), pairwise_list=pairwise).collect()}
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA), block=block).collect()}
     fps = {i: plain_fingerprint(t) for i, t in texts.items()}
     assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in fps.items()}
     least = reachable(texts, [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 3])
     assert {i: r["component_id"] for i, r in got.items()} == least
 
 
-@pytest.mark.parametrize("pairwise", [512, 2])
-def test_links_connect_all_within_three_bits(spark, pairwise):
+@pytest.mark.parametrize(("together", "block"), [(4, simhash.BLOCK), (4, 2), (3, 7), (2, 40), (1, 512)])
+def test_links_connect_all_within_three_bits(spark, together, block):
     import random
 
     rng = random.Random(1)
     fps = set()
-    for _ in range(30):
+    dense = rng.getrandbits(64)  # a crowd of near fingerprints, each a bit or two from another
+    for _ in range(120):
+        fps.add(dense := dense ^ (1 << rng.randrange(64)) ^ (rng.getrandbits(1) << rng.randrange(64)))
+    for _ in range(20):
         x = rng.getrandbits(64)
         fps.add(x)
         for _ in range(5):
@@ -61,7 +64,7 @@ def test_links_connect_all_within_three_bits(spark, pairwise):
                 x ^= 1 << b
             fps.add(x)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    pairs = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), pairwise)
+    pairs = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), together, block)
     got = {r["node"]: r["component"] for r in connected_components(pairs, "a", "b").collect()}
     want = reachable(signed, [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3])
     assert {f: got.get(f, f) for f in signed} == want
@@ -71,6 +74,12 @@ def test_keep_one_of_each_group_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "x"), (2, "a b c d e", "y"), (3, "quite another text", "z")], "doc_id long, text string, row string")
     assert sorted(map(tuple, simhash.keep_one_of_each_group(docs).collect())) == [(1, "a b c d e", "x"), (3, "quite another text", "z")]
     assert simhash.keep_one_of_each_group(docs.limit(0)).count() == 0
+    ids = spark.createDataFrame([(None, "a b c d e"), (None, "other words of one text"), (None, "other words of one text"), (3, "a b c d e"), (3, "a b c d e"), (3, "some third text stands here")], SCHEMA)
+    kept = sorted(map(str, map(tuple, simhash.keep_one_of_each_group(ids).collect())))
+    assert kept == ["(3, 'a b c d e')", "(3, 'some third text stands here')", "(None, 'other words of one text')"]
+    named = ids.selectExpr("doc_id", "text", "1 AS fp", "2 AS component_id", "3 AS text_hash")
+    assert simhash.keep_one_of_each_group(named).columns == named.columns and simhash.near_duplicates(named).count() == 6
+    assert simhash.near_duplicates(ids.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("weak", [False, True])
