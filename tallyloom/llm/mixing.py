@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions alone.
 
-The mean repetition rate of a source is what brings its share of characters to its target weight.
-A document's count of copies is the Poisson distribution with that mean, inverted at a uniform number hashed from
-its id: it depends on nothing but the id, the seed and the rate. Documents are exploded by their count and
-sorted by a hash of id and copy over the whole cluster.
+The mean repetition rate of a source is what brings its share of characters to its target weight. A document's count
+of copies is Poisson with that mean, inverted at uniform numbers hashed from its id: it depends on nothing but the
+id, the seed and the rate. A large mean is a sum of draws with means of ``DRAW_MEAN`` at most, which is Poisson again,
+so the distribution that is inverted has a few dozen steps whatever the rate. Documents are exploded by their count
+and sorted by a hash of id and copy over the whole cluster.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ OTHER = "*"
 #: Shares of characters that the mix aims at; together one.
 TARGETS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05, OTHER: 0.55}
 SEED = 20240229
-#: Sources that targets may name: each adds a branch and a table of the distribution to the plan.
+#: Sources that targets may name: each is a row of the table of rates, which is broadcast.
 MAX_TARGETS = 1000
+#: The largest mean that is inverted at one uniform number.
+DRAW_MEAN = 16.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -31,7 +34,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_cdf(mean: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until less than 2**-53 is left."""
+    """P(X <= k) for k = 0, 1, ... until less than 2**-53 is left. ``mean`` is at most ``DRAW_MEAN``."""
     if mean <= 0:
         return [1.0]
     out, total, k = [], 0.0, 0
@@ -45,8 +48,13 @@ def poisson_cdf(mean: float) -> list[float]:
     return out
 
 
+def draws_of(rate: float) -> int:
+    """How many draws of equal means up to ``DRAW_MEAN`` make up a rate."""
+    return max(1, math.ceil(rate / DRAW_MEAN))
+
+
 def rates(docs: DataFrame, targets: dict[str, float], epochs: float = 1.0) -> dict[str, float]:
-    """Mean repetitions of each target's documents; a target without characters gets rate zero.
+    """Mean repetitions of each target's documents; a target without characters gets rate zero and leaves its weight to the others.
 
     One aggregate with at most a group for each target comes to the driver.
     """
@@ -56,7 +64,7 @@ def rates(docs: DataFrame, targets: dict[str, float], epochs: float = 1.0) -> di
     pool = F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER))
     sizes = {r["pool"]: r["size"] for r in docs.groupBy(pool.alias("pool")).agg(F.sum(F.char_length(text_of())).alias("size")).collect()}
     total = sum(sizes.values())
-    weight = sum(targets.values())
+    weight = sum(w for s, w in targets.items() if sizes.get(s))
     return {s: (w / weight * total * epochs / sizes[s] if sizes.get(s) else 0.0) for s, w in targets.items()}
 
 
@@ -65,21 +73,25 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: int = SEED,
 
     ``targets`` gives shares of characters by source; sources it does not name share the weight of ``"*"``, or
     drop out where it has none. A null source belongs there, a null text has no characters. The result has
-    ``epochs`` times the characters of the input in expectation. Rows that repeat a ``doc_id`` are each copied as
-    often as the others. Input columns named like the added ones give way. An empty table stays empty.
+    ``epochs`` times the characters of the input in expectation, as long as a target has any. Rows that repeat a ``doc_id``
+    and those without one are each copied as often as the others. Input columns named like the added ones give way. An empty table stays empty.
     """
     mean = rates(docs, targets, epochs)
-    u = uniform(F.lit(seed), F.col("doc_id"))
+    known = [(s, draws_of(mean[s]), poisson_cdf(mean[s] / draws_of(mean[s]))) for s in targets]
+    table = docs.sparkSession.createDataFrame(known, "target string, draws int, cdf array<double>")
+    named = [s for s in targets if s != OTHER]
+    pool = F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER))
 
-    def inverted(rate: float) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_cdf(rate)]), lambda c: c <= F.col("u")))
+    def drawn(j: Column) -> Column:
+        u = uniform(F.lit(seed), F.col("id"), j)
+        return F.size(F.filter("cdf", lambda c: c <= u))
 
-    copies = F.lit(None).cast("int")
-    for source in targets:
-        if source != OTHER:
-            copies = F.when(F.col("pool") == source, inverted(mean[source])).otherwise(copies)
-    copies = F.coalesce(copies, inverted(mean.get(OTHER, 0.0)))
-    rows = with_row(docs, F.col("source").alias("pool"), F.col("doc_id").alias("id"), u.alias("u")).withColumn("copies", copies)
+    first = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    rest = F.aggregate(F.sequence(F.lit(2), F.col("draws")), F.lit(0), lambda n, j: n + drawn(j))
+    rows = with_row(docs, pool.alias("pool"), F.col("doc_id").alias("id"), uniform(F.lit(seed), F.col("doc_id")).alias("u"))
+    # The table has a row for each target, at most MAX_TARGETS.
+    rated = rows.join(F.broadcast(table), F.col("pool") == F.col("target"))
+    rows = rated.withColumn("copies", first + F.when(F.col("draws") > 1, rest).otherwise(F.lit(0)))
     repeated = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")).cast("binary")), 1, 16)
     ordered = repeated.withColumn("mix_key", key).withColumn("nth", F.monotonically_increasing_id()).orderBy("mix_key", "id", "copy", "nth")

@@ -84,21 +84,28 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": f"""
         WITH targets(pool, weight) AS (VALUES {_TARGET_ROWS}),
         pooled AS (
-            SELECT doc_id, source, text, CASE WHEN source IN (SELECT pool FROM targets WHERE pool <> '*') THEN source ELSE '*' END AS pool,
-                   CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+            SELECT row_number() OVER () AS nth, doc_id, source, text,
+                   CASE WHEN source IN (SELECT pool FROM targets WHERE pool <> '*') THEN source ELSE '*' END AS pool
             FROM documents
         ),
         sizes AS (SELECT pool, sum(length(coalesce(text, ''))) AS size FROM pooled GROUP BY pool),
-        means AS (
-            SELECT pool, weight / (SELECT sum(weight) FROM targets) * (SELECT sum(size) FROM sizes) / size AS mean
-            FROM targets JOIN sizes USING (pool)
-        ),
-        terms AS (SELECT pool, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS term FROM means, range(0, 400) r(k)),
+        present AS (SELECT pool, weight, size FROM targets JOIN sizes USING (pool) WHERE size > 0),
+        rates AS (SELECT pool, weight / (SELECT sum(weight) FROM present) * (SELECT sum(size) FROM sizes) / size AS rate FROM present),
+        means AS (SELECT pool, greatest(1, ceil(rate / {mixing.DRAW_MEAN})) AS draws, rate / greatest(1, ceil(rate / {mixing.DRAW_MEAN})) AS mean FROM rates),
+        terms AS (SELECT pool, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS term FROM means, range(0, 100) r(k)),
         cdf AS (SELECT pool, k, least(sum(term) OVER (PARTITION BY pool ORDER BY k), 1.0) AS p FROM terms),
+        draws AS (
+            SELECT d.*, m.draws, unnest(range(1, CAST(m.draws AS BIGINT) + 1)) AS j FROM pooled d JOIN means m USING (pool)
+        ),
+        hashed AS (
+            SELECT *, CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN j > 1 THEN ':' || j ELSE '' END), 1, 13)
+                           AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+            FROM draws
+        ),
         counted AS (
-            SELECT d.doc_id, d.source, d.text, count(c.k) AS copies
-            FROM pooled d JOIN cdf c ON c.pool = d.pool AND c.p <= d.u
-            GROUP BY d.doc_id, d.source, d.text
+            SELECT d.nth, d.doc_id, d.source, d.text, count(c.k) AS copies
+            FROM hashed d JOIN cdf c ON c.pool = d.pool AND c.p <= d.u
+            GROUP BY d.nth, d.doc_id, d.source, d.text
         )
         SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, CAST(copies AS INTEGER) AS copies,
                substr(md5('{mixing.SEED}:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 16) AS mix_key

@@ -22,9 +22,30 @@ def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, None, None, 5), (None, "a", "src0", 6), (1, None, None, 5)], "doc_id long, text string, source string, copies long")
     assert mixing.mix(docs).columns == ["doc_id", "text", "source", "copy", "copies", "mix_key"]
     assert mixing.mix(docs.limit(0)).count() == 0
+    ties = spark.range(300).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same' AS text", "'src0' AS source", "id AS cdf", "id AS draws")
+    mixed = mixing.mix(ties, {"src0": 1.0}, epochs=3.0)
+    each = mixed.groupBy("cdf").count().agg({"count": "min"}).first()[0]
+    assert mixed.count() in (0, 300 * each) and mixed.columns == ["doc_id", "text", "source", "cdf", "draws", "copy", "copies", "mix_key"]
 
 
-@pytest.mark.parametrize("mean", [0, 0.01, 1.0, 7.3, 120.0])
+def test_large_rates_are_drawn_in_parts(spark):
+    """A small source gets a huge rate: a Poisson count still, as many draws of small means."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 40, 'x', repeat('y', 50)) AS text", "IF(id < 40, 'src0', 'other') AS source")
+    mean = mixing.rates(docs, {"src0": 0.2, "*": 0.8})
+    assert mean["src0"] > 700
+    copies = [r["copies"] for r in mixing.mix(docs, {"src0": 0.2, "*": 0.8}).where("source = 'src0' AND copy = 1").collect()]
+    assert len(copies) == 40 and len(set(copies)) > 20
+    assert abs(sum(copies) / 40 - mean["src0"]) < 5 * math.sqrt(mean["src0"] / 40)
+    assert 0.3 < sum((c - mean["src0"]) ** 2 for c in copies) / 40 / mean["src0"] < 3
+
+
+def test_weight_of_an_absent_source_is_shared_out(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "'other' AS source")
+    assert mixing.rates(docs, mixing.TARGETS) == {**{s: 0.0 for s in mixing.TARGETS}, "*": 1.0}
+    assert abs(mixing.mix(docs).count() / 2000 - 1) < 0.1
+
+
+@pytest.mark.parametrize("mean", [0, 0.01, 1.0, 7.3, 16.0])
 def test_poisson_cdf(mean):
     cdf = mixing.poisson_cdf(mean)
     assert cdf == sorted(cdf) and cdf[-1] > 1 - 1e-12 and math.isclose(cdf[0], math.exp(-mean), rel_tol=1e-9)
