@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and guess costs of values in a credential's context.
 
-The guess cost of a value is that of its cheapest segmentation into dictionary words, dates, repeats,
-keyboard walks and brute-force characters, found by dynamic programming over its places. A value that costs
-more than a threshold is reported as a secret of kind ``guess``, beside what the patterns find.
+The guess cost of a value is that of its cheapest segmentation into dictionary words, dates, repeats, keyboard walks
+and brute-force characters, found by dynamic programming over its places: every segment that ends at a place is tried.
+The dictionary is the vocabulary of a public tokenizer, whose ranks stand for how common a word is. A value that costs
+a threshold or more is reported as a secret of kind ``guess``, beside what the patterns find.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from tallyloom.llm.common import text_of
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value in a credential's context is a secret.
 MIN_GUESSES_LOG10 = 9.0
+#: Characters of the longest word, and of the longest repeat or keyboard walk that is one segment.
+LONGEST_WORD, LONGEST_SEGMENT = 24, 48
+#: Characters of the longest block that a repeat repeats.
+LONGEST_BLOCK = 8
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -29,7 +34,17 @@ _CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "credential", "authorization", "bearer", "private")
-_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Dates in the three orders, and years, each with the log10 of its guesses; lookaheads let them overlap.
+_DATES = tuple(
+    (re.compile(f"(?=({pattern}))", re.ASCII), price)
+    for pattern, price in (
+        (rf"{_YEAR}[-/.]?{_MONTH}[-/.]?{_DAY}", 4.5),
+        (rf"{_DAY}[-/.]?{_MONTH}[-/.]?{_YEAR}", 4.5),
+        (rf"{_MONTH}[-/.]?{_DAY}[-/.]?{_YEAR}", 4.5),
+        (_YEAR, 2.1),
+    )
+)
 _HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 _KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -70,35 +85,65 @@ def _char_cost(ch: str) -> float:
     return math.log10(33) if ch.isascii() else 2.0
 
 
-def guess_cost(value: str, vocabulary: str | None = None, longest_word: int = 24) -> float:
-    """log10 of the guesses for ``value``: the least over all its segmentations, each segment's cost added."""
+def word_cost(part: str, words: dict[str, float]) -> float | None:
+    """What a part costs as a dictionary word, its capitals included; None if it is none."""
+    price = words.get(part.lower())
+    if price is None:
+        return None
+    upper = sum(c.isupper() for c in part)
+    if not upper:
+        return price
+    usual = upper == len(part) or (upper == 1 and part[0].isupper())
+    return price + (0.31 if usual else 0.31 * min(upper, len(part) - upper) + 0.31)
+
+
+def repeat_cost(block: str, times: int) -> float:
+    return sum(map(_char_cost, block)) + math.log10(times)
+
+
+def walk_cost(length: int) -> float:
+    """A start among all keys, and one of eight ways at half of the steps."""
+    return math.log10(len(_neighbours())) + 0.5 * math.log10(8) * (length - 1)
+
+
+def guess_cost(value: str, vocabulary: str | None = None, enough: float = math.inf) -> float:
+    """log10 of the guesses for ``value``: the least over all its segmentations, each segment's cost added.
+
+    A segment is one character, a word, a date, a block of up to ``LONGEST_BLOCK`` characters two or more times over
+    (of one or two characters, three times), or a walk over three neighbouring keys or more; the last two have ``LONGEST_SEGMENT``
+    characters at most. Segments cost nothing less than zero, so once all places that a segment can reach back to
+    cost ``enough``, the rest cannot be cheaper; the least of them is then returned.
+    """
     words = _words(vocabulary or default_words())
     near = _neighbours()
     low = value.lower()
     n = len(value)
-    starts: dict[int, list[tuple[int, float]]] = {}
-    for m in _DATE.finditer(value):
-        starts.setdefault(m.end(), []).append((m.start(), 4.5 if m.end() - m.start() > 4 else 2.1))
+    dates: dict[int, list[tuple[int, float]]] = {}
+    for pattern, price in _DATES:
+        for m in pattern.finditer(value):
+            dates.setdefault(m.end(1), []).append((m.start(1), price))
     best = [0.0] + [math.inf] * n
-    repeat = walk = 1
+    same = [0] * (LONGEST_BLOCK + 1)  # for each size of block, how many characters up to here equal those a block before
+    walk = 1
     for i in range(1, n + 1):
         ch = low[i - 1]
         cost = best[i - 1] + _char_cost(ch)
-        repeat = repeat + 1 if i > 1 and ch == low[i - 2] else 1
+        for size in range(1, LONGEST_BLOCK + 1):
+            same[size] = same[size] + 1 if i > size and low[i - 1 - size] == ch else 0
+            least = 3 if size < 3 else 2
+            for times in range(least, min(same[size] + size, LONGEST_SEGMENT) // size + 1):
+                cost = min(cost, best[i - times * size] + repeat_cost(low[i - size : i], times))
         walk = walk + 1 if i > 1 and ch in near.get(low[i - 2], "") else 1
-        if repeat >= 3:
-            cost = min(cost, best[i - repeat] + _char_cost(ch) + math.log10(repeat))
-        if walk >= 3:
-            cost = min(cost, best[i - walk] + math.log10(len(near)) + 0.5 * math.log10(8) * (walk - 1))
-        for j, price in starts.get(i, ()):
+        for length in range(3, min(walk, LONGEST_SEGMENT) + 1):
+            cost = min(cost, best[i - length] + walk_cost(length))
+        for j, price in dates.get(i, ()):
             cost = min(cost, best[j] + price)
-        for j in range(max(0, i - longest_word), i - 2):
-            price = words.get(low[j:i])
-            if price is not None:
-                upper = sum(c.isupper() for c in value[j:i])
-                case = 0.0 if not upper else 0.31 if upper == i - j or (upper == 1 and value[j].isupper()) else 0.31 * min(upper, i - j - upper) + 0.31
-                cost = min(cost, best[j] + price + case)
+        for j in range(max(0, i - LONGEST_WORD), i - 2):
+            if low[j:i] in words:
+                cost = min(cost, best[j] + word_cost(value[j:i], words))
         best[i] = cost
+        if i >= LONGEST_SEGMENT and cost >= enough and (floor := min(best[i + 1 - LONGEST_SEGMENT : i + 1])) >= enough:
+            return floor
     return best[n]
 
 
@@ -116,7 +161,7 @@ def scan(text: str, vocabulary: str | None = None) -> list[tuple[int, int, str]]
         base = sorted(found)
         for m in _CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(s <= start and end <= e for s, e, _ in base) and guess_cost(m.group(1), vocabulary) >= MIN_GUESSES_LOG10:
+            if not any(s <= start and end <= e for s, e, _ in base) and guess_cost(m.group(1), vocabulary, MIN_GUESSES_LOG10) >= MIN_GUESSES_LOG10:
                 found.append((start, end, "guess"))
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
 

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 import zlib
 
@@ -79,9 +81,53 @@ def test_guess_costs_are_least_over_segmentations():
     assert cost("password") < 6 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < cost("qxwzrtmpvk") and cost("") == 0
     assert cost("20240131") <= 4.5 and cost("Xk9$vQ!2pLz#7m") > 12
     assert cost("password20240131") <= cost("password") + cost("20240131") + 1e-9
+    assert cost("abcabcabc") < cost("abc") + 2 * math.log10(3) and cost("nextttt") < cost("next") + 3
     assert secret_scan.redact("token=abcdefgh12 x", secret_scan.scan("token=abcdefgh12 x")) == "[secret] x"
 
 
+def segment_price(part, words):
+    """What one segment costs at least, by the definitions and without any running counts."""
+    prices = [secret_scan._char_cost(part.lower())] if len(part) == 1 else []
+    prices += [price for pattern, price in secret_scan._DATES if (m := pattern.match(part)) and m.end(1) == len(part)]
+    low, near = part.lower(), secret_scan._neighbours()
+    for size in range(1, secret_scan.LONGEST_BLOCK + 1):
+        times, rest = divmod(len(low), size)
+        if not rest and times >= (3 if size < 3 else 2) and low == low[:size] * times:
+            prices.append(secret_scan.repeat_cost(low[:size], times))
+    if len(low) >= 3 and all(b in near.get(a, "") for a, b in zip(low, low[1:])):
+        prices.append(secret_scan.walk_cost(len(low)))
+    word = secret_scan.word_cost(part, words) if len(part) >= 3 else None
+    return min([*prices, *([word] if word is not None else [])], default=math.inf)
+
+
+def test_guess_cost_equals_brute_force():
+    """All segmentations of random values, as a recursion over every cut."""
+    rng = random.Random(3)
+    words = secret_scan._words(secret_scan.default_words())
+    parts = ["pass", "word", "next", "Demo", "ttt", "rrrr", "abcabc", "qwer", "sdf", "2024", "19990131", "31.12.1999", "1", "x", "$", "A", "é", "0101", "secret", "TOKEN"]
+
+    def least(value):
+        best = [0.0]
+        for end in range(1, len(value) + 1):
+            best.append(min(best[start] + segment_price(value[start:end], words) for start in range(end)))
+        return best[-1]
+
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    values += ["".join(rng.choice("aab12wq") for _ in range(rng.randint(1, 10))) for _ in range(200)] + ["democrrrr", "nextttt", "passwordsdf"]
+    for value in values:
+        assert secret_scan.guess_cost(value) == pytest.approx(least(value)), value
+        assert (secret_scan.guess_cost(value, enough=9.0) >= 9.0) == (least(value) >= 9.0)
+    assert secret_scan.guess_cost("Xk9$vQ!2pLz#7m" * 50_000, enough=9.0) >= 9.0
+
+
+def test_secret_scan_of_no_rows_and_long_values(spark):
+    assert secret_scan.digest(secret_scan.scan_documents(rows_of(spark).limit(0))).count() == 0
+    texts = {1: "token=" + "aB3$" * 40_000, 2: "x " * 200_000 + "secret is Xk9$vQ!2pLz#7m"}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, secrets string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan_documents(docs)).collect()}
+    assert got[2] == "guess:400010:400024" and got[1].startswith("guess:6:")
+
+
 def test_media_round_trip(spark):
     got = {r["doc_id"]: r for r in media.media_digests(rows_of(spark)).collect()}
     for i, t in TEXTS.items():
