@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by bin completion.
 
-Documents are tokenized where they lie and leave only the places, lengths and checksums of their pieces.
-Whole pieces are sequences of their own. The others are dealt evenly into groups of bounded size, and every
-group is packed by branch and bound: the largest document left opens a sequence, the undominated fillings of the
-rest of it are the branches, a branch that wastes more than the incumbent allows is pruned, and the best-fit
-packing is the first incumbent.
+Documents are tokenized where they lie and leave only the places, lengths and checksums of their pieces. Whole
+pieces are sequences of their own. The others are dealt evenly into groups of bounded size, and every group is packed
+by branch and bound: the largest piece left opens a sequence, the undominated fillings of the rest of it, of any number
+of pieces and least waste first, are the branches, a branch that wastes more than the incumbent allows is pruned, and
+the best-fit packing is the first incumbent. The search ends when the incumbent meets the bound or nothing is left to
+try, which proves it least, or after a stated number of fillings looked at.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import functools
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,10 +29,8 @@ SEQUENCE_TOKENS = 2048
 END_ID = 0
 #: Pieces that one task packs together.
 GROUP_PIECES = 4096
-#: Sequences that the search of one group may open before the incumbent stands.
-SEARCH_NODES = 6000
-#: Fillings that the search tries for one sequence, least waste first.
-BRANCHES = 3
+#: Fillings that the search of one group may look at before the incumbent stands unproved: the only limit of the search.
+SEARCH_STEPS = 20_000
 
 
 def default_vocabulary() -> str:
@@ -123,49 +124,91 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(gap: int, left: list[int], counts: dict[int, int], branches: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``gap`` with the sizes that are left (ascending), least waste first.
+def _sums_of(sizes: list[int], counts: dict[int, int], gap: int) -> list[int]:
+    """For each k, the sums up to ``gap`` that the k smallest sizes can make, as the bits of one number."""
+    every = (1 << (gap + 1)) - 1
+    out = [1]
+    for s in sizes:
+        sums, many, step = out[-1], min(counts[s], gap // s), 1
+        while many > 0:  # steps of 1, 2, 4, ... make up any number of the size
+            step = min(step, many)
+            sums |= (sums << (s * step)) & every
+            many -= step
+            step *= 2
+        out.append(sums)
+    return out
+
+
+def _makes(sizes: list[int], counts: dict[int, int], sums: list[int], total: int) -> Iterator[tuple[int, ...]]:
+    """Every choice of pieces with exactly the sum ``total``, those with larger sizes first."""
+    stack = [(len(sizes), total, ())]
+    while stack:
+        k, rest, taken = stack.pop()
+        if rest == 0:
+            yield taken
+            continue
+        s = sizes[k - 1]
+        for many in range(min(counts[s], rest // s) + 1):
+            if sums[k - 1] >> (rest - many * s) & 1:
+                stack.append((k - 1, rest - many * s, taken + (s,) * many))
+
+
+def fillings(gap: int, left: list[int], counts: dict[int, int], spare: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated fillings of ``gap`` that waste at most ``spare``, with the sizes that are left (ascending), least waste first.
+
+    None stands for each one that is dominated, so that a search can count what it looks at.
 
-    A filling is dominated by one that has, for each of its sizes, one at least as large: of single sizes only the
-    largest that fits counts, and of pairs and triples with a common size only the one with the largest rest.
+    A filling is dominated by one that has a piece left over, x, in place of some of its own whose sum x is not below: what
+    that one leaves fits wherever x would. So is one with room for another piece. Replaced are one, two or three pieces,
+    which leaves some dominated ones in: that costs effort and loses nothing.
     """
+    sizes = left[: bisect_right(left, gap)]
+    return _fillings(gap, sizes, {s: counts[s] for s in sizes}, spare)
 
-    def largest(room: int, taken: tuple[int, ...]) -> int | None:
-        at = bisect_right(left, room) - 1
-        while at >= 0 and counts[left[at]] <= taken.count(left[at]):
-            at -= 1
-        return left[at] if at >= 0 else None
-
-    single = largest(gap, ())
-    if single is None:
-        return [()]
-    found = {(single,): single}
-    best = single
-    at = bisect_right(left, gap) - 1
-    low = 0
-    while at >= 0 and best < gap:
-        one = left[at]
-        two = largest(min(gap - one, one), (one,))
-        if two is not None and two > low and one + two > single:
-            found[(one, two)] = one + two
-            best, low = max(best, one + two), two
-        if two is not None and one + two < gap:
-            three = largest(min(gap - one - two, two), (one, two))
-            if three is not None and one + two + three > best:
-                found[(one, two, three)] = one + two + three
-                best = one + two + three
-        if 3 * one < gap and best > 0:
-            break
-        at -= 1
-    ranked = sorted(found, key=lambda f: (-found[f], len(f)))
-    return [f for f in ranked if found[f] == best or len(f) <= 2][:branches]
-
-
-def bin_completion(sizes: list[int], capacity: int = SEQUENCE_TOKENS, nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Sizes (each from 1 to ``capacity``) in as few bins of ``capacity`` as the search finds."""
+
+def _fillings(gap: int, sizes: list[int], counts: dict[int, int], spare: int) -> Iterator[tuple[int, ...] | None]:
+    sums = _sums_of(sizes, counts, gap)
+    for waste in range(min(spare, gap) + 1):
+        if not sums[-1] >> (gap - waste) & 1:
+            continue
+        for filling in _makes(sizes, counts, sums, gap - waste):
+            over = [s for s in sizes if counts[s] > filling.count(s)]
+            if over and over[0] <= waste:
+                yield None
+                continue
+            replaced = {sum(c) + 1 for c in combinations(filling, 1)} | {sum(c) for n in (2, 3) for c in set(combinations(filling, n))}
+            low = {r: bisect_left(over, r) for r in replaced}
+            single = {s + 1 for s in filling}
+            if any(at < len(over) and over[at] <= (r - 1 if r in single else r) + waste for r, at in low.items()):
+                yield None
+                continue
+            yield filling
+
+
+def fewest(sizes: list[int], capacity: int) -> int:
+    """A number of bins that no packing can do without.
+
+    For any k up to half the capacity: sizes above half a bin have one each, and what the sizes from k to half a bin hold
+    beyond the room beside those of them that leave k or more needs further bins.
+    """
+    ordered = np.sort(np.asarray(sizes, np.int64))
+    held = np.concatenate([[0], np.cumsum(ordered)])
+    k = np.arange(0, capacity // 2 + 1)
+    half = np.searchsorted(ordered, capacity // 2, "right")
+    large = np.searchsorted(ordered, capacity - k, "right")
+    small = np.searchsorted(ordered, k, "left")
+    room = (large - half) * capacity - (held[large] - held[half])
+    beyond = np.maximum(0, held[half] - held[np.minimum(small, half)] - room)
+    return int((len(ordered) - half + -(-beyond // capacity)).max(initial=0))
+
+
+def search(sizes: list[int], capacity: int = SEQUENCE_TOKENS, steps: int = SEARCH_STEPS) -> tuple[list[list[int]], bool]:
+    """Sizes (each from 1 to ``capacity``) in bins of ``capacity``, and whether there is a proof that no fewer will do."""
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
-    bound = max(-(-total // capacity), sum(2 * s > capacity for s in sizes))
+    bound = fewest(sizes, capacity)
+    if len(incumbent) <= bound:
+        return incumbent, True
     counts: dict[int, int] = {}
     for s in sizes:
         counts[s] = counts.get(s, 0) + 1
@@ -181,54 +224,43 @@ def bin_completion(sizes: list[int], capacity: int = SEQUENCE_TOKENS, nodes: int
             elif sign < 0 and counts[s] == 1:
                 insort(left, s)
 
-    def open_next() -> list[tuple[int, ...]]:
+    def open_next() -> Iterator[tuple[int, ...] | None]:
+        """Fillings of the sequence that the largest size opens; made one by one, as the search comes back for them."""
         first = left[-1]
         take((first,), 1)
-        options = [(first, *f) for f in _filled(capacity - first)]
+        found = fillings(capacity - first, left, counts, (len(incumbent) - 1) * capacity - total - waste)
         take((first,), -1)
-        return options
-
-    def _filled(gap: int) -> list[tuple[int, ...]]:
-        out = []
-        for f in fillings(gap, left, counts):
-            more, room = f, gap - sum(f)
-            take(f, 1)
-            while left and left[0] <= room:  # a bin that can take more is dominated
-                s = left[bisect_right(left, room) - 1]
-                take((s,), 1)
-                more, room = (*more, s), room - s
-            take(more, -1)
-            out.append(more)
-        return sorted(dict.fromkeys(out), key=lambda f: -sum(f))
-
-    stack: list[list[tuple[int, ...]]] = []
-    if len(incumbent) > bound and left:
-        stack.append(open_next())
-    while stack and nodes > 0 and len(incumbent) > bound:
-        if not stack[-1]:
-            stack.pop()
+        return (None if f is None else (first, *f) for f in found)
+
+    stack = [open_next()]
+    while stack and steps > 0 and len(incumbent) > bound:
+        steps -= 1
+        filling = next(stack[-1], ())
+        if filling is None:
+            continue
+        spare = capacity - sum(filling)
+        if not filling or waste + spare > (len(incumbent) - 1) * capacity - total:
+            stack.pop()  # those that follow waste no less
             if packed:
                 last = packed.pop()
                 take(last, -1)
                 waste -= capacity - sum(last)
             continue
-        filling = stack[-1].pop(0)
-        spare = capacity - sum(filling)
-        if waste + spare > (len(incumbent) - 1) * capacity - total:
-            stack[-1].clear()  # the others waste no less
-            continue
-        nodes -= 1
         take(filling, 1)
         packed.append(filling)
         waste += spare
         if left:
             stack.append(open_next())
-        else:
-            if len(packed) < len(incumbent):
-                incumbent = [list(f) for f in packed]
-            take(packed.pop(), -1)
-            waste -= spare
-    return incumbent
+            continue
+        incumbent = [list(f) for f in packed]
+        take(packed.pop(), -1)
+        waste -= spare
+    return incumbent, not stack or len(incumbent) <= bound
+
+
+def bin_completion(sizes: list[int], capacity: int = SEQUENCE_TOKENS, steps: int = SEARCH_STEPS) -> list[list[int]]:
+    """Sizes (each from 1 to ``capacity``) in as few bins of ``capacity`` as the search finds."""
+    return search(sizes, capacity, steps)[0]
 
 
 def _pack_group(group: pd.DataFrame, size: int) -> pd.DataFrame:
@@ -237,24 +269,25 @@ def _pack_group(group: pd.DataFrame, size: int) -> pd.DataFrame:
         waiting.setdefault(length, []).append(at)
     sequence = np.zeros(len(group), np.int64)
     offset = np.zeros(len(group), np.int64)
-    for k, filling in enumerate(bin_completion(group["length"].tolist(), size)):
+    bins, proved = search(group["length"].tolist(), size)
+    for k, filling in enumerate(bins):
         place = 0
         for length in filling:
             at = waiting[length].pop()
             sequence[at], offset[at] = k, place
             place += length
     out = group.drop(columns=["grp", "nth"])
-    return out.assign(sequence_id=sequence + (group["grp"].to_numpy() << 32), offset=offset)
+    return out.assign(sequence_id=sequence + (group["grp"].to_numpy() << 32), offset=offset, proved=proved)
 
 
 def pack(pieces_table: DataFrame, size: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """The columns of a stored table of pieces, and ``sequence_id, offset``.
+    """The columns of a stored table of pieces, and ``sequence_id, offset, proved``.
 
-    The pieces (``length`` from 1 to ``size``) fill sequences without gaps from offset 0. Groups are dealt
-    by row number and not by any column, so repeated ids cannot crowd one.
+    The pieces (``length`` from 1 to ``size``) fill sequences without gaps from offset 0. Groups are dealt by row number
+    and not by any column, so repeated ids cannot crowd one. ``proved``: no packing of the piece's group has fewer sequences.
     """
     numbered = pieces_table.withColumn("nth", F.monotonically_increasing_id())
-    whole = numbered.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("nth")).withColumn("offset", F.lit(0).cast("long")).drop("nth")
+    whole = numbered.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("nth")).withColumn("offset", F.lit(0).cast("long")).withColumn("proved", F.lit(True)).drop("nth")
     parts = numbered.where(F.col("length") < size)
     groups = max(1, -(-pieces_table.where(F.col("length") < size).count() // group_pieces))
     dealt = parts.withColumn("grp", F.pmod(F.xxhash64("nth"), F.lit(groups)))
@@ -264,7 +297,7 @@ def pack(pieces_table: DataFrame, size: int = SEQUENCE_TOKENS, group_pieces: int
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE_TOKENS, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``) of every document's pieces.
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, proved`` (and ``ids``) of every document's pieces.
 
     A document is its text's token ids and a closing 0; a null text is empty and so has the closing 0 alone. Repeated
     rows and a null ``doc_id`` are packed like others; an empty table gives an empty result.

@@ -55,6 +55,41 @@ def test_bin_completion_reaches_what_best_fit_misses():
     assert packing.bin_completion([], 10) == []
 
 
+def fewest_bins(sizes, capacity):
+    """Over all subsets, in order of size: (bins, what the last one holds) at best."""
+    best = [(len(sizes) + 1, 0)] * (1 << len(sizes))
+    best[0] = (0, capacity)
+    for taken in range(1, 1 << len(sizes)):
+        for i, s in enumerate(sizes):
+            if taken >> i & 1:
+                bins, held = best[taken ^ (1 << i)]
+                best[taken] = min(best[taken], (bins, held + s) if held + s <= capacity else (bins + 1, s))
+    return best[-1][0]
+
+
+def test_bin_completion_is_least_and_says_so():
+    rng = random.Random(9)
+    better = 0
+    for k in range(300):
+        capacity = rng.choice([10, 23, 50])
+        sizes = [rng.randint(1, capacity if k % 3 else max(2, capacity // 2)) for _ in range(rng.randint(1, 11))]
+        bins, proved = packing.search(sizes, capacity)
+        assert proved and sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= capacity for b in bins)
+        assert packing.fewest(sizes, capacity) <= len(bins) == fewest_bins(sizes, capacity), (sizes, capacity)
+        better += len(bins) < len(packing.best_fit(sizes, capacity))
+    assert better > 0
+    halves = [rng.randint(300, 900) for _ in range(200)]
+    bins, proved = packing.search(halves, 2048, steps=50)
+    assert sorted(s for b in bins for s in b) == sorted(halves) and len(bins) <= len(packing.best_fit(halves, 2048))
+
+
+def test_packing_stays_near_the_bound(spark):
+    docs = spark.range(1500).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), CAST(20 + pmod(xxhash64(id), 400) AS INT)) AS text")
+    packed = packing.pack_documents(docs)
+    bound = -(-packed.agg({"length": "sum"}).first()[0] // packing.SEQUENCE_TOKENS)
+    assert packed.select("sequence_id").distinct().count() <= bound + 1 and packed.where("proved").count() == packed.count()
+
+
 def plain_base(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
