@@ -1,8 +1,10 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted in a fixed order. Each has a logistic model over the words and word beginnings of a text and
-over the log odds of all categories before it. In training those are out-of-fold predictions, so a later model sees
-earlier ones as unsure as they will be on new texts.
+The labels know toxic and not; the categories before that come from the data. Words that toxic training texts have
+clearly more often fall into groups by the texts that they share, and a toxic text is of every category of which it has a
+word. Categories are predicted in a fixed order, the label itself last. Each has a logistic model over the words and word
+beginnings of a text and over the probabilities of all categories before it. In training those are out-of-fold
+predictions, so a later model sees earlier ones as unsure as they will be on new texts.
 """
 
 from __future__ import annotations
@@ -21,19 +23,16 @@ from tallyloom.llm.common import row_columns, text_of, with_row
 #: Labelled rows that the chain learns from, taken by a hash of their id.
 TRAIN_ROWS = 3000
 FOLDS = 5
-#: Texts that have a feature, deviations that it is more frequent by in the class, and features of a model.
-LEAST_TEXTS, LEAST_DEVIATION, MOST_FEATURES = 3, 4.0, 400
+#: Texts that have a feature at least, and deviations that it is more frequent by in the class.
+LEAST_TEXTS, LEAST_DEVIATION = 3, 3.0
+#: Categories before the label itself.
+KINDS = 3
 RIDGE = 0.5
+RARER = 4.0
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.5
-
-#: Common English insults: a toxic text with one of them is of category ``insult``, another of ``other_abuse``.
-INSULTS = frozenset(
-    "idiot idiots moron morons stupid dumb fool fools loser losers scum trash clown clowns pathetic worthless disgusting jerk creep ugly imbecile".split()
-)
-#: The chain; the last category is the label itself.
-CATEGORIES = ("insult", "other_abuse", "toxic")
+LABEL = "toxic"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,14 +47,9 @@ def features_of(words: Iterable[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
-def category_labels(words: set[str], toxic: int) -> dict[str, int]:
-    insult = int(bool(toxic and words & INSULTS))
-    return {"insult": insult, "other_abuse": int(bool(toxic) and not insult), "toxic": int(toxic)}
-
-
 @dataclass
 class Chain:
-    """For each category: the weights of its features, of earlier categories' log odds, and the intercept."""
+    """For each category: the weights of its features, of earlier categories' probabilities, and the intercept."""
 
     categories: tuple[str, ...]
     weights: list[dict[str, float]] = field(default_factory=list)
@@ -63,11 +57,15 @@ class Chain:
     intercepts: list[float] = field(default_factory=list)
 
     def predict(self, features: set[str]) -> list[float]:
-        odds: list[float] = []
+        out: list[float] = []
         for w, before, b in zip(self.weights, self.earlier, self.intercepts):
-            z = b + sum(w[f] for f in sorted(features & w.keys())) + sum(a * o for a, o in zip(before, odds))
-            odds.append(float(np.clip(z, -30, 30)))
-        return [float(1 / (1 + np.exp(-z))) for z in odds]
+            z = b + sum(w[f] for f in sorted(features & w.keys())) + sum(a * p for a, p in zip(before, out))
+            out.append(float(_logistic(z)))
+        return out
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _select(present: list[np.ndarray], y: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
@@ -83,40 +81,96 @@ def _select(present: list[np.ndarray], y: np.ndarray, rows: np.ndarray, many: in
     share = (in_ones + in_zeros) / len(rows)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(ones) + 1 / len(zeros)))
     deviation = (in_ones / len(ones) - in_zeros / len(zeros)) / spread
-    deviation[in_ones + in_zeros < LEAST_TEXTS] = 0
-    best = np.argsort(-deviation, kind="stable")[:MOST_FEATURES]
-    return np.sort(best[deviation[best] >= LEAST_DEVIATION])
+    return np.flatnonzero((deviation >= LEAST_DEVIATION) & (in_ones + in_zeros >= LEAST_TEXTS))
 
 
-def _matrix(present: list[np.ndarray], rows: np.ndarray, chosen: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Presence of the chosen features, log odds of earlier categories, and a constant."""
-    out = np.zeros((len(rows), len(chosen) + odds.shape[1] + 1))
+def kinds_of(present: list[np.ndarray], toxic: np.ndarray, names: list[str], kinds: int = KINDS) -> np.ndarray:
+    """Labels (rows, kinds) of categories that the training texts themselves suggest, the most frequent first.
+
+    The clearly toxic words are grouped by the cosine of the toxic texts that they occur in: the first centre is the most
+    frequent word, each next one the word that is least like the centres so far.
+    """
+    out = np.zeros((len(toxic), kinds), np.int64)
+    words = np.array([i for i in _select(present, toxic, np.arange(len(toxic)), len(names)) if not names[i].endswith("*")], np.int64)
+    rows = np.flatnonzero(toxic == 1)
+    if not len(words):
+        return out
+    has = np.zeros((len(words), len(rows)))
     for k, i in enumerate(rows):
-        at = np.searchsorted(chosen, present[i])
-        at = at[at < len(chosen)]
-        out[k, at[np.isin(chosen[at], present[i])]] = 1
-    out[:, len(chosen) : -1] = odds[rows]
-    out[:, -1] = 1
+        has[np.isin(words, present[i]), k] = 1
+    unit = has / np.sqrt(np.maximum(has.sum(axis=1, keepdims=True), 1))
+    centres = [int(has.sum(axis=1).argmax())]
+    while len(centres) < min(kinds, len(words)):
+        alike = (unit @ unit[centres].T).max(axis=1)
+        alike[centres] = np.inf
+        centres.append(int(alike.argmin()))
+    means = unit[centres]
+    for _ in range(20):
+        group = (unit @ means.T).argmax(axis=1)
+        sums = np.stack([unit[group == g].sum(axis=0) if (group == g).any() else means[g] for g in range(len(means))])
+        means = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    found = np.stack([has[group == g].any(axis=0) if (group == g).any() else np.zeros(len(rows), bool) for g in range(len(means))], axis=1)
+    out[rows, : found.shape[1]] = found[:, np.argsort(-found.sum(axis=0), kind="stable")]
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the constant is not shrunk."""
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], RIDGE)
+@dataclass
+class _Design:
+    """Presence of chosen features (a one at each ``owner``, ``column``), and dense columns: earlier probabilities and a constant."""
+
+    owner: np.ndarray
+    column: np.ndarray
+    dense: np.ndarray
+    features: int
+
+    @classmethod
+    def of(cls, present: list[np.ndarray], rows: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, many: int) -> _Design:
+        place = np.full(many, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        column = place[np.concatenate([*(present[i] for i in rows), np.empty(0, np.int64)]).astype(np.int64)]
+        owner = np.repeat(np.arange(len(rows)), [len(present[i]) for i in rows])
+        kept = column >= 0
+        return cls(owner[kept], column[kept], np.column_stack([earlier[rows], np.ones(len(rows))]), len(chosen))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, w[self.column], len(self.dense)) + self.dense @ w[self.features :]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, r[self.owner], self.features), self.dense.T @ r])
+
+
+def _fit(x: _Design, y: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each solved by conjugate gradients; the constant is hardly shrunk.
+
+    The rarer class weighs ``RARER`` times as much as it would by its number, up to as much as the other.
+    """
+    ones = max(1, int(y.sum()))
+    weight = np.where(y == 1, min(RARER, max(1.0, (len(y) - ones) / ones)), 1.0)
+    shrink = np.full(x.features + x.dense.shape[1], RIDGE)
     shrink[-1] = 1e-3
+    w = np.zeros(len(shrink))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + shrink * w
-        hessian = (x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(shrink)
-        move = np.linalg.solve(hessian, gradient)
+        p = _logistic(x.times(w))
+        curve = weight * p * (1 - p) + 1e-9
+        rest = x.back(weight * (p - y)) + shrink * w
+        move, way = np.zeros_like(w), rest.copy()
+        size = first = rest @ rest
+        for _ in range(200):
+            if size <= 1e-16 * max(first, 1e-12):
+                break
+            bent = x.back(curve * x.times(way)) + shrink * way
+            step = size / (way @ bent)
+            move += step * way
+            rest -= step * bent
+            size, before = rest @ rest, size
+            way = rest + size / before * way
         w -= move
         if np.abs(move).max() < 1e-6:
             break
     return w
 
 
-def _encoded(rows: Iterable[tuple[int, Iterable[str], dict[str, int]]]) -> tuple[list[str], list[np.ndarray], np.ndarray, list[dict[str, int]]]:
+def _encoded(rows: Iterable[tuple[int, Iterable[str], int]]) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
     """Names of the features that enough rows have, their numbers in each row, and the rows' folds and labels.
 
     Rows are taken one at a time and kept as numbers: the words of two rows are never held at once, nor a feature twice.
@@ -138,40 +192,47 @@ def _encoded(rows: Iterable[tuple[int, Iterable[str], dict[str, int]]]) -> tuple
     place = np.full(len(number), -1, np.int64)
     place[[number[f] for f in names]] = np.arange(len(names))
     present = [np.sort(at[at >= 0]) for at in (place[ids] for ids in present)]
-    return names, present, np.array(folds, np.int64), labels
+    return names, present, np.array(folds, np.int64), np.array(labels, np.int64)
 
 
-def train(rows: Iterable[tuple[int, Iterable[str], dict[str, int]]], categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """A chain from (fold number, words, labels by category) of each row. Without rows every category is unlikely."""
-    names, present, fold, given = _encoded(rows)
-    chain = Chain(categories)
-    if not given:
-        chain.weights, chain.earlier, chain.intercepts = [{} for _ in categories], [[] for _ in categories], [-1.0 for _ in categories]
+def train(rows: Iterable[tuple[int, Iterable[str], int]], kinds: int = KINDS, folds: int = FOLDS) -> Chain:
+    """A chain from (fold number, words, label) of each row. Without rows every category is unlikely."""
+    names, present, fold, toxic = _encoded(rows)
+    chain = Chain((*(f"kind_{k + 1}" for k in range(kinds)), LABEL))
+    if not len(toxic):
+        chain.weights, chain.earlier, chain.intercepts = [{} for _ in chain.categories], [[] for _ in chain.categories], [-1.0 for _ in chain.categories]
         return chain
     fold %= folds
-    odds = np.zeros((len(given), 0))
-    for category in categories:
-        y = np.array([labels[category] for labels in given])
-        unseen = np.zeros(len(given))
-        for k in [*range(folds), None]:
-            seen = np.flatnonzero(fold != k) if k is not None else np.arange(len(given))
-            rest = np.flatnonzero(fold == k) if k is not None else seen
-            if not len(seen) or not len(rest):
-                continue
-            chosen = _select(present, y, seen, len(names))
-            w = _fit(_matrix(present, seen, chosen, odds), y[seen])
-            if k is not None:
-                unseen[rest] = np.clip(_matrix(present, rest, chosen, odds) @ w, -30, 30)
+    targets = np.column_stack([kinds_of(present, toxic, names, kinds), toxic])
+    earlier = np.zeros((len(toxic), 0))
+    every = np.arange(len(toxic))
+    for y in targets.T:
+        unseen = np.zeros(len(toxic))
+        speaks = lambda rows: np.intersect1d(_select(present, y, rows, len(names)), _select(present, toxic, rows, len(names)))  # noqa: B023, E731
+        for k in range(folds):
+            seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if len(seen) and len(rest):
+                unseen[rest] = _unseen(present, y, seen, rest, speaks(seen), earlier, len(names))
+        chosen = speaks(every)
+        w = _fit(_Design.of(present, every, chosen, earlier, len(names)), y)
         chain.weights.append({names[i]: float(v) for i, v in zip(chosen, w)})
         chain.earlier.append(w[len(chosen) : -1].tolist())
         chain.intercepts.append(float(w[-1]))
-        odds = np.column_stack([odds, unseen])
+        earlier = np.column_stack([earlier, unseen])
     return chain
 
 
+def _unseen(present: list[np.ndarray], y: np.ndarray, seen: np.ndarray, rest: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, many: int) -> np.ndarray:
+    """Probabilities of ``rest`` by a model that knows ``seen`` alone, as must those who chose its features."""
+    w = _fit(_Design.of(present, seen, chosen, earlier, many), y[seen])
+    return _logistic(_Design.of(present, rest, chosen, earlier, many).times(w))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     """A chain for ``labels.toxic`` from at most ``rows`` labelled documents, of which only the distinct words come to the driver.
 
+    Of rows that share an id one text counts, the one whose words sort first.
+
     The sample is the first by a hash of the id; its ids are bounded, so they are broadcast to the documents.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -186,8 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     found.sort(key=lambda r: (r["doc_id"], r["words"]), reverse=True)
     once = {r["doc_id"]: r for r in found}
     del found
-    split = ((r["fold"], r["toxic"], r["words"].split()) for _, r in sorted(once.items()))
-    return train((fold, words_of_row, category_labels(set(words_of_row), toxic)) for fold, toxic, words_of_row in split)
+    return train((r["fold"], r["words"].split(), int(r["toxic"])) for _, r in sorted(once.items()))
 
 
 def _with_probabilities(rows: DataFrame, chain: Chain) -> DataFrame:
