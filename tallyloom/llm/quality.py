@@ -20,12 +20,12 @@ from tallyloom.llm.common import text_of
 CHUNK, STRIDE = 256, 192
 #: Bytes seen by a filter, step between its places, size of a byte's embedding, filters, hidden units.
 WIDTH, STEP, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
-#: Labelled rows that the network learns from, taken by a hash of their id, and bytes of each that a step sees.
+#: Labelled rows that the network learns from, taken by a hash of their id, and bytes of them all.
 TRAIN_ROWS = 2000
-TRAIN_CHUNKS = 24
+TRAIN_BYTES = 16 << 20
 EPOCHS = 13
 SEED = 11
-#: Chunks that are scored as one array.
+#: Chunks that are scored or learned from as one array.
 BLOCK = 512
 
 PLACES = (CHUNK - WIDTH) // STEP + 1
@@ -85,42 +85,21 @@ class ByteNet:
         return 1 / (1 + np.exp(-z))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Probabilities of label 1. Texts are scored whole, in blocks of chunks, each by itself but for the block it is in."""
+        """Probabilities of label 1. Each text is scored whole and by itself, a long one in blocks of chunks."""
         result = np.zeros(len(texts))
-        waiting: list[tuple[int, np.ndarray]] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            if waiting:
-                units = self.chunk_units(np.concatenate([c for _, c in waiting]))
-                ends = np.cumsum([len(c) for _, c in waiting])
-                for (i, c), end in zip(waiting, ends):
-                    result[i] = self.score(units[end - len(c) : end])
-            waiting.clear()
-            held = 0
-
         for i, raw in enumerate(texts):
             chunks = chunks_of(raw)
-            if len(chunks) > BLOCK:
-                result[i] = self.score(np.concatenate([self.chunk_units(chunks[at : at + BLOCK]) for at in range(0, len(chunks), BLOCK)]))
-                continue
-            if held + len(chunks) > BLOCK:
-                flush()
-            waiting.append((i, chunks))
-            held += len(chunks)
-        flush()
+            result[i] = self.score(np.concatenate([self.chunk_units(chunks[at : at + BLOCK]) for at in range(0, len(chunks), BLOCK)]))
         return result
 
 
-def _gradients(net: ByteNet, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the weighted log loss, for chunks with the number of the document that owns each (ascending)."""
+def _gradients(net: ByteNet, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    """Gradients of the weighted log loss, for chunks with the number of the document that owns each (ascending).
+
+    All chunks count. They are gone through in blocks, once for the units that the documents pool and once backwards.
+    """
     docs = len(labels)
-    windows = np.ascontiguousarray(net._windows(chunks)).reshape(-1, WIDTH * EMBED)
-    response = np.maximum(windows @ net.conv + net.bias, 0).reshape(len(chunks), PLACES, FILTERS)
-    top = response.argmax(axis=1)
-    pooled = np.concatenate([np.take_along_axis(response, top[:, None], 1)[:, 0], response.mean(axis=1)], axis=1)
-    units = np.maximum(pooled @ net.hidden + net.hidden_bias, 0)
+    units = np.concatenate([net.chunk_units(chunks[at : at + block]) for at in range(0, len(chunks), block)])
     first = np.searchsorted(owner, np.arange(docs))
     many = np.bincount(owner, minlength=docs)[:, None]
     mean = np.add.reduceat(units, first) / many
@@ -131,7 +110,17 @@ def _gradients(net: ByteNet, chunks: np.ndarray, owner: np.ndarray, labels: np.n
     g_mean, g_most = error[:, None] * net.out[:HIDDEN], error[:, None] * net.out[HIDDEN:]
     winner = units == most[owner]
     share = winner / np.maximum(1, np.add.reduceat(winner.astype(np.float32), first))[owner]
-    g_units = ((g_mean / many)[owner] + g_most[owner] * share) * (units > 0)
+    g_units = (((g_mean / many)[owner] + g_most[owner] * share) * (units > 0)).astype(np.float32)
+    below = [_back(net, chunks[at : at + block], g_units[at : at + block]) for at in range(0, len(chunks), block)]
+    return [*(sum(parts) for parts in zip(*below)), g_out, error.sum(keepdims=True)]
+
+
+def _back(net: ByteNet, chunks: np.ndarray, g_units: np.ndarray) -> list[np.ndarray]:
+    """Gradients of all weights below the hidden units, for one block of chunks."""
+    windows = np.ascontiguousarray(net._windows(chunks)).reshape(-1, WIDTH * EMBED)
+    response = np.maximum(windows @ net.conv + net.bias, 0).reshape(len(chunks), PLACES, FILTERS)
+    top = response.argmax(axis=1)
+    pooled = np.concatenate([np.take_along_axis(response, top[:, None], 1)[:, 0], response.mean(axis=1)], axis=1)
     g_pooled = g_units @ net.hidden.T
     g_response = np.repeat(g_pooled[:, None, FILTERS:] / PLACES, PLACES, axis=1)
     np.put_along_axis(g_response, top[:, None], np.take_along_axis(g_response, top[:, None], 1) + g_pooled[:, None, :FILTERS], 1)
@@ -141,14 +130,11 @@ def _gradients(net: ByteNet, chunks: np.ndarray, owner: np.ndarray, labels: np.n
     for w in range(WIDTH):
         g_bytes[:, w : w + (PLACES - 1) * STEP + 1 : STEP] += g_windows[:, :, w]
     g_embed = np.stack([np.bincount(chunks.ravel(), g_bytes[:, :, e].ravel(), 256) for e in range(EMBED)], axis=1)
-    return [g_embed, windows.T @ g_response, g_response.sum(axis=0), pooled.T @ g_units, g_units.sum(axis=0), g_out, error.sum(keepdims=True)]
+    return [g_embed, windows.T @ g_response, g_response.sum(axis=0), pooled.T @ g_units, g_units.sum(axis=0)]
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> ByteNet:
-    """A network fitted by Adam. The rarer class weighs as much as the other; with one class the scores are constant.
-
-    A step sees at most ``TRAIN_CHUNKS`` chunks of a text, drawn anew each time; scoring sees all.
-    """
+    """A network fitted by Adam. The rarer class weighs as much as the other; with one class the scores are constant."""
     net = ByteNet.fresh(seed)
     y = np.asarray(labels, np.float32)
     if len(set(labels)) < 2:
@@ -167,7 +153,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         rate = 0.004 * (1 - epoch / epochs) + 0.0004
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
-            drawn = [c if len(c := every[i]) <= TRAIN_CHUNKS else c[np.sort(rng.choice(len(c), TRAIN_CHUNKS, replace=False))] for i in ids]
+            drawn = [every[i] for i in ids]
             owner = np.repeat(np.arange(len(ids)), [len(c) for c in drawn])
             step += 1
             for w, (m, v), g in zip(net.weights(), moments, _gradients(net, np.concatenate(drawn), owner, y[ids], weight[ids])):
@@ -183,16 +169,34 @@ def _held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet:
-    """A network for ``labels.quality``, from at most ``rows`` labelled documents that are not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
+    """Texts and labels of at most ``rows`` labelled documents that are not held out, of ``most_bytes`` bytes in all.
 
-    The sample is the first by a hash of the id; its ids are bounded, so they are broadcast to the documents.
+    They are the first by a hash of the id; one that would go beyond the bytes is left out. Of rows that share an id the least
+    text counts. The sample's ids are bounded, so they are broadcast; texts come to the driver once their sizes are known.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     sample = known.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    found = sorted((r["doc_id"], r["text"], r["quality"]) for r in texts.collect())
-    return train([t.encode("utf-8") for _, t, _ in found], [int(q) for _, _, q in found])
+    texts = docs.select("doc_id", text_of().alias("text"))
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    sizes = found.select("doc_id", "quality", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    chosen, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], r["quality"])):
+        if held + r["n"] <= most_bytes:
+            chosen.append((r["doc_id"], r["quality"]))
+            held += r["n"]
+    if not chosen:
+        return []
+    kinds = sample.schema
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, kinds))
+    kept = texts.join(wanted, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return [(t.encode("utf-8"), int(q)) for _, q, t in sorted((r["doc_id"], r["quality"], r["text"]) for r in kept)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> ByteNet:
+    """A network for ``labels.quality``, from a bounded sample of labelled documents that are not held out."""
+    found = labelled_sample(docs, labels, rows, most_bytes)
+    return train([t for t, _ in found], [q for _, q in found])
 
 
 def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:

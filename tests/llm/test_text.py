@@ -202,6 +202,96 @@ def test_toxicity_chain_learns_and_keeps_clean_documents(spark):
     assert toxicity.fit(table, labels.limit(0)).predict(set())[-1] < 0.5
 
 
+def plain_logistic(x, y, weight, ridge):
+    """Newton steps with whole matrices."""
+    w = np.zeros(x.shape[1])
+    shrink = np.array([ridge] * (x.shape[1] - 1) + [1e-3])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (weight * (p * (1 - p) + 1e-9))) @ x + np.diag(shrink), x.T @ (weight * (p - y)) + shrink * w)
+    return w
+
+
+def test_toxicity_folds_are_apart_and_the_chain_helps():
+    """Against a plain loop: each fold's predictions come from a model of the other rows; on unseen rows the chain is right."""
+    rng = random.Random(4)
+    bad = [["vile", "rotten"], ["böse", "elend"], ["malo", "peor"]]
+    rows = []
+    for i in range(900):
+        words = {rng.choice("calm kind letter garden friend weather valley river stone bread".split()) for _ in range(6)}
+        toxic = int(i % 5 == 0)
+        rows.append((i % 5 if i % 2 else (i // 5) % 5, sorted(words | (set(rng.choice(bad)) if toxic else set())), toxic))
+    seen, unseen = rows[:600], rows[600:]
+    chain = toxicity.train(seen)
+    assert chain.categories == ("kind_1", "kind_2", "kind_3", "toxic")
+    assert all((chain.predict(toxicity.features_of(w))[-1] >= 0.5) == bool(y) for _, w, y in unseen)
+    names, present, fold, toxic = toxicity._encoded(seen)
+    earlier = np.zeros((len(seen), 0))
+    for k in range(5):
+        known, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        chosen = toxicity._select(present, toxic, known, len(names))
+        other = toxic.copy()
+        other[rest] = 1 - other[rest]
+        got = toxicity._unseen(present, toxic, known, rest, chosen, earlier, len(names))
+        assert np.array_equal(got, toxicity._unseen(present, other, known, rest, chosen, earlier, len(names)))
+        x = np.array([[*np.isin(chosen, p), 1.0] for p in present])
+        ones = toxic[known].sum()
+        weight = np.where(toxic[known] == 1, min(toxicity.RARER, (len(known) - ones) / ones), 1.0)
+        w = plain_logistic(x[known], toxic[known], weight, toxicity.RIDGE)
+        assert np.allclose(got, 1 / (1 + np.exp(-(x[rest] @ w))), atol=1e-5)
+    kinds = toxicity.kinds_of(present, toxic, names)
+    assert (kinds.sum(axis=1)[toxic == 0] == 0).all() and (kinds[toxic == 1].sum(axis=1) >= 1).all() and (kinds.sum(axis=0) > 20).all()
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, "a vile text", 9), (1, "another", 9), (None, None, 9), (2, "vile " * 100_000, 9)], "doc_id long, text string, p_toxic long")
+    chain = toxicity.train((i % 5, ["vile"] if i % 2 else ["calm"], i % 2) for i in range(60))
+    got = toxicity.score_documents(docs, chain)
+    assert got.columns == ["doc_id", "p_kind_1", "p_kind_2", "p_kind_3", "p_toxic", "score", "toxic"]
+    assert sorted((r["doc_id"] or 0, r["toxic"]) for r in got.collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+    assert toxicity.score_documents(docs.limit(0), chain).count() == 0
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs.limit(0), labels).predict(set())[-1] < 0.5 and toxicity.fit(docs, labels).categories[-1] == "toxic"
+
+
+def test_quality_gradients_and_blocks():
+    """Analytic gradients against differences, the same in one block of chunks or many; a text's score is its own."""
+    rng = np.random.default_rng(5)
+    net = quality.ByteNet.fresh(3)
+    texts = [rng.integers(1, 256, n, dtype=np.uint8).tobytes() for n in (30, 700, 5000)]
+    chunks = [quality.chunks_of(t) for t in texts]
+    owner = np.repeat(np.arange(3), [len(c) for c in chunks])
+    y, weight = np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
+    whole = quality._gradients(net, np.concatenate(chunks), owner, y, weight)
+    parts = quality._gradients(net, np.concatenate(chunks), owner, y, weight, block=5)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-5) for a, b in zip(whole, parts))
+
+    def loss():
+        p = np.array([net.scores([t])[0] for t in texts])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    for w, g in zip(net.weights()[-2:], whole[-2:]):
+        for k in range(min(3, w.size)):
+            before = w.flat[k]
+            w.flat[k] = before + 1e-3
+            up = loss()
+            w.flat[k] = before - 1e-3
+            assert abs((up - loss()) / 2e-3 - g.flat[k]) < 2e-3
+            w.flat[k] = before
+    assert net.scores(texts).tolist() == [net.scores([t])[0] for t in texts]
+
+
+def test_quality_sample_is_bounded_and_edges_hold(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20, 1) for i in range(60)] + [(3, "zz", 1), (4, "x" * 100_000, 1), (None, None, 1)], "doc_id long, text string, score long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = quality.labelled_sample(docs, labels, rows=20, most_bytes=3000)
+    assert 0 < len(found) <= 20 and sum(len(t) for t, _ in found) <= 3000
+    assert found == quality.labelled_sample(docs.repartition(3), labels, rows=20, most_bytes=3000)
+    net = quality.fit(docs, labels, rows=20, most_bytes=3000)
+    assert quality.score_documents(docs, net).count() == 63 and quality.score_documents(docs.limit(0), net).count() == 0
+    assert quality.fit(docs.limit(0), labels).scores([b"", b"a"]).tolist() == [0.5, 0.5]
+
+
 def test_quality_network(spark):
     rng = np.random.default_rng(0)
     good = ["The garden is quiet in the morning and the birds sing. " * int(n) for n in rng.integers(2, 6, 60)]
