@@ -6,9 +6,9 @@ positional byte alone holds a 256th of all fingerprints, however many there are,
 their square. Two fingerprints that share m positional bytes meet in C(m, TOGETHER) lists, so the tally of their
 common lists gives the tally of their bytes: pairs that reach C(5, TOGETHER) are kept and then verified bit by bit.
 
-A list longer than a block is dealt in blocks, and every pair of blocks is a cell for one task, which tallies the bytes of
-its pairs as arrays and returns only links that connect what its pairs connect. So no list is held whole, none is
-written out as all its pairs, and none is cut short.
+Only short lists are joined with themselves. A longer one is dealt in blocks, and every pair of blocks is a cell for one
+task, which tallies the bytes of its pairs as arrays and returns only links that connect what its pairs connect. So no
+list is held whole, none is written out as all its pairs, and none is cut short.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ MIN_SHARED = BYTES - MAX_BITS
 TOGETHER = 4
 SHINGLE_WORDS = 3
 SEED = 42
-#: Fingerprints of a block; a longer list is dealt in blocks.
-BLOCK = 512
+#: Lists of so many fingerprints are joined with themselves; longer ones are dealt in blocks, of so many each.
+PAIRED_LIST, BLOCK = 8, 1024
 
 _UPPER = bytes(range(65, 91))
 _LOWER = _UPPER.lower()
@@ -140,7 +140,7 @@ def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
 
-def links(fps: DataFrame, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, together: int = TOGETHER, paired: int = PAIRED_LIST, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between distinct fingerprints ``fp`` that connect all that differ in ``MAX_BITS`` or fewer.
 
     A pair that meets in a dealt list is tallied there, byte by byte. Any other meets in short lists only, so that the count of
@@ -152,20 +152,20 @@ def links(fps: DataFrame, together: int = TOGETHER, block: int = BLOCK) -> DataF
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = written(postings.join(lists, "key"), "postings")
 
-    short = live.where(F.col("n") <= block)
+    short = live.where(F.col("n") <= paired)
     a, b = short.alias("a"), short.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("lists")).where(F.col("lists") >= comb(MIN_SHARED, together))
     found = counted.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
 
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = live.where(F.col("n") > block).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = live.where(F.col("n") > paired).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = other.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp")
     return found.unionAll(cells.groupBy("key", "low", "high").applyInPandas(_cell_links, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, together: int = TOGETHER, paired: int = PAIRED_LIST, block: int = BLOCK) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``fingerprint`` has 16 lowercase hex digits; ``component_id`` is the least ``doc_id`` that can be reached over
@@ -173,15 +173,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, together: int =
     like any other. Repeated rows each give a row. A null ``doc_id`` is kept and never names a component unless the whole
     component has none. An empty table gives an empty result.
     """
-    docs_fp, labels = _labelled(docs, words, together, block)
+    docs_fp, labels = _labelled(docs, words, together, paired, block)
     return docs_fp.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _labelled(docs: DataFrame, words: int, together: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, words: int, together: int, paired: int, block: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_hash, fp`` of every row, and ``fp, component, component_id`` of every fingerprint."""
     docs_fp = written(fingerprints(docs, words), "fingerprints")
     distinct = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = connected_components(links(distinct.select("fp"), together, block), "a", "b")
+    linked = connected_components(links(distinct.select("fp"), together, paired, block), "a", "b")
     members = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     members = written(members, "members")
     drop_written(distinct)
@@ -195,7 +195,7 @@ def keep_one_of_each_group(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataF
     It is the row with the least ``doc_id`` that is not null; of rows that share it, or of a component without ids, the one with
     the least hash of its text, and of rows that repeat both any one. An empty table stays empty.
     """
-    docs_fp, labels = _labelled(docs, words, TOGETHER, BLOCK)
+    docs_fp, labels = _labelled(docs, words, TOGETHER, PAIRED_LIST, BLOCK)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id"), "text_hash")
     stays = docs_fp.join(labels, "fp").groupBy("component").agg(F.min(order).alias("least")).select("least.*")
     own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id"), F.xxhash64(text_of()).alias("text_hash")]

@@ -36,19 +36,19 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
-def test_simhash_equals_all_pairs(spark, block):
+@pytest.mark.parametrize(("paired", "block"), [(simhash.PAIRED_LIST, simhash.BLOCK), (1, 2)])
+def test_simhash_equals_all_pairs(spark, paired, block):
     base = "the quick brown fox jumps over the lazy dog and then it runs away from the very angry farmer of the town " * 4
     texts = {1: base, 2: base + "again", 3: base.upper(), 4: "", 5: None, 6: "one", 7: "One", 8: "wholly other words stand here and nothing else at all", 9: base.replace("fox", "cat"), 10: " \t\n", 11: "é ê è ü"}
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA), block=block).collect()}
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), SCHEMA), paired=paired, block=block).collect()}
     fps = {i: plain_fingerprint(t) for i, t in texts.items()}
     assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in fps.items()}
     least = reachable(texts, [(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 3])
     assert {i: r["component_id"] for i, r in got.items()} == least
 
 
-@pytest.mark.parametrize(("together", "block"), [(4, simhash.BLOCK), (4, 2), (3, 7), (2, 40), (1, 512)])
-def test_links_connect_all_within_three_bits(spark, together, block):
+@pytest.mark.parametrize(("together", "paired", "block"), [(4, 8, 1024), (4, 1, 2), (3, 7, 7), (2, 500, 500), (1, 3, 40)])
+def test_links_connect_all_within_three_bits(spark, together, paired, block):
     import random
 
     rng = random.Random(1)
@@ -64,7 +64,7 @@ def test_links_connect_all_within_three_bits(spark, together, block):
                 x ^= 1 << b
             fps.add(x)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    pairs = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), together, block)
+    pairs = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), together, paired, block)
     got = {r["node"]: r["component"] for r in connected_components(pairs, "a", "b").collect()}
     want = reachable(signed, [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3])
     assert {f: got.get(f, f) for f in signed} == want
