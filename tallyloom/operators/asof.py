@@ -33,12 +33,18 @@ def first_delivery(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return best.select(*keys, *[F.col("_first").getField(c).alias(c) for c in rest]).select(*df.columns)
 
 
+#: Cursors that one call may ask for.
+MOST_CURSORS = 10_000
+
+
 def latest_at_each(df: DataFrame, keys: list[str], order: list[str], cursors: DataFrame) -> DataFrame:
     """``cursor`` and the latest row of every key at each cursor.
 
-    Each row is valid from its stamp until the next row of its key, and meets the cursors in between. Cursors are a few dates, so the
-    band join broadcasts them; no row is copied to a cursor at which it is not the answer.
+    Each row is valid from its stamp until the next row of its key, and meets the cursors in between. Cursors are a few dates,
+    at most ``MOST_CURSORS``, so the band join broadcasts them; no row is copied to a cursor at which it is not the answer.
     """
+    if cursors.limit(MOST_CURSORS + 1).count() > MOST_CURSORS:
+        raise ValueError(f"at most {MOST_CURSORS} cursors")
     by_key = Window.partitionBy(*keys).orderBy(*order)
     spans = df.withColumn("_until", F.lead(order[0]).over(by_key))
     joined = spans.join(F.broadcast(cursors), (F.col(order[0]) <= F.col("cursor")) & (F.col("_until").isNull() | (F.col("_until") > F.col("cursor"))))

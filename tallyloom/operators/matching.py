@@ -90,7 +90,7 @@ def collapsed_duplicates(raw: DataFrame, normalized: DataFrame) -> DataFrame:
     return raw.join(normalized.select("raw_id"), "raw_id", "left_anti").join(kept, ["source_system", "source_record_id"], "left_semi")
 
 
-def fixpoint(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+def fixpoint(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Attach records to episodes until nothing changes: ``attachments`` and ``parked``.
 
     ``lookups`` as for ``resolve``. ``anchors``: ``key_type, key_value, first_seen_at, target, target_entity`` of episodes.
@@ -98,13 +98,13 @@ def fixpoint(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame, round
 
     A record attaches at the later of its own arrival and the first arrival of a matching key. Whether its target is the only
     one is judged as of that moment, and an answer once given stays. Each round's answers are stored, so the plan does not
-    grow; chains are short (claim, line with a payer number, replacement), and more than ``rounds`` raise.
+    grow. A round that goes on attaches a record at least, so chains of any length come to their end.
     """
     from tallyloom.sources.landing import stored
 
     known = stored(anchors, "known")
     attached = None
-    for _ in range(rounds):
+    while True:
         open_keys = lookups if attached is None else lookups.join(attached.select("record_id"), "record_id", "left_anti")
         hits = open_keys.join(known, ["key_type", "key_value"]).withColumn("_at", F.greatest("at", "first_seen_at"))
         first = hits.groupBy("record_id").agg(F.min("_at").alias("attached_at"))
@@ -121,8 +121,6 @@ def fixpoint(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame, round
         )
         both = known.unionByName(more).groupBy("key_type", "key_value", "target").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("target_entity").alias("target_entity"))
         known = stored(both.select(*known.columns), "known")
-    else:
-        raise RuntimeError(f"records still attach after {rounds} rounds")
     if attached is None:
         attached = new
     rest = lookups.join(attached.select("record_id"), "record_id", "left_anti")

@@ -118,10 +118,13 @@ def largest_remainder_split(spark, sf_dir):
     return _split(spark, sf_dir).select("o_orderkey", "place", "share")
 
 
-@query("SELECT o_orderkey AS bank_id, CAST(0 AS BIGINT) AS deposit_cents, CAST(0 AS BIGINT) AS allocated_cents FROM orders WHERE false")
+@query(f"""SELECT o_orderkey AS bank_id, {cents_sql('o_totalprice')} + 1 AS deposit_cents, {cents_sql('o_totalprice')} AS allocated_cents FROM orders
+    WHERE o_orderkey % 11 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def allocation_balance(spark, sf_dir):
+    """Every split against its deposit, of which each eleventh is a cent more than what was split."""
     rows = _split(spark, sf_dir)
-    deposits = rows.select(F.col("o_orderkey").alias("bank_id"), F.col("total").alias("deposit_cents")).distinct()
+    deposit = F.col("total") + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0)
+    deposits = rows.select(F.col("o_orderkey").alias("bank_id"), deposit.alias("deposit_cents")).distinct()
     return allocation.unbalanced(deposits, rows.select(F.col("o_orderkey").alias("bank_id"), F.col("share").alias("allocated_cents")))
 
 
@@ -197,13 +200,14 @@ def wire_dates(spark, sf_dir):
     return orders.select("o_orderkey", wire_of_iso(iso).alias("wire")).withColumn("iso", iso_of_wire(F.col("wire")))
 
 
-@query("""WITH days AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+@query("""WITH days AS (SELECT CAST(unnest(generate_series(min(o_orderdate)::DATE - 7, max(o_orderdate)::DATE + 14, INTERVAL 1 DAY)) AS DATE) AS day FROM orders),
     open AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM days WHERE isodow(day) < 6),
     numbered AS (SELECT d.day, (SELECT count(*) FROM open o WHERE o.day <= d.day) AS n FROM days d)
     SELECT o_orderkey, o.day AS settles_on FROM orders JOIN numbered d ON d.day = CAST(o_orderdate AS DATE) JOIN open o ON o.n = d.n + 3""")
 def banking_days(spark, sf_dir):
     (orders,) = tables(spark, sf_dir, "orders")
-    calendar = banking_calendar(spark, "1995-01-01", "2001-12-31")
+    first, last = orders.agg(F.date_sub(F.min("o_orderdate"), 7).cast("string"), F.date_add(F.max("o_orderdate"), 14).cast("string")).first()
+    calendar = banking_calendar(spark, first or "2000-01-01", last or "2000-01-31")
     rows = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
     return add_banking_days(rows, "ordered", 3, calendar, "settles_on").select("o_orderkey", "settles_on")
 

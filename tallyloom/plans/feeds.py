@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.functions.keys import canonical_json
+from tallyloom.operators import quotes
 from tallyloom.operators.matching import contradicts
-from tallyloom.plans.registry import query, tables
+from tallyloom.plans.registry import cents, cents_sql, query, tables
 from tallyloom.sources.contracts import Field, authority_breaches, violations
 from tallyloom.sources.controls import reconciled
 
@@ -18,10 +19,15 @@ def json_canonical_extract(spark, sf_dir):
     return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), canonical_json("user_id", "event_id", "event_type").alias("canonical"))
 
 
-@query("""SELECT event_id, regexp_replace(props, '"k": [0-9]+', '"k": "[REDACTED]"') AS payload, ['k'] AS removed FROM events""")
+@query("""SELECT event_id, '{"event_id":' || event_id || ',"claim":{"bin":"[REDACTED:PHI]","lines":[{"cardholder_id":"[REDACTED:PHI]","kind":"' || event_type || '"}]}}' AS payload,
+    ['bin', 'cardholder_id'] AS removed FROM events""")
 def phi_redaction(spark, sf_dir):
+    """Payloads with private values in an object of objects and in a list."""
     (events,) = tables(spark, sf_dir, "events")
-    return events.select("event_id", T.redact_json(F.col("props"), ("k",)).alias("payload"), T.removed_keys(F.col("props"), ("k",)).alias("removed"))
+    line = F.concat(F.lit('{"cardholder_id": {"no": '), F.col("user_id").cast("string"), F.lit('}, "kind": "'), F.col("event_type"), F.lit('"}'))
+    claim = F.concat(F.lit('{"bin": "610'), F.col("user_id").cast("string"), F.lit('", "lines": ['), line, F.lit("]}"))
+    payload = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "claim": '), claim, F.lit("}"))
+    return events.select("event_id", T.redaction(payload).alias("r")).select("event_id", "r.payload", "r.removed")
 
 
 @query("""SELECT event_id, list_filter([CASE WHEN NOT regexp_matches(CAST(value AS VARCHAR), '^[0-9]{1,2}\\.[0-9]+$') THEN 'value: KIND' END,
@@ -50,34 +56,41 @@ def control_totals(spark, sf_dir):
     return reconciled(docs.groupBy("source").agg(F.count("*").alias("observed_count")), declared, "source")
 
 
-@query("""WITH pieces AS (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark WHERE item_id < 3)
-    SELECT d.doc_id, p.item_id FROM documents d JOIN pieces p ON contains(lower(trim(regexp_replace(d.text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lower(trim(regexp_replace(p.quote, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))))""")
+_FLAT = "lower(trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))"
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT doc_id, {_FLAT.format("text")} AS flat FROM documents), b AS MATERIALIZED (SELECT item_id, {_FLAT.format("text")} AS quote FROM benchmark)
+    SELECT doc_id, item_id FROM d JOIN b ON contains(flat, quote)""")
 def quoted_span_verified(spark, sf_dir):
-    """Three stated quotes against all documents, one pass over them."""
+    """Every benchmark text, whole, against all documents."""
     docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
-    quotes = benchmark.where("item_id < 3").select("item_id", T.flat(F.substring("text", 1, 60)).alias("quote"))
-    listed = quotes.agg(F.collect_list(F.struct("item_id", "quote")).alias("quotes"))
-    rows = docs.select("doc_id", T.flat(F.col("text")).alias("flat")).join(F.broadcast(listed))
-    found = rows.select("doc_id", F.explode(F.filter("quotes", lambda q: F.contains(F.col("flat"), q["quote"]))).alias("q"))
-    return found.select("doc_id", "q.item_id")
+    return quotes.quoted_in(docs.select("doc_id", "text"), benchmark.select("item_id", F.col("text").alias("quote")), "doc_id", "item_id")
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) > 0 AS has_digits FROM documents""")
+@query(f"""SELECT o_orderkey, CASE WHEN {cents_sql('o_totalprice')} = o_orderkey * 100 THEN [CAST(o_orderkey AS VARCHAR) || '.00', CAST(o_orderkey AS VARCHAR)]
+    ELSE [({cents_sql('o_totalprice')} // 100) || '.' || lpad(CAST({cents_sql('o_totalprice')} % 100 AS VARCHAR), 2, '0'), CAST(o_orderkey AS VARCHAR)] END AS numbers FROM orders""")
 def numbers_present(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.col("text").rlike("[0-9]").alias("has_digits"))
+    """Amounts in a sentence: separators go, a date and an identifier with letters are none."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    amount = F.format_number((cents("o_totalprice") / 100).cast("decimal(20,2)"), 2)
+    key = F.col("o_orderkey").cast("string")
+    said = F.concat(F.lit("Deposit of $"), amount, F.lit(" on 2024-05-01 for ORD-"), key, F.lit(" in "), key, F.lit(" parts."))
+    return orders.select("o_orderkey", T.numbers_in(said).alias("numbers"))
 
 
-@query("""SELECT coalesce(a.name, b.name) AS name FROM (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0) a
-    FULL OUTER JOIN (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text || CASE WHEN doc_id % 10 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 3 = 0) b ON a.name = b.name WHERE a.h IS DISTINCT FROM b.h""")
+@query("""SELECT coalesce(a.name, b.name) AS name FROM (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS h FROM documents) a
+    FULL OUTER JOIN (SELECT doc_id || CASE WHEN doc_id % 7 = 0 THEN 'b' ELSE '' END AS name, sha256(coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN '!' ELSE '' END) AS h FROM documents) b
+    ON a.name = b.name WHERE a.h IS DISTINCT FROM b.h""")
 def manifest_diff(spark, sf_dir):
+    """All documents against all of them after some were renamed and some changed."""
     from tallyloom.sources.landing import changed_files
 
     (docs,) = tables(spark, sf_dir, "documents")
-    name = F.col("doc_id").cast("string").alias("name")
+    name, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
     sha = lambda c: F.sha2(c.cast("binary"), 256).alias("sha256")
-    left = docs.where("doc_id % 2 = 0").select(name, sha(F.col("text")))
-    right = docs.where("doc_id % 3 = 0").select(name, sha(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "!").otherwise(""))))
+    renamed = F.concat(name, F.when(F.col("doc_id") % 7 == 0, "b").otherwise(""))
+    left = docs.select(name.alias("name"), sha(text))
+    right = docs.select(renamed.alias("name"), sha(F.concat(text, F.when(F.col("doc_id") % 10 == 0, "!").otherwise(""))))
     return changed_files(left, right).select("name")
 
 

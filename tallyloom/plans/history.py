@@ -201,18 +201,22 @@ def running_balance(spark, sf_dir):
     return asof.running_total(rows, ["user_id"], ["ts", "event_id"], "c", 124_000_000).select("event_id", "user_id", "running_cents")
 
 
-@query(f"""SELECT 'order' AS kind, o_orderkey AS id, o_orderdate AS "at", {cents_sql('o_totalprice')} AS amount_cents, o_orderstatus AS fact FROM orders WHERE o_custkey = 7
-    UNION ALL SELECT 'line', l_orderkey, l_shipdate, {cents_sql('l_extendedprice')}, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7
-    UNION ALL SELECT 'event', event_id, ts, {cents_sql('value')}, event_type FROM events WHERE user_id = 7""")
+@query(f"""SELECT o_custkey AS who, 'order' AS kind, o_orderkey AS id, o_orderdate AS "at", {cents_sql('o_totalprice')} AS amount_cents, o_orderstatus AS fact FROM orders
+    UNION ALL SELECT o_custkey, 'line', l_orderkey, l_shipdate, {cents_sql('l_extendedprice')}, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    UNION ALL SELECT user_id, 'event', event_id, ts, {cents_sql('value')}, event_type FROM events""")
 def timeline_union(spark, sf_dir):
+    """Three shapes of rows as the timeline of everyone."""
     orders, lines, events = tables(spark, sf_dir, "orders", "lineitem", "events")
-    own = orders.where("o_custkey = 7")
-    shipped = lines.join(own.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    shipped = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def shape(rows, who, kind, id, at, amount, fact):
+        return rows.select(F.col(who).alias("who"), F.lit(kind).alias("kind"), F.col(id).alias("id"), F.col(at).alias("at"), cents(amount).alias("amount_cents"), F.col(fact).alias("fact"))
+
     return reads.timeline(
-        own.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), cents("o_totalprice").alias("amount_cents"), F.col("o_orderstatus").alias("fact")),
-        shipped.select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), cents("l_extendedprice").alias("amount_cents"), F.col("l_returnflag").alias("fact")),
-        events.where("user_id = 7").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"), cents("value").alias("amount_cents"), F.col("event_type").alias("fact")),
-    )
+        shape(orders, "o_custkey", "order", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"),
+        shape(shipped, "o_custkey", "line", "l_orderkey", "l_shipdate", "l_extendedprice", "l_returnflag"),
+        shape(events, "user_id", "event", "event_id", "ts", "value", "event_type"),
+    )
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, c_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: JSON of each feed; money is decimal and never double.
@@ -67,17 +67,20 @@ def by_id(sources: list[Source], source_id: str) -> Source:
 
 
 def _with_place(df: DataFrame) -> DataFrame:
-    """File, its hash of name and size, and a line order within it that follows the file's bytes."""
+    """The file, and a number that follows the order of its lines; it says nothing beyond one read."""
     return df.withColumn("file", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start")).withColumn("line_no", F.monotonically_increasing_id())
 
 
 def _raw(df: DataFrame, source: Source, fetched_at: str) -> DataFrame:
+    """Raw rows. Their id is the file's name, the payload's hash and how often the file has had it: no other read gives another."""
     stamp = F.nullif(F.get_json_object("payload", f"$.{source.received_at_field}"), F.lit(""))
     author = F.coalesce(F.get_json_object("payload", "$.source_system"), F.lit(source.source_system))
     own = F.get_json_object("payload", f"$.{source.own_id or 'record_id'}")
-    sha = F.sha2(F.col("payload").cast("binary"), 256)
+    df = df.withColumn("_sha", F.sha2(F.col("payload").cast("binary"), 256))
+    again = F.row_number().over(Window.partitionBy("file", "_sha").orderBy("line_no"))
+    sha = F.col("_sha")
     return df.select(
-        F.concat_ws(":", F.lit(source.source_id), F.regexp_extract("file", "([^/]*)$", 1), F.col("line_no").cast("string"), F.substring(sha, 1, 12)).alias("raw_id"),
+        F.concat_ws(":", F.lit(source.source_id), F.regexp_extract("file", "([^/]*)$", 1), F.substring(sha, 1, 24), again.cast("string")).alias("raw_id"),
         F.lit(source.source_id).alias("source_id"), author.alias("source_system"), own.alias("source_record_id"), "file", "line_no",
         F.coalesce(stamp, F.lit(fetched_at)).alias("received_at"), sha.alias("payload_sha256"), "payload",
     )

@@ -145,3 +145,35 @@ def test_collapsed_duplicates_and_merged_decisions(spark):
     a = spark.createDataFrame([("k", 1, "OK"), ("k", 2, "BAD")], "id string, n int, outcome string")
     b = spark.createDataFrame([("m", 1, "PAID")], "id string, n int, state string")
     assert sorted(map(tuple, folds.merged_decisions(a, b, "id", ["n"], (["outcome"], ["state"])).collect())) == [("k", "BAD", None), ("m", None, "PAID")]
+
+
+def test_quotes_equal_brute_force(spark):
+    from tallyloom.operators import quotes
+
+    texts = {1: "The  quick brown\nfox jumps over the lazy dog", 2: "a quick brown fox", 3: None, 4: "", 5: "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOGS again and again", 6: "one two three"}
+    said = {10: "quick brown fox", 11: "ick brown fox jumps over the lazy do", 12: "one two three", 13: "two", 14: None, 15: "fox jumps over a lazy dog", 16: "the quick brown fox jumps over the lazy dog"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame(list(said.items()), "item_id long, quote string")
+    plain = lambda t: " ".join((t or "").lower().split())
+    want = {(d, q) for d, t in texts.items() for q, u in said.items() if len(plain(u).split()) >= 3 and plain(u) in plain(t)}
+    assert {tuple(r) for r in quotes.quoted_in(docs, asked, "doc_id", "item_id").collect()} == want and len(want) == 8
+
+
+def test_raw_ids_are_the_same_in_every_read(spark, tmp_path):
+    from tallyloom.sources import feeds
+
+    lines = ['{"record_id": "1"}', '{"record_id": "2"}', '{"record_id": "1"}', ""]
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text("\n".join(lines))
+    source = lambda *names: feeds.Source("s", "PBM", "JSONL", tuple(str(tmp_path / n) for n in names))
+    ids = lambda *names: sorted(r["raw_id"] for r in feeds.read_jsonl(spark, source(*names), "2025-01-01").select("raw_id").collect())
+    assert ids("a.jsonl", "b.jsonl") == sorted(ids("a.jsonl") + ids("b.jsonl")) and len(set(ids("a.jsonl"))) == 3
+
+
+def test_fixpoint_follows_chains_of_any_length(spark):
+    n = 9
+    lookups = spark.createDataFrame([(f"r{i}", "k", f"v{i}", i, None) for i in range(1, n + 1)], "record_id string, key_type string, key_value string, at int, entity string")
+    anchors = spark.createDataFrame([("k", "v1", 0, "e", None)], "key_type string, key_value string, first_seen_at int, target string, target_entity string")
+    publishes = spark.createDataFrame([(f"r{i}", "k", f"v{i + 1}", i) for i in range(1, n + 1)], "record_id string, key_type string, key_value string, first_seen_at int")
+    attached, _ = matching.fixpoint(lookups, anchors, publishes)
+    assert {r["record_id"] for r in attached.collect()} == {f"r{i}" for i in range(1, n + 1)}
