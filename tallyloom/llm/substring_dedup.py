@@ -9,6 +9,7 @@ document, but for a few words at its ends.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import text_of, with_row, written
+from tallyloom.llm.common import drop_written, text_of, with_row, written
 
 #: A run is so many sentences, and goes on until it has so many words: any passage of fifty words holds one.
 RUN_SENTENCES = 3
@@ -33,13 +34,18 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])")
 _WORD = re.compile(r"\S+")
 
 
-def _pieces(text: str, at: int, stop: int) -> Iterator[tuple[int, int, list[str]]]:
-    """Units of a long sentence. Where it is cut depends on the words near by, not on how many come before."""
+@functools.lru_cache(maxsize=100_000)
+def _hash_of(word: str) -> int:
     import xxhash
 
-    spans = [(m.start(), m.end()) for m in _WORD.finditer(text, at, stop)]
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8"))
+
+
+def _pieces(text: str, at: int, stop: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Units of a long sentence. Where it is cut depends on the words near by, not on how many come before."""
+    spans = [m.span() for m in _WORD.finditer(text, at, stop)]
     words = [text[s:e] for s, e in spans]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8")) for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(_hash_of, words), np.uint64, len(words))
     least = hashes.copy()
     for k in range(1, NEIGHBOURS + 1):
         np.minimum(least[k:], hashes[:-k], out=least[k:])
@@ -124,14 +130,16 @@ def _run_batch(ids: list, texts: list, places: list[int], hashes: list[bytes]) -
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, places``: where runs begin that occurred before, for documents that have any.
 
-    The repeated runs are a table of their own, so both sides of the join come straight from shuffles and Spark
-    can split the part with a very common run over many tasks.
+    Runs are first only counted, then those that come more than once are taken out of their table. Both sides of each join come
+    straight from shuffles, so Spark can split the part with a very common run over many tasks.
     """
     table = written(run_table(docs), "runs")
-    counted = table.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first"))
-    first = written(counted.where("n > 1").select("hi", "lo", "first"), "repeated")
-    again = table.join(first, ["hi", "lo"]).where(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
+    several = written(table.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "several")
+    again = written(table.join(several, ["hi", "lo"]), "repeated")
+    drop_written(table)
+    first = written(again.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first")), "first")
+    later = again.join(first, ["hi", "lo"]).where(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
 
 def _cut(text: str, places) -> tuple[str, list[dict], int]:
