@@ -134,11 +134,13 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     straight from shuffles, so Spark can split the part with a very common run over many tasks.
     """
     table = written(run_table(docs), "runs")
-    several = written(table.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "several")
-    again = written(table.join(several, ["hi", "lo"]), "repeated")
+    several = table.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1")
+    several = written(several.select("hi", "lo", F.monotonically_increasing_id().alias("run")), "several")  # a short number for each
+    again = written(table.join(several, ["hi", "lo"]).select("run", "doc_id", "text_hash", "place"), "repeated")
     drop_written(table)
-    first = written(again.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first")), "first")
-    later = again.join(first, ["hi", "lo"]).where(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
+    drop_written(several)
+    first = written(again.groupBy("run").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first")), "first")
+    later = again.join(first, "run").where(~F.struct("doc_id", "text_hash", "place").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
 
