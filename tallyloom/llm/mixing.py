@@ -9,6 +9,7 @@ and sorted by a hash of id and copy over the whole cluster.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -77,8 +78,9 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: int = SEED,
     and those without one are each copied as often as the others. Input columns named like the added ones give way. An empty table stays empty.
     """
     mean = rates(docs, targets, epochs)
-    known = [(s, draws_of(mean[s]), poisson_cdf(mean[s] / draws_of(mean[s]))) for s in targets]
-    table = docs.sparkSession.createDataFrame(known, "target string, draws int, cdf array<double>")
+    known = [{"target": s, "draws": draws_of(mean[s]), "cdf": poisson_cdf(mean[s] / draws_of(mean[s]))} for s in targets]
+    table = F.from_json(F.lit(json.dumps(known)), "array<struct<target:string,draws:int,cdf:array<double>>>")
+    table = docs.sparkSession.range(1).select(F.inline(table))
     named = [s for s in targets if s != OTHER]
     pool = F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(OTHER))
 
