@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
 from tallyloom.functions.dates import iso_of_wire
+from tallyloom.operators import vendors
 from tallyloom.operators.asof import first_delivery
 from tallyloom.sources.feeds import SCHEMAS
 
@@ -172,16 +173,33 @@ def beacon_payloads(p: DataFrame) -> DataFrame:
     )
 
 
+def vendor_rows(p: DataFrame) -> DataFrame:
+    """A decision and, where the row is flagged, its one reversal; or a line of an invoice, which moves no verdict and has no amount."""
+    day, npi, provider, rx = vendors.fill_day(), vendors.cell("pharmacy_npi"), vendors.cell("provider_npi"), vendors.cell("rx_number")
+    common = {
+        "received_at": vendors.arrived(), "entity": vendors.cell("covered_entity_id"), "npi": F.coalesce(npi, provider), "rx": rx, "ndc": vendors.ndc(), "hcpcs": vendors.cell("hcpcs"),
+        "event_date": day, "looks_up": rebate_keys(npi, provider, rx, vendors.ndc(), vendors.cell("hcpcs"), day),
+    }
+    kind = F.when(vendors.is_invoice(), "TPA_INVOICE_LINE").otherwise("TPA_QUALIFICATION")
+    own = _shape(p, kind, record_id=_id(), status=F.when(~vendors.is_invoice(), vendors.cell("qualification_status")), **common)
+    back = p.where(vendors.is_reversed() & ~vendors.is_invoice())
+    return own.unionByName(_shape(back, "TPA_REVERSAL", record_id=_id("REVERSAL"), parent_id=_id(), **common))
+
+
+VENDORS = ("TPA_VERITY", "TPA_CRANEWARE")
 #: Each source system's adapter; a new feed is a new entry.
 ADAPTERS = {
     "PBM_ADJUDICATION": adjudications, "PBM_REMITTANCE": pharmacy_remittances, "CLEARINGHOUSE_837": medical_submissions, "MEDICAL_REMITTANCE": medical_remittances, "TPA_PORTAL": rebate_events,
     "MANUFACTURER_REBATE": rebate_events, "BANK": bank_rows, "BEACON": beacon_payloads,
+    **dict.fromkeys(VENDORS, vendor_rows),
 }
 
 
 def _readable(system: str) -> Column:
     """Null, or why a parsed row cannot be read."""
     c = lambda n: F.col(f"p.{n}")
+    if system in VENDORS:
+        return vendors.unreadable()
     if system == "BANK":
         bad = F.when(c("amount").isNull() | _cents(c("amount")).isNull(), "UNPARSEABLE").when(~F.coalesce(c("posting_date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False)), "UNPARSEABLE")
     elif system == "BEACON":
@@ -200,12 +218,17 @@ def _readable(system: str) -> Column:
 def normalized(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``records, quarantine`` of raw rows. Of rows that repeat a source's record id, the first delivery gives records, with its children; all stay raw.
 
-    A record whose money cannot be read in whole cents is quarantined whole.
+    A row of a source without an adapter is quarantined. A record whose money cannot be read in whole cents is quarantined whole.
     """
-    records, refused = [], []
+    records = []
+    stray = raw.where(~F.coalesce(F.col("source_system").isin(*ADAPTERS), F.lit(False)))
+    refused = [stray.select("raw_id", "source_system", "received_at", F.lit("NO_ADAPTER").alias("why"))]
     for system, adapt in ADAPTERS.items():
         rows = raw.where(F.col("source_system") == system)
-        parsed = rows.select("*", F.from_json("payload", SCHEMAS[system]).alias("p")).withColumn("why", _readable(system))
+        parsed = rows.select("*", F.from_json("payload", SCHEMAS[system]).alias("p"))
+        if system in VENDORS:
+            parsed = parsed.withColumn("source_record_id", vendors.identity())
+        parsed = parsed.withColumn("why", _readable(system))
         refused.append(parsed.where("why IS NOT NULL").select("raw_id", "source_system", "received_at", "why"))
         good = parsed.where("why IS NULL").drop("why")
         named = good.where("source_record_id IS NOT NULL")

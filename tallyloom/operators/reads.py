@@ -51,6 +51,11 @@ def spread(df: DataFrame, array: str, key: str, out: str = "episodes") -> DataFr
     return df.select(key, F.explode(array).alias("element")).groupBy("element").agg(F.count_distinct(key).alias(out))
 
 
+def top(counts: DataFrame, count: str, limit: int, *ties: str) -> DataFrame:
+    """The rows with the highest counts; ties go by the named columns."""
+    return counts.orderBy(F.desc(count), *ties).limit(limit)
+
+
 def repeated(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(out)).where(F.col(out) > 1)
 

@@ -37,6 +37,10 @@ SCHEMAS: dict[str, str] = {
         ndc_11 string, date_of_service string, outcome string, decided_at string, payment_reference string, batch_received_at string""",
 }
 SCHEMAS["MANUFACTURER_REBATE"] = SCHEMAS["TPA_PORTAL"]
+#: The vendors' exports have one schema; a cell that an export lacks is null.
+SCHEMAS["TPA_VERITY"] = """covered_entity_id string, ndc_11 string, ndc11 string, dispense_status string, reversal_date string, hcpcs string, fill_date string, rx_number string, pharmacy_npi string, provider_npi string, accumulation_id string,
+    invoice_number string, qualification_status string, qualification_received_at string, batch_received_at string, reversal_status string, reversal_received_at string"""
+SCHEMAS["TPA_CRANEWARE"] = SCHEMAS["TPA_VERITY"]
 BANK_COLUMNS = ["posting_date", "description", "ach_trace_number", "trn02", "company_name", "company_id", "company_entry_description", "amount", "type", "running_balance", "received_at"]
 
 
@@ -115,7 +119,7 @@ READERS = {"JSONL": read_jsonl, "BANK_CSV": read_bank_csv, "VENDOR_CSV": lambda
 
 def read(spark: SparkSession, sources: list[Source], fetched_at: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """All enabled sources as one table of raw rows, without those of excluded authors; an unknown format or author is refused."""
-    known = (*SCHEMAS, "TPA_VERITY", "TPA_CRANEWARE")
+    known = tuple(SCHEMAS)
     unknown = {s.payload_format for s in sources} - set(READERS)
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
@@ -135,8 +139,3 @@ def new_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     fresh = files.join(seen.select("sha256"), "sha256", "left_anti")
     known = seen.where("modified_at IS NOT NULL").select("source_id", "name", "modified_at")
     return fresh.join(known, ["source_id", "name", "modified_at"], "left_anti")
-
-
-def vendor_arrival(row_stamp, reversed_, reversal_stamp, fetched_at: str):
-    """The later of a row's stamp and, if it is reversed, its reversal's; else when it was fetched."""
-    return F.coalesce(F.greatest(row_stamp, F.when(reversed_, reversal_stamp)), F.lit(fetched_at))
