@@ -144,12 +144,12 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op11_exact_top_k": f"""
         WITH whole AS (
-            SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, x -> CAST(floor({topk.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: CAST(floor({topk.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         scored AS (
-            SELECT q.nth, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+            SELECT q.nth, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
         ),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
