@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.money import expected_rebate, expected_terms
 from tallyloom.operators import allocation, dimensions, matching, rules
+from tallyloom.operators.crosswalk import attach
 from tallyloom.operators.folds import adjusted, specific_adjustment
 from tallyloom.sources.landing import stored
 
@@ -28,12 +29,12 @@ def crosswalk(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = F.col("received_at").alias("first_seen_at")
     published = records.select("record_id", "creates", "entity", seen, F.explode("publishes").alias("k")).select("*", "k.key_type", "k.key_value")
     anchors = published.where("creates IS NOT NULL").select("key_type", "key_value", "first_seen_at", F.col("record_id").alias("target"), F.col("entity").alias("target_entity"))
-    more = published.where("creates IS NULL").select("record_id", "key_type", "key_value", "first_seen_at")
+    more = published.where("creates IS NULL").select("record_id", "key_type", "key_value")
     waiting = records.where(F.col("creates").isNull() & ~F.col("record_kind").isin(*_ROOTS))
     lookups = waiting.select("record_id", F.col("received_at").alias("at"), "entity", F.explode_outer("looks_up").alias("k")).select("record_id", "at", "k.key_type", "k.key_value", "entity")
-    attached, parked = matching.fixpoint(lookups, anchors, more)
+    attached, parked = attach(lookups, anchors, more)
     own = records.where("creates IS NOT NULL").select("record_id", F.col("record_id").alias("episode_id"), F.col("received_at").alias("attached_at"))
-    return stored(attached.unionByName(own), "crosswalk"), stored(parked, "parked")
+    return stored(attached.unionByName(own), "crosswalk"), parked
 
 
 def linked_deposits(records: DataFrame) -> tuple[DataFrame, DataFrame]:

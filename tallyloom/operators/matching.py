@@ -90,45 +90,6 @@ def collapsed_duplicates(raw: DataFrame, normalized: DataFrame) -> DataFrame:
     return raw.join(normalized.select("raw_id"), "raw_id", "left_anti").join(kept, ["source_system", "source_record_id"], "left_semi")
 
 
-def fixpoint(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Attach records to episodes until nothing changes: ``attachments`` and ``parked``.
-
-    ``lookups`` as for ``resolve``. ``anchors``: ``key_type, key_value, first_seen_at, target, target_entity`` of episodes.
-    ``publishes``: ``record_id, key_type, key_value, first_seen_at`` of keys that a record makes known once it is attached.
-
-    A record attaches at the later of its own arrival and the first arrival of a matching key. Whether its target is the only
-    one is judged as of that moment, and an answer once given stays. Each round's answers are stored, so the plan does not
-    grow. A round that goes on attaches a record at least, so chains of any length come to their end.
-    """
-    from tallyloom.sources.landing import stored
-
-    known = stored(anchors, "known")
-    attached = None
-    while True:
-        open_keys = lookups if attached is None else lookups.join(attached.select("record_id"), "record_id", "left_anti")
-        hits = open_keys.join(known, ["key_type", "key_value"]).withColumn("_at", F.greatest("at", "first_seen_at"))
-        first = hits.groupBy("record_id").agg(F.min("_at").alias("attached_at"))
-        judged = hits.join(first, "record_id").where("_at <= attached_at").groupBy("record_id", "attached_at").agg(
-            F.min("target").alias("episode_id"), F.max("target").alias("_most"), F.bool_or(contradicts(F.col("entity"), F.col("target_entity"))).alias("_clash")
-        )
-        new = stored(judged.where("episode_id = _most AND NOT _clash").select("record_id", "episode_id", "attached_at"), "attached")
-        if new.isEmpty():
-            break
-        attached = new if attached is None else stored(attached.unionByName(new), "attached")
-        entity = known.select(F.col("target").alias("episode_id"), "target_entity").groupBy("episode_id").agg(F.max("target_entity").alias("target_entity"))
-        more = publishes.join(new, "record_id").join(entity, "episode_id", "left").select(
-            "key_type", "key_value", F.greatest("first_seen_at", "attached_at").alias("first_seen_at"), F.col("episode_id").alias("target"), "target_entity"
-        )
-        both = known.unionByName(more).groupBy("key_type", "key_value", "target").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("target_entity").alias("target_entity"))
-        known = stored(both.select(*known.columns), "known")
-    if attached is None:
-        attached = new
-    rest = lookups.join(attached.select("record_id"), "record_id", "left_anti")
-    far = rest.agg(F.max("at")).first()[0]
-    parked = resolve(rest.withColumn("at", F.lit(far)), known).select("record_id", F.col("decision").alias("reason"))
-    return attached, parked
-
-
 def allocation_chunks(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """``df`` with ``chunk``: rows of a key in runs of ``size``."""
     return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("long"))

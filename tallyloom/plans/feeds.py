@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.functions.keys import canonical_json
+from tallyloom.functions.redaction import redaction
 from tallyloom.operators import quotes
 from tallyloom.operators.matching import contradicts
 from tallyloom.plans.registry import cents, cents_sql, query, tables
@@ -19,15 +20,17 @@ def json_canonical_extract(spark, sf_dir):
     return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), canonical_json("user_id", "event_id", "event_type").alias("canonical"))
 
 
-@query("""SELECT event_id, '{"event_id":' || event_id || ',"claim":{"bin":"[REDACTED:PHI]","lines":[{"cardholder_id":"[REDACTED:PHI]","kind":"' || event_type || '"}]}}' AS payload,
-    ['bin', 'cardholder_id'] AS removed FROM events""")
+@query("""SELECT event_id, '{"event_id": ' || event_id || ', "paid": 12.50, "claim": {"bin": "[REDACTED:PHI]", "lines": [{"cardholder_id": "[REDACTED:PHI]", "kind": "' || event_type
+    || '"}], "note": "pcn=[REDACTED:PHI], cabin=3"}}' AS payload, ['bin', 'cardholder_id', 'pcn'] AS removed FROM events""")
 def phi_redaction(spark, sf_dir):
-    """Payloads with private values in an object of objects and in a list."""
+    """Payloads with private values in an object of objects, in a list and in a sentence; all else stays byte by byte."""
     (events,) = tables(spark, sf_dir, "events")
-    line = F.concat(F.lit('{"cardholder_id": {"no": '), F.col("user_id").cast("string"), F.lit('}, "kind": "'), F.col("event_type"), F.lit('"}'))
-    claim = F.concat(F.lit('{"bin": "610'), F.col("user_id").cast("string"), F.lit('", "lines": ['), line, F.lit("]}"))
-    payload = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "claim": '), claim, F.lit("}"))
-    return events.select("event_id", T.redaction(payload).alias("r")).select("event_id", "r.payload", "r.removed")
+    user = F.col("user_id").cast("string")
+    line = F.concat(F.lit('{"cardholder_id": {"no": '), user, F.lit('}, "kind": "'), F.col("event_type"), F.lit('"}'))
+    note = F.concat(F.lit('"pcn='), user, F.lit(', cabin=3"'))
+    claim = F.concat(F.lit('{"bin": "610'), user, F.lit('", "lines": ['), line, F.lit('], "note": '), note, F.lit("}"))
+    payload = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "paid": 12.50, "claim": '), claim, F.lit("}"))
+    return events.select("event_id", redaction(payload).alias("r")).select("event_id", "r.payload", "r.removed")
 
 
 @query("""SELECT event_id, list_filter([CASE WHEN NOT regexp_matches(CAST(value AS VARCHAR), '^[0-9]{1,2}\\.[0-9]+$') THEN 'value: KIND' END,

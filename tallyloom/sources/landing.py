@@ -27,6 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table made by ``stored``, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/engine-" in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def landed(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Raw rows as they are kept: verbatim payload and its hash; never deduplicated."""
     return df.withColumn("payload_sha256", F.sha2(F.col(payload).cast("binary"), 256))

@@ -72,17 +72,5 @@ def test_dates(spark):
 
 
 def test_texts(spark):
-    payload = '{"a": {"cardholder_id": "X\\"1"}, "person_code":7, "other": "cardholder"}'
-    assert one(spark, T.redact_json(F.lit(payload)), T.removed_keys(F.lit(payload)))[1] == ["cardholder_id", "person_code"]
-
-
-def test_redaction_reaches_nested_values_and_fails_closed():
-    mark = T.REDACTED
-    assert T.redacted_text('{"bin": {"a": ["x"]}, "lines": [{"pcn": 7, "qty": 2}], "name": "bin"}') == (f'{{"bin":"{mark}","lines":[{{"pcn":"{mark}","qty":2}}],"name":"bin"}}', ["bin", "pcn"])
-    assert T.redacted_text('[{"group_id": null}]') == (f'[{{"group_id":"{mark}"}}]', ["group_id"])
-    assert T.redacted_text('{"\\u0062in": "123"}') == (f'{{"bin":"{mark}"}}', ["bin"])
-    assert T.redacted_text("prescriber_npi='12 34' and cardholder_id: 77, rest") == (f"prescriber_npi={mark} and cardholder_id: {mark}, rest", ["cardholder_id", "prescriber_npi"])
-    assert T.redacted_text("the cardholder_id is 77") == (None, None)
-    assert T.redacted_text("nothing here") == ("nothing here", []) and T.redacted_text("") == ("", []) and T.redacted_text("12") == ("12", [])
     assert one(spark, T.numbers_in(F.lit("On 2025-07-01 claim RX-0012 paid $1,200.50 of 1300"))) == (["1200.50", "1300"],)
     assert one(spark, T.quoted(F.lit("the  Quick"), F.lit("see The\nquick fox")), T.asks_to_write(F.lit("please DELETE it")), T.asks_to_write(F.lit("updated"))) == (True, True, False)

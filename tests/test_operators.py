@@ -45,17 +45,6 @@ def test_decisions_in_order(spark):
     assert got == {"one": ("ATTACHED", "e1"), "two": ("AMBIGUOUS_KEY_MATCH", None), "late": ("NO_KEY_MATCH", None), "none": ("NO_KEYS_PRESENT", None), "clash": ("COVERED_ENTITY_MISMATCH", None), "miss": ("NO_KEY_MATCH", None)}
 
 
-def test_fixpoint_follows_chains_and_keeps_early_answers(spark):
-    schema = "record_id string, at int, key_type string, key_value string, entity string"
-    lookups = spark.createDataFrame([("line", 2, "CLAIM", "c", None), ("again", 3, "ICN", "i", None), ("early", 1, "ICN", "i", None), ("lost", 1, "ICN", "x", None)], schema)
-    anchors = spark.createDataFrame([("CLAIM", "c", 1, "e1", None), ("ICN", "i", 9, "e2", None)], "key_type string, key_value string, first_seen_at int, target string, target_entity string")
-    publishes = spark.createDataFrame([("line", "ICN", "i", 2)], "record_id string, key_type string, key_value string, first_seen_at int")
-    attached, parked = matching.fixpoint(lookups, anchors, publishes)
-    got = {r["record_id"]: (r["episode_id"], r["attached_at"]) for r in attached.collect()}
-    assert got["line"] == ("e1", 2) and set(got) == {"line", "again", "early"}
-    assert [tuple(r) for r in parked.collect()] == [("lost", "NO_KEY_MATCH")]
-
-
 def test_band_match_equals_all_pairs(spark):
     rng = random.Random(3)
     day = lambda: f"2025-07-{rng.randint(1, 28):02d}"
@@ -168,12 +157,3 @@ def test_raw_ids_are_the_same_in_every_read(spark, tmp_path):
     source = lambda *names: feeds.Source("s", "PBM", "JSONL", tuple(str(tmp_path / n) for n in names))
     ids = lambda *names: sorted(r["raw_id"] for r in feeds.read_jsonl(spark, source(*names), "2025-01-01").select("raw_id").collect())
     assert ids("a.jsonl", "b.jsonl") == sorted(ids("a.jsonl") + ids("b.jsonl")) and len(set(ids("a.jsonl"))) == 3
-
-
-def test_fixpoint_follows_chains_of_any_length(spark):
-    n = 9
-    lookups = spark.createDataFrame([(f"r{i}", "k", f"v{i}", i, None) for i in range(1, n + 1)], "record_id string, key_type string, key_value string, at int, entity string")
-    anchors = spark.createDataFrame([("k", "v1", 0, "e", None)], "key_type string, key_value string, first_seen_at int, target string, target_entity string")
-    publishes = spark.createDataFrame([(f"r{i}", "k", f"v{i + 1}", i) for i in range(1, n + 1)], "record_id string, key_type string, key_value string, first_seen_at int")
-    attached, _ = matching.fixpoint(lookups, anchors, publishes)
-    assert {r["record_id"] for r in attached.collect()} == {f"r{i}" for i in range(1, n + 1)}
