@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def declared(rows: DataFrame, key: str, order: str = "line_no", count_columns: tuple[str, ...] = ("record_count", "declared_record_count")) -> DataFrame:
-    """``key, has_trailer, declared_count`` of every file: the last trailer's count, null where it cannot be read."""
+    """``key, has_trailer, declared_count`` of every file: the last trailer's count, null where it cannot be read.
+
+    A file without a column of record types declares nothing: its ``record_type`` is null throughout, and ``has_trailer`` too.
+    """
     counts = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in count_columns if c in rows.columns], F.lit(None).cast("string"))
     number = F.when(counts.rlike("^[0-9]{1,18}$"), counts.cast("long"))
     is_trailer = F.col("record_type") == "TRAILER"
     return rows.groupBy(key).agg(
-        F.coalesce(F.bool_or(is_trailer), F.lit(False)).alias("has_trailer"), F.max_by(F.struct(number.alias("n")), F.when(is_trailer, F.col(order)))["n"].alias("declared_count"),
+        F.bool_or(is_trailer).alias("has_trailer"), F.max_by(F.struct(number.alias("n")), F.when(is_trailer, F.col(order)))["n"].alias("declared_count"),
     )
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources import files
+
 #: JSON of each feed; money is decimal and never double.
 _MONEY = "decimal(24,6)"
 SCHEMAS: dict[str, str] = {
@@ -43,6 +46,9 @@ SCHEMAS["TPA_VERITY"] = """covered_entity_id string, ndc_11 string, ndc11 string
 SCHEMAS["TPA_CRANEWARE"] = SCHEMAS["TPA_VERITY"]
 BANK_COLUMNS = ["posting_date", "description", "ach_trace_number", "trn02", "company_name", "company_id", "company_entry_description", "amount", "type", "running_balance", "received_at"]
 
+#: What names a record in formats that have no ``record_id``.
+OWN_IDS = {"BANK_CSV": "ach_trace_number"}
+
 
 @dataclass(frozen=True)
 class Source:
@@ -52,7 +58,7 @@ class Source:
     source_system: str
     payload_format: str
     paths: tuple[str, ...]
-    received_at_field: str = "received_at"
+    received_at_field: str | None = "received_at"
     enabled: bool = True
     renames: dict[str, str] = field(default_factory=dict)
     own_id: str | None = None
@@ -70,48 +76,53 @@ def by_id(sources: list[Source], source_id: str) -> Source:
     return found[0]
 
 
-def _with_place(df: DataFrame) -> DataFrame:
-    """The file, and a number that follows the order of its lines; it says nothing beyond one read."""
-    return df.withColumn("file", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start")).withColumn("line_no", F.monotonically_increasing_id())
-
-
 def _raw(df: DataFrame, source: Source, fetched_at: str) -> DataFrame:
-    """Raw rows. Their id is the file's name, the payload's hash and how often the file has had it: no other read gives another."""
-    stamp = F.nullif(F.get_json_object("payload", f"$.{source.received_at_field}"), F.lit(""))
+    """Raw rows. Their id is the file's hash and the row's number, so rows of files that differ never share one."""
+    field_ = source.received_at_field
+    stamp = F.nullif(F.get_json_object("payload", f"$.{field_}"), F.lit("")) if field_ else F.lit(None).cast("string")
     author = F.coalesce(F.get_json_object("payload", "$.source_system"), F.lit(source.source_system))
-    own = F.get_json_object("payload", f"$.{source.own_id or 'record_id'}")
-    df = df.withColumn("_sha", F.sha2(F.col("payload").cast("binary"), 256))
-    again = F.row_number().over(Window.partitionBy("file", "_sha").orderBy("line_no"))
-    sha = F.col("_sha")
+    own = F.get_json_object("payload", f"$.{source.own_id or OWN_IDS.get(source.payload_format, 'record_id')}")
     return df.select(
-        F.concat_ws(":", F.lit(source.source_id), F.regexp_extract("file", "([^/]*)$", 1), F.substring(sha, 1, 24), again.cast("string")).alias("raw_id"),
+        F.concat_ws(":", F.lit(source.source_id), F.substring("file_sha256", 1, 24), F.col("line_no").cast("string")).alias("raw_id"),
         F.lit(source.source_id).alias("source_id"), author.alias("source_system"), own.alias("source_record_id"), "file", "line_no",
-        F.coalesce(stamp, F.lit(fetched_at)).alias("received_at"), sha.alias("payload_sha256"), "payload",
+        F.coalesce(stamp, F.lit(fetched_at)).alias("received_at"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"), "payload",
     )
 
 
+def is_epoch(stamp: str) -> bool:
+    """Whether a stamp names the instant 1970-01-01T00:00Z in any spelling; one without a zone is UTC, and no ISO date is none."""
+    try:
+        at = datetime.fromisoformat(stamp.strip())
+    except ValueError:
+        return False
+    return (at if at.tzinfo else at.replace(tzinfo=UTC)) == datetime.fromtimestamp(0, UTC)
+
+
 def read_jsonl(spark: SparkSession, source: Source, fetched_at: str) -> DataFrame:
     """Each line that is not blank is a record."""
-    lines = _with_place(spark.read.text(list(source.paths))).where(F.trim("value") != "")
-    return _raw(lines.withColumnRenamed("value", "payload"), source, fetched_at)
+    return _raw(files.read_lines(spark, source.paths), source, fetched_at)
 
 
 def read_bank_csv(spark: SparkSession, source: Source, fetched_at: str) -> DataFrame:
-    """Rows of the bank's file as JSON with sorted keys; an empty cell is null and left out."""
-    rows = spark.read.csv(list(source.paths), header=True, schema=", ".join(f"{c} string" for c in BANK_COLUMNS), nullValue="")
-    payload = F.to_json(F.struct(*[F.col(c) for c in sorted(BANK_COLUMNS)]))
-    return _raw(_with_place(rows).withColumn("payload", payload), source, fetched_at)
+    """Rows of the bank's files as JSON with sorted keys; an empty cell is null and left out. A header with other columns is refused."""
+    return _raw(files.read_delimited(spark, source.paths, tuple(BANK_COLUMNS)), source, fetched_at)
 
 
 def read_vendor_csv(spark: SparkSession, source: Source, fetched_at: str) -> tuple[DataFrame, DataFrame]:
-    """Raw rows of a vendor's export, and its trailer rows; columns go by name, and rows of unknown type still land."""
-    rows = _with_place(spark.read.csv(list(source.paths), header=True, nullValue=""))
-    names = [c for c in rows.columns if c not in ("file", "block", "line_no")]
-    if "record_type" not in names:
-        rows, names = rows.withColumn("record_type", F.lit("DETAIL")), [*names, "record_type"]
-    renamed = [F.nullif(F.col(c), F.lit("")).alias(source.renames.get(c, c)) for c in sorted(names)]
-    payload = F.to_json(F.struct(*renamed))
-    return _raw(rows.where("record_type <> 'TRAILER'").withColumn("payload", payload), source, fetched_at), rows.where("record_type = 'TRAILER'")
+    """Raw rows of a vendor's exports, and ``file, line_no, record_type, record_count`` of all rows for the control totals.
+
+    Every row lands but the trailers, whatever its type is, an empty one included. Where no column says when a row came, the delivery's own stamp has
+    to, and a stamp of the epoch says nothing: the load is refused.
+    """
+    if source.received_at_field is None and is_epoch(fetched_at):
+        raise MissingDeliveryStamp(f"{source.source_id} has no column of arrival, and the delivery's stamp {fetched_at!r} is the epoch")
+    rows = files.read_delimited(spark, source.paths, None, source.renames)
+    landed = rows.where(~F.col("record_type").eqNullSafe(files.TRAILER))
+    return _raw(landed, source, fetched_at), rows.select("file", "line_no", "record_type", "record_count")
+
+
+class MissingDeliveryStamp(ValueError):
+    """Rows would be dated 1970, before everything that they could match."""
 
 
 READERS = {"JSONL": read_jsonl, "BANK_CSV": read_bank_csv, "VENDOR_CSV": lambda *a: read_vendor_csv(*a)[0]}

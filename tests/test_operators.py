@@ -156,4 +156,4 @@ def test_raw_ids_are_the_same_in_every_read(spark, tmp_path):
         (tmp_path / name).write_text("\n".join(lines))
     source = lambda *names: feeds.Source("s", "PBM", "JSONL", tuple(str(tmp_path / n) for n in names))
     ids = lambda *names: sorted(r["raw_id"] for r in feeds.read_jsonl(spark, source(*names), "2025-01-01").select("raw_id").collect())
-    assert ids("a.jsonl", "b.jsonl") == sorted(ids("a.jsonl") + ids("b.jsonl")) and len(set(ids("a.jsonl"))) == 3
+    assert ids("a.jsonl", "b.jsonl") == ids("a.jsonl") == ids("b.jsonl") and len(set(ids("a.jsonl"))) == 3
