@@ -172,8 +172,8 @@ def _held_out():
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
     """Texts and labels of at most ``rows`` labelled documents that are not held out, of ``most_bytes`` bytes in all.
 
-    They are the first by a hash of the id; one that would go beyond the bytes is left out. Of rows that share an id the least
-    text counts. The sample's ids are bounded, so they are broadcast; texts come to the driver once their sizes are known.
+    They are the first by a hash of the id, up to the first that would go beyond the bytes, so a text's length has no say in whether it
+    is learned from. Of rows that share an id the least text counts. The sample's ids are bounded, so they are broadcast; texts come to the driver once their sizes are known.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     sample = known.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
@@ -182,9 +182,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     sizes = found.select("doc_id", "quality", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
     chosen, held = [], 0
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], r["quality"])):
-        if held + r["n"] <= most_bytes:
-            chosen.append((r["doc_id"], r["quality"]))
-            held += r["n"]
+        held += r["n"]
+        if held > most_bytes:
+            break
+        chosen.append((r["doc_id"], r["quality"]))
     if not chosen:
         return []
     kinds = sample.schema

@@ -22,6 +22,8 @@ from tallyloom.llm.common import row_columns, text_of, with_row
 
 #: Labelled rows that the chain learns from, taken by a hash of their id.
 TRAIN_ROWS = 3000
+#: Bytes of their texts at most.
+TRAIN_BYTES = 64 << 20
 FOLDS = 5
 #: Texts that have a feature at least, and deviations that it is more frequent by in the class.
 LEAST_TEXTS, LEAST_DEVIATION = 3, 3.0
@@ -84,17 +86,18 @@ def _select(present: list[np.ndarray], y: np.ndarray, rows: np.ndarray, many: in
     return np.flatnonzero((deviation >= LEAST_DEVIATION) & (in_ones + in_zeros >= LEAST_TEXTS))
 
 
-def kinds_of(present: list[np.ndarray], toxic: np.ndarray, names: list[str], kinds: int = KINDS) -> np.ndarray:
-    """Labels (rows, kinds) of categories that the training texts themselves suggest, the most frequent first.
+def kinds_of(present: list[np.ndarray], toxic: np.ndarray, names: list[str], kinds: int = KINDS, known: np.ndarray | None = None) -> tuple[np.ndarray, list[frozenset[int]]]:
+    """Labels (rows, kinds) of categories that the ``known`` rows themselves suggest, the most frequent first, and their words.
 
     The clearly toxic words are grouped by the cosine of the toxic texts that they occur in: the first centre is the most
-    frequent word, each next one the word that is least like the centres so far.
+    frequent word, each next one the word that is least like the centres so far. Rows that are not known have no part in it and no label.
     """
+    known = np.arange(len(toxic)) if known is None else known
     out = np.zeros((len(toxic), kinds), np.int64)
-    words = np.array([i for i in _select(present, toxic, np.arange(len(toxic)), len(names)) if not names[i].endswith("*")], np.int64)
-    rows = np.flatnonzero(toxic == 1)
+    words = np.array([i for i in _select(present, toxic, known, len(names)) if not names[i].endswith("*")], np.int64)
+    rows = known[toxic[known] == 1]
     if not len(words):
-        return out
+        return out, [frozenset()] * kinds
     has = np.zeros((len(words), len(rows)))
     for k, i in enumerate(rows):
         has[np.isin(words, present[i]), k] = 1
@@ -110,8 +113,21 @@ def kinds_of(present: list[np.ndarray], toxic: np.ndarray, names: list[str], kin
         sums = np.stack([unit[group == g].sum(axis=0) if (group == g).any() else means[g] for g in range(len(means))])
         means = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     found = np.stack([has[group == g].any(axis=0) if (group == g).any() else np.zeros(len(rows), bool) for g in range(len(means))], axis=1)
-    out[rows, : found.shape[1]] = found[:, np.argsort(-found.sum(axis=0), kind="stable")]
-    return out
+    order = np.argsort(-found.sum(axis=0), kind="stable")
+    out[rows, : found.shape[1]] = found[:, order]
+    groups = [frozenset(words[group == g].tolist()) for g in order]
+    return out, groups + [frozenset()] * (kinds - len(groups))
+
+
+def _aligned(labels: np.ndarray, groups: list[frozenset[int]], like: list[frozenset[int]]) -> np.ndarray:
+    """The columns of ``labels`` in the order of the groups that theirs are most ``like``: only names are settled so."""
+    free, place = list(range(len(groups))), {}
+    pairs = sorted(((-len(a & b) / max(1, len(a | b)), i, j) for i, a in enumerate(like) for j, b in enumerate(groups)))
+    for _, i, j in pairs:
+        if i not in place and j in free:
+            place[i] = j
+            free.remove(j)
+    return labels[:, [place[i] for i in range(len(like))]]
 
 
 @dataclass
@@ -203,17 +219,20 @@ def train(rows: Iterable[tuple[int, Iterable[str], int]], kinds: int = KINDS, fo
         chain.weights, chain.earlier, chain.intercepts = [{} for _ in chain.categories], [[] for _ in chain.categories], [-1.0 for _ in chain.categories]
         return chain
     fold %= folds
-    targets = np.column_stack([kinds_of(present, toxic, names, kinds), toxic])
-    earlier = np.zeros((len(toxic), 0))
     every = np.arange(len(toxic))
-    for y in targets.T:
+    labels, groups = kinds_of(present, toxic, names, kinds)
+    seen = [np.flatnonzero(fold != k) for k in range(folds)]
+    # A fold's own models learn categories that its rows had no part in.
+    apart = [np.column_stack([_aligned(*kinds_of(present, toxic, names, kinds, known), groups), toxic]) for known in seen]
+    earlier = np.zeros((len(toxic), 0))
+    for j, y in enumerate(np.column_stack([labels, toxic]).T):
         unseen = np.zeros(len(toxic))
-        speaks = lambda rows: np.intersect1d(_select(present, y, rows, len(names)), _select(present, toxic, rows, len(names)))  # noqa: B023, E731
-        for k in range(folds):
-            seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if len(seen) and len(rest):
-                unseen[rest] = _unseen(present, y, seen, rest, speaks(seen), earlier, len(names))
-        chosen = speaks(every)
+        speaks = lambda y, rows: np.intersect1d(_select(present, y, rows, len(names)), _select(present, toxic, rows, len(names)))
+        for k, known in enumerate(seen):
+            rest, target = np.flatnonzero(fold == k), apart[k][:, j]
+            if len(known) and len(rest):
+                unseen[rest] = _unseen(present, target, known, rest, speaks(target, known), earlier, len(names))
+        chosen = speaks(y, every)
         w = _fit(_Design.of(present, every, chosen, earlier, len(names)), y)
         chain.weights.append({names[i]: float(v) for i, v in zip(chosen, w)})
         chain.earlier.append(w[len(chosen) : -1].tolist())
@@ -228,12 +247,11 @@ def _unseen(present: list[np.ndarray], y: np.ndarray, seen: np.ndarray, rest: np
     return _logistic(_Design.of(present, rest, chosen, earlier, many).times(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
-    """A chain for ``labels.toxic`` from at most ``rows`` labelled documents, of which only the distinct words come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Chain:
+    """A chain for ``labels.toxic`` from at most ``rows`` labelled documents of at most ``most_bytes`` bytes in all.
 
-    Of rows that share an id one text counts, the one whose words sort first.
-
-    The sample is the first by a hash of the id; its ids are bounded, so they are broadcast to the documents.
+    The sample is the first by a hash of the id, and ends before the first text that does not fit; only its distinct words come to the driver.
+    Its ids are bounded, so they are broadcast to the documents. Of rows that share an id one text counts, the one whose words sort first.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     sample = known.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
@@ -242,7 +260,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     def words(texts: pd.Series) -> pd.Series:
         return pd.Series([" ".join(sorted(words_of(t))) for t in texts], dtype=object)
 
-    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    sizes = texts.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("n"), F.first(F.xxhash64("doc_id")).alias("h")).collect()
+    fits, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], r["toxic"])):
+        held += r["n"]
+        if held > most_bytes:
+            break
+        fits.append((r["doc_id"], r["toxic"]))
+    if not fits:
+        return train([])
+    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(docs.sparkSession.createDataFrame(fits, sample.schema)), "doc_id")
     found = chosen.select("doc_id", "toxic", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("fold"), words("text").alias("words")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["words"]), reverse=True)
     once = {r["doc_id"]: r for r in found}
@@ -289,7 +317,10 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` without the documents whose last category has a probability of a half or more."""
+    """``docs`` without the documents whose last category has a probability of a half or more.
+
+    A null text counts as empty and stays, repeated rows stay or go together, and an empty table gives an empty one.
+    """
     scored = _with_probabilities(with_row(docs, text_of().alias("full_text")), chain)
     kept = scored.where(F.col("p")[len(chain.categories) - 1] < THRESHOLD)
     return kept.select(*row_columns(kept))

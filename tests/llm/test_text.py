@@ -239,8 +239,54 @@ def test_toxicity_folds_are_apart_and_the_chain_helps():
         weight = np.where(toxic[known] == 1, min(toxicity.RARER, (len(known) - ones) / ones), 1.0)
         w = plain_logistic(x[known], toxic[known], weight, toxicity.RIDGE)
         assert np.allclose(got, 1 / (1 + np.exp(-(x[rest] @ w))), atol=1e-5)
-    kinds = toxicity.kinds_of(present, toxic, names)
-    assert (kinds.sum(axis=1)[toxic == 0] == 0).all() and (kinds[toxic == 1].sum(axis=1) >= 1).all() and (kinds.sum(axis=0) > 20).all()
+    kinds, groups = toxicity.kinds_of(present, toxic, names)
+    assert [len(g) > 0 for g in groups] == [True] * 3 and (kinds.sum(axis=1)[toxic == 0] == 0).all() and (kinds[toxic == 1].sum(axis=1) >= 1).all() and (kinds.sum(axis=0) > 20).all()
+
+
+def test_toxicity_chain_equals_a_plain_loop():
+    """The whole chain, every fold and category, with dense matrices; no fold's model sees labels that its rows had a part in."""
+    rng = random.Random(9)
+    bad = [["vile", "rotten"], ["elend", "mies"], ["malo", "peor"]]
+    rows = []
+    for i in range(300):
+        words = {rng.choice("calm kind letter garden friend weather valley river stone bread".split()) for _ in range(5)}
+        rows.append((rng.randrange(5), sorted(words | (set(rng.choice(bad)) if i % 4 == 0 else set())), int(i % 4 == 0)))
+    chain = toxicity.train(rows)
+    names, present, fold, toxic = toxicity._encoded(rows)
+    has = np.array([np.isin(np.arange(len(names)), p) for p in present], float)
+    select = lambda y, known: np.intersect1d(toxicity._select(present, y, known, len(names)), toxicity._select(present, toxic, known, len(names)))
+
+    def fitted(y, known, chosen, earlier):
+        x = np.column_stack([has[:, chosen], earlier, np.ones(len(rows))])
+        ridge = np.full(x.shape[1], toxicity.RIDGE)
+        ridge[-1] = 1e-3
+        ones = max(1, y[known].sum())
+        weight = np.where(y[known] == 1, min(toxicity.RARER, max(1.0, (len(known) - ones) / ones)), 1.0)
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x[known] @ w))
+            w -= np.linalg.solve((x[known].T * (weight * p * (1 - p) + 1e-9)) @ x[known] + np.diag(ridge), x[known].T @ (weight * (p - y[known])) + ridge * w)
+        return w, 1 / (1 + np.exp(-x @ w))
+
+    every = np.arange(len(rows))
+    labels, groups = toxicity.kinds_of(present, toxic, names)
+    earlier = np.zeros((len(rows), 0))
+    for j in range(4):
+        y = toxic if j == 3 else labels[:, j]
+        unseen = np.zeros(len(rows))
+        for k in range(5):
+            known, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            other = toxic.copy()
+            other[rest] = 1 - other[rest]
+            inside = toxicity.kinds_of(present, toxic, names, 3, known)
+            assert np.array_equal(inside[0], toxicity.kinds_of(present, other, names, 3, known)[0]) and not inside[0][rest].any()
+            target = toxic if j == 3 else toxicity._aligned(*inside, groups)[:, j]
+            unseen[rest] = fitted(target, known, select(target, known), earlier)[1][rest]
+        chosen = select(y, every)
+        w, _ = fitted(y, every, chosen, earlier)
+        got = [*(chain.weights[j][names[i]] for i in chosen), *chain.earlier[j], chain.intercepts[j]]
+        assert len(got) == len(w) and np.allclose(got, w, atol=2e-4)
+        earlier = np.column_stack([earlier, unseen])
 
 
 def test_toxicity_edges(spark):
@@ -282,13 +328,15 @@ def test_quality_gradients_and_blocks():
 
 
 def test_quality_sample_is_bounded_and_edges_hold(spark):
-    docs = spark.createDataFrame([(i, f"text {i} " * 20, 1) for i in range(60)] + [(3, "zz", 1), (4, "x" * 100_000, 1), (None, None, 1)], "doc_id long, text string, score long")
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i} " * 20, 1) for i in range(60)] + [(3, "zz", 1), (4, "x" * 100_000, 1), (None, None, 1), (70, "y" * 100_000, 1)], "doc_id long, text string, score long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(60), 70]], "doc_id long, quality int, toxic int")
     found = quality.labelled_sample(docs, labels, rows=20, most_bytes=3000)
     assert 0 < len(found) <= 20 and sum(len(t) for t, _ in found) <= 3000
     assert found == quality.labelled_sample(docs.repartition(3), labels, rows=20, most_bytes=3000)
+    order = [t for t, _ in quality.labelled_sample(docs, labels, rows=61, most_bytes=10**9)]
+    assert max(map(len, order)) >= 100_000 and {t for t, _ in found} < set(order)
     net = quality.fit(docs, labels, rows=20, most_bytes=3000)
-    assert quality.score_documents(docs, net).count() == 63 and quality.score_documents(docs.limit(0), net).count() == 0
+    assert quality.score_documents(docs, net).count() == 64 and quality.score_documents(docs.limit(0), net).count() == 0
     assert quality.fit(docs.limit(0), labels).scores([b"", b"a"]).tolist() == [0.5, 0.5]
 
 
