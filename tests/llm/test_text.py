@@ -328,8 +328,8 @@ def test_quality_gradients_and_blocks():
 
 
 def test_quality_sample_is_bounded_and_edges_hold(spark):
-    docs = spark.createDataFrame([(i, f"text {i} " * 20, 1) for i in range(60)] + [(3, "zz", 1), (4, "x" * 100_000, 1), (None, None, 1), (70, "y" * 100_000, 1)], "doc_id long, text string, score long")
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(60), 70]], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i} " * 20, 1) for i in range(60)] + [(3, "zz", 1), (4, "x" * 100_000, 1), (None, None, 1), (60, "y" * 100_000, 1)], "doc_id long, text string, score long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(61)], "doc_id long, quality int, toxic int")
     found = quality.labelled_sample(docs, labels, rows=20, most_bytes=3000)
     assert 0 < len(found) <= 20 and sum(len(t) for t, _ in found) <= 3000
     assert found == quality.labelled_sample(docs.repartition(3), labels, rows=20, most_bytes=3000)
