@@ -81,22 +81,26 @@ def _relaxed(carriers: DataFrame, anchors: DataFrame, publishes: DataFrame) -> t
         known = stored(_best(anchors.unionByName(more)), "known")
 
 
-def attach(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``attached`` (``record_id, episode_id, attached_at``) and ``parked`` (``record_id, reason``).
+def anchor_keys(anchors: DataFrame) -> DataFrame:
+    return anchors.select(*KEY, _moment(F.col("first_seen_at"), F.col("target"), F.lit(0)).alias("since"), "target", "target_entity", F.lit(False).alias("suspect"))
 
-    ``lookups``: ``record_id, at, key_type, key_value, entity``, one row a key and one with a null key for a record without keys.
-    ``anchors``: ``key_type, key_value, first_seen_at, target, target_entity`` of episodes, whose records are named by ``target``.
-    ``publishes``: ``record_id, key_type, key_value`` of keys that a record makes known once it is attached. Records count in the order of
-    their time, and of their id at one time. The reason is that of the moment at which the record was judged; one that no key ever led
-    anywhere has none but ``NO_KEY_MATCH``. Repeated rows change nothing. Ids and episodes are strings.
-    """
-    own = anchors.select(*KEY, _moment(F.col("first_seen_at"), F.col("target"), F.lit(0)).alias("since"), "target", "target_entity", F.lit(False).alias("suspect"))
-    keyed = lookups.where("key_type IS NOT NULL AND key_value IS NOT NULL")
-    said = publishes.select("record_id", *KEY)
-    carriers = stored(keyed.join(said.select("record_id").distinct(), "record_id", "left_semi"), "carriers")
+
+def fitting() -> Column:
+    """Whether a judged record attaches."""
+    return (F.col("target") == F.col("most")) & ~F.col("clash")
+
+
+def why() -> Column:
+    """The decision of a record with keys, from the columns of ``judged``, which are null where no key led anywhere."""
+    return F.when(F.col("target").isNull(), PARK_REASONS[1]).when(F.col("target") != F.col("most"), PARK_REASONS[2]).when(F.col("clash"), PARK_REASONS[3]).otherwise(ATTACHED)
+
+
+def settled(keyed: DataFrame, known_before: DataFrame, publishes: DataFrame) -> DataFrame:
+    """``judged`` of all ``keyed`` look-ups: by the keys known before, and by those that attached records publish."""
+    carriers = stored(keyed.join(publishes.select("record_id").distinct(), "record_id", "left_semi"), "carriers")
     free = carriers
     while True:
-        labels, known = _relaxed(free, own, said)
+        labels, known = _relaxed(free, known_before, publishes)
         wrong = stored(labels.where("sure").select("record_id"), "blocked")
         discard(labels)
         if wrong.isEmpty():
@@ -106,14 +110,27 @@ def attach(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame) -> tupl
         discard(free)
         free = rest
     found = stored(judged(keyed, known), "judged")
-    fits = (F.col("target") == F.col("most")) & ~F.col("clash")
+    discard(known)
+    discard(free)
+    return found
+
+
+def attach(lookups: DataFrame, anchors: DataFrame, publishes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``attached`` (``record_id, episode_id, attached_at``) and ``parked`` (``record_id, reason``).
+
+    ``lookups``: ``record_id, at, key_type, key_value, entity``, one row a key and one with a null key for a record without keys.
+    ``anchors``: ``key_type, key_value, first_seen_at, target, target_entity`` of episodes, whose records are named by ``target``.
+    ``publishes``: ``record_id, key_type, key_value`` of keys that a record makes known once it is attached. Records count in the order of
+    their time, and of their id at one time. The reason is that of the moment at which the record was judged; one that no key ever led
+    anywhere has none but ``NO_KEY_MATCH``. Repeated rows change nothing. Ids and episodes are strings.
+    """
+    keyed = lookups.where("key_type IS NOT NULL AND key_value IS NOT NULL")
+    found = settled(keyed, anchor_keys(anchors), publishes.select("record_id", *KEY))
+    fits = fitting()
     attached = found.where(fits).select("record_id", F.col("target").alias("episode_id"), F.col("since.at").alias("attached_at"))
     everyone = lookups.groupBy("record_id").agg(F.bool_or(F.col("key_type").isNotNull() & F.col("key_value").isNotNull()).alias("keyed"))
-    reason = (
-        F.when(~F.col("keyed"), PARK_REASONS[0]).when(F.col("target").isNull(), PARK_REASONS[1]).when(F.col("target") != F.col("most"), PARK_REASONS[2])
-        .when(F.col("clash"), PARK_REASONS[3]).otherwise(ATTACHED)
-    )
+    reason = F.when(~F.col("keyed"), PARK_REASONS[0]).otherwise(why())
     parked = everyone.join(found, "record_id", "left").select("record_id", reason.alias("reason")).where(F.col("reason") != ATTACHED)
-    discard(known)
-    discard(free)
-    return stored(attached, "attached"), stored(parked, "parked")
+    out = stored(attached, "attached"), stored(parked, "parked")
+    discard(found)
+    return out
