@@ -26,15 +26,8 @@ def episodes(records: DataFrame) -> DataFrame:
 
 def crosswalk(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``attachments`` (``record_id, episode_id, attached_at``) and ``parked`` (``record_id, reason``)."""
-    seen = F.col("received_at").alias("first_seen_at")
-    published = records.select("record_id", "creates", "entity", seen, F.explode("publishes").alias("k")).select("*", "k.key_type", "k.key_value")
-    anchors = published.where("creates IS NOT NULL").select("key_type", "key_value", "first_seen_at", F.col("record_id").alias("target"), F.col("entity").alias("target_entity"))
-    more = published.where("creates IS NULL").select("record_id", "key_type", "key_value")
-    waiting = records.where(F.col("creates").isNull() & ~F.col("record_kind").isin(*_ROOTS))
-    lookups = waiting.select("record_id", F.col("received_at").alias("at"), "entity", F.explode_outer("looks_up").alias("k")).select("record_id", "at", "k.key_type", "k.key_value", "entity")
-    attached, parked = attach(lookups, anchors, more)
-    own = records.where("creates IS NOT NULL").select("record_id", F.col("record_id").alias("episode_id"), F.col("received_at").alias("attached_at"))
-    return stored(attached.unionByName(own), "crosswalk"), parked
+    attached, parked = attach(*keyed_records(records))
+    return stored(attached.unionByName(own_links(records)), "crosswalk"), parked
 
 
 def linked_deposits(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,23 +127,44 @@ def _decided(rows: DataFrame) -> DataFrame:
     })
 
 
-def evaluated(records: DataFrame, terms: DataFrame, cursor: str) -> dict[str, DataFrame]:
-    """Everything that is known at a cursor: ``verdicts, allocations, deposits, orphans, attachments, parked, episodes``."""
-    known = stored(records.where(F.col("received_at") <= cursor), "known_records")
-    attachments, parked = crosswalk(known)
-    deposits, orphans = linked_deposits(known)
-    made = stored(allocations(known, attachments, deposits), "allocations")
+def keyed_records(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the crosswalk takes: look-ups, the keys of episodes, and the keys that records publish once they are attached."""
+    seen = F.col("received_at").alias("first_seen_at")
+    published = records.select("record_id", "creates", "entity", seen, F.explode("publishes").alias("k")).select("*", "k.key_type", "k.key_value")
+    anchors = published.where("creates IS NOT NULL").select("key_type", "key_value", "first_seen_at", F.col("record_id").alias("target"), F.col("entity").alias("target_entity"))
+    more = published.where("creates IS NULL").select("record_id", "key_type", "key_value")
+    waiting = records.where(F.col("creates").isNull() & ~F.col("record_kind").isin(*_ROOTS))
+    lookups = waiting.select("record_id", F.col("received_at").alias("at"), "entity", F.explode_outer("looks_up").alias("k")).select("record_id", "at", "k.key_type", "k.key_value", "entity")
+    return lookups, anchors, more
+
+
+def own_links(records: DataFrame) -> DataFrame:
+    """The records that open episodes, attached to them."""
+    return records.where("creates IS NOT NULL").select("record_id", F.col("record_id").alias("episode_id"), F.col("received_at").alias("attached_at"))
+
+
+def decided(known: DataFrame, base: DataFrame, attachments: DataFrame, made: DataFrame, terms: DataFrame, cursor: str) -> DataFrame:
+    """Verdicts of the episodes ``base`` from the records attached to them and their allocations."""
     of = lambda rebate, sign: F.coalesce(F.sum(F.when((F.col("is_rebate") == rebate) & (F.col("allocated_cents") * sign > 0), F.col("allocated_cents") * sign)), F.lit(0))
     cash = made.where("episode_id IS NOT NULL").groupBy("episode_id").agg(of(False, 1).alias("cash_in"), of(False, -1).alias("cash_out"), of(True, 1).alias("rebate_in"), of(True, -1).alias("rebate_out"))
-    base = episodes(known)
     rows = base.join(expected_amounts(base, terms), "episode_id").join(evidence(known, attachments), "episode_id").join(cash, "episode_id", "left").na.fill(0, ["cash_in", "cash_out", "rebate_in", "rebate_out"])
     rows = rules.composed(rules.classified(_decided(rows)), F.col("is_priced"))
     expected, rebate = rules.still_expected(F.col("expected_cents"), F.col("expected_rebate_cents"))
-    verdicts = rows.select(
+    return rows.select(
         "episode_id", F.lit(cursor).alias("cursor_at"), "track", "reimbursement_code", "rebate_code", "flags", "coherence", "disposition", "reasons", expected.alias("expected_cents"), F.col("cash_in").alias("received_cents"),
         (expected - F.col("cash_in")).alias("variance_cents"), rebate.alias("expected_rebate_cents"), F.col("rebate_in").alias("received_rebate_cents"), (rebate - F.col("rebate_in")).alias("variance_rebate_cents"),
         "service_date", "beacon_id", "evidence", *rules.DIMENSIONS,
     )
+
+
+def evaluated(records: DataFrame, terms: DataFrame, cursor: str) -> dict[str, DataFrame]:
+    """Everything that is known at a cursor: ``verdicts, allocations, deposits, orphans, attachments, parked, episodes``."""
+    known = stored(records.where(F.col("received_at") <= cursor), "known_records")
+    attachments, parked = crosswalk(known)
+    deposits, orphans = linked_deposits(known)
+    made = stored(allocations(known, attachments, deposits), "allocations")
+    base = episodes(known)
+    verdicts = decided(known, base, attachments, made, terms, cursor)
     return {"verdicts": verdicts, "allocations": made, "deposits": deposits, "orphans": orphans, "attachments": attachments, "parked": parked, "episodes": base}
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
 from tallyloom.functions.dates import iso_of_wire
 from tallyloom.operators import vendors
-from tallyloom.operators.asof import first_delivery
 from tallyloom.sources.feeds import SCHEMAS
+from tallyloom.sources.landing import stored
 
 _KEYS = "array<struct<key_type:string,key_value:string>>"
 #: Columns of a canonical record.
@@ -215,24 +215,46 @@ def _readable(system: str) -> Column:
     return bad
 
 
-def normalized(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``records, quarantine`` of raw rows. Of rows that repeat a source's record id, the first delivery gives records, with its children; all stay raw.
+def screened(raw: DataFrame) -> DataFrame:
+    """``raw`` with the ``source_record_id`` that its adapter goes by, and ``why`` it cannot be read (null if it can). Row by row, so it takes streams too.
 
-    A row of a source without an adapter is quarantined. A record whose money cannot be read in whole cents is quarantined whole.
+    Each row is parsed by the schema of its own source alone, all in one projection.
     """
+    known = F.coalesce(F.col("source_system").isin(*ADAPTERS), F.lit(False))
+    rows = raw.withColumns({"why": F.when(~known, "NO_ADAPTER"), "named": F.col("source_record_id")})
+    for system in ADAPTERS:
+        mine = F.col("source_system") == system
+        rows = rows.withColumn("p", F.from_json(F.when(mine, F.col("payload")), SCHEMAS[system]))
+        rows = rows.withColumn("why", F.when(mine, _readable(system)).otherwise(F.col("why")))
+        if system in VENDORS:
+            rows = rows.withColumn("named", F.when(mine, vendors.identity()).otherwise(F.col("named")))
+        rows = rows.drop("p")
+    return rows.withColumn("source_record_id", F.col("named")).drop("named")
+
+
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """Of ``screened`` rows that repeat a source's record id the first delivery. Rows without an id, and unreadable ones, all stay."""
+    own = F.when(F.col("why").isNull(), F.col("source_record_id"))
+    keyed = rows.withColumn("_own", own.isNotNull()).withColumn("_key", F.coalesce(own, F.col("raw_id")))
+    order = Window.partitionBy("source_system", "_own", "_key").orderBy("received_at", "raw_id")
+    return keyed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_own", "_key", "_n")
+
+
+def adapted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``records, quarantine`` of screened rows. They lie by source system, so each adapter reads its own rows only."""
+    kept = stored(rows, "screened", "source_system")
     records = []
-    stray = raw.where(~F.coalesce(F.col("source_system").isin(*ADAPTERS), F.lit(False)))
-    refused = [stray.select("raw_id", "source_system", "received_at", F.lit("NO_ADAPTER").alias("why"))]
     for system, adapt in ADAPTERS.items():
-        rows = raw.where(F.col("source_system") == system)
-        parsed = rows.select("*", F.from_json("payload", SCHEMAS[system]).alias("p"))
-        if system in VENDORS:
-            parsed = parsed.withColumn("source_record_id", vendors.identity())
-        parsed = parsed.withColumn("why", _readable(system))
-        refused.append(parsed.where("why IS NOT NULL").select("raw_id", "source_system", "received_at", "why"))
-        good = parsed.where("why IS NULL").drop("why")
-        named = good.where("source_record_id IS NOT NULL")
-        once = first_delivery(named, ["source_system", "source_record_id"], ["received_at", "raw_id"])
-        records.append(adapt(once.unionByName(good.where("source_record_id IS NULL"))))
-    both = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return both(records), both(refused)
+        own = kept.where((F.col("source_system") == system) & F.col("why").isNull())
+        records.append(adapt(own.select("*", F.from_json("payload", SCHEMAS[system]).alias("p"))))
+    refused = kept.where("why IS NOT NULL").select("raw_id", "source_system", "received_at", "why")
+    return reduce(lambda a, b: a.unionByName(b), records), refused
+
+
+def normalized(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``records, quarantine`` of raw rows, which are read and shuffled once for all sources. Of rows that repeat a source's record id, the first
+    delivery gives records, with its children; all stay raw.
+
+    A row of a source without an adapter is quarantined. A record whose money cannot be read in whole cents is quarantined whole.
+    """
+    return adapted(first_of_each(screened(raw)))

@@ -87,11 +87,16 @@ def _keys_sql(which: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(f"""WITH e AS (SELECT *, CASE WHEN CAST(floor(value) AS BIGINT) % 4 = 0 THEN 'X' WHEN CAST(floor(value) AS BIGINT) % 4 = 1 THEN 'Y' END AS entity FROM events),
+def event_levels_sql() -> str:
+    """``judged`` of events, level by level: no kind of event reaches one that comes after it in ``_KINDS``."""
+    return f"""WITH e AS (SELECT *, CASE WHEN CAST(floor(value) AS BIGINT) % 4 = 0 THEN 'X' WHEN CAST(floor(value) AS BIGINT) % 4 = 1 THEN 'Y' END AS entity FROM events),
     looks AS ({_keys_sql(0)}), gives AS ({_keys_sql(1)}),
     known0 AS (SELECT key_type, key_value, ts AS t, event_id AS who, event_id AS target, entity AS target_entity FROM gives WHERE event_type = 'signup'),
     {", ".join(_LEVEL.format(n=n, m=n + 1, kind=kind) for n, kind in enumerate(_KINDS))},
-    judged AS ({" UNION ALL ".join(f"SELECT * FROM judged{n}" for n in range(len(_KINDS)))})
+    judged AS ({" UNION ALL ".join(f"SELECT * FROM judged{n}" for n in range(len(_KINDS)))})"""
+
+
+@query(f"""{event_levels_sql()}
     SELECT event_id AS record_id, CASE WHEN target = most AND NOT clash THEN target END AS episode_id,
         CASE WHEN target = most AND NOT clash THEN strftime(t, '%Y-%m-%d %H:%M:%S.%f') END AS attached_at,
         CASE WHEN target IS NULL THEN 'NO_KEY_MATCH' WHEN target <> most THEN 'AMBIGUOUS_KEY_MATCH' WHEN clash THEN 'COVERED_ENTITY_MISMATCH' ELSE 'ATTACHED' END AS decision
@@ -100,6 +105,13 @@ def crosswalk_event_time(spark, sf_dir):
     """Signups open cases; other events reach them over keys, some of which become known only when another event attaches."""
     from tallyloom.operators.crosswalk import attach
 
+    attached, parked = attach(*event_keys(spark, sf_dir))
+    both = attached.withColumn("decision", F.lit("ATTACHED")).unionByName(parked.withColumnRenamed("reason", "decision"), allowMissingColumns=True)
+    return both.select(F.col("record_id").cast("long").alias("record_id"), F.col("episode_id").cast("long").alias("episode_id"), "attached_at", "decision")
+
+
+def event_keys(spark, sf_dir):
+    """Events as look-ups, keys of signups, and keys that other events publish."""
     (events,) = tables(spark, sf_dir, "events")
     whole = F.floor("value").cast("string")
     user, k = F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
@@ -111,12 +123,12 @@ def crosswalk_event_time(spark, sf_dir):
     def keyed(which: int):
         choice = None
         for kind, pair in _EVENT_KEYS.items():
+            if not pair[which]:
+                continue
             own = F.array(*[F.struct(F.lit(n).alias("key_type"), F.col(n).alias("key_value")) for n in pair[which]])
-            choice = F.when(F.col("event_type") == kind, own) if choice is None else choice.when(F.col("event_type") == kind, own) if pair[which] else choice
+            choice = F.when(F.col("event_type") == kind, own) if choice is None else choice.when(F.col("event_type") == kind, own)
         return rows.select("record_id", "event_type", "at", "entity", F.explode(choice).alias("key")).select("record_id", "event_type", "at", "entity", "key.*")
 
     given = keyed(1)
     anchors = given.where("event_type = 'signup'").select("key_type", "key_value", F.col("at").alias("first_seen_at"), F.col("record_id").alias("target"), F.col("entity").alias("target_entity"))
-    attached, parked = attach(keyed(0).drop("event_type"), anchors, given.where("event_type <> 'signup'").select("record_id", "key_type", "key_value"))
-    both = attached.withColumn("decision", F.lit("ATTACHED")).unionByName(parked.withColumnRenamed("reason", "decision"), allowMissingColumns=True)
-    return both.select(F.col("record_id").cast("long").alias("record_id"), F.col("episode_id").cast("long").alias("episode_id"), "attached_at", "decision")
+    return keyed(0).drop("event_type"), anchors, given.where("event_type <> 'signup'").select("record_id", "key_type", "key_value")

@@ -106,9 +106,13 @@ def disposition_over_time(spark, sf_dir):
     return at.groupBy("cursor", state_of().alias("disposition")).agg(F.count("*").alias("episodes"))
 
 
-@query("""SELECT CAST(month AS DATE) AS "cursor" FROM (SELECT unnest(generate_series(DATE '2024-02-01', DATE '2025-03-01', INTERVAL 1 MONTH)) AS month) WHERE month < DATE '2025-03-01'""")
+@query("""WITH span AS (SELECT CAST(date_trunc('month', min(o_orderdate)) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders)
+    SELECT CAST(month AS DATE) AS "cursor" FROM (SELECT unnest(generate_series(a + INTERVAL 1 MONTH, CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS month, b FROM span) WHERE month < b""")
 def monthly_cursor_series(spark, sf_dir):
-    return monthly_cursors(spark, "2024-01-15", "2025-03-01")
+    """The firsts of months between the first and the last order."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    span = orders.agg(F.min("o_orderdate").cast("date").cast("string"), F.max("o_orderdate").cast("date").cast("string")).first()
+    return monthly_cursors(spark, *span)
 
 
 @query("SELECT source, sha256(text) AS payload_sha256, count(*) AS deliveries FROM documents GROUP BY source, sha256(text) HAVING count(*) > 1")

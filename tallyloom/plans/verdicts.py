@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import reads, rules
-from tallyloom.plans.leaves import DOMAINS, depth, leaves, verdict_pairs, violations
+from tallyloom.plans.leaves import DOMAINS, depth, violations
 from tallyloom.plans.registry import cents, cents_sql, query, tables
 
 _COLUMNS = ", ".join(rules.DIMENSIONS)
 
 
+#: A line's number, from which every dimension's value is chosen.
+_NUMBER = "l_partkey * 31 + l_suppkey * 17 + l_orderkey * 7 + l_linenumber"
+_LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
 def _leaf_ctes() -> str:
-    parts, before = [], "(SELECT 1 AS one)"
+    parts, before = [], f"(SELECT {_LINE}, {_NUMBER} AS n FROM lineitem)"
     for k, (name, choices) in enumerate(DOMAINS.items()):
-        cases = " ".join(f"WHEN {c} THEN [{', '.join(repr(v) for v in values)}]" for c, values in choices)
-        parts.append(f"s{k} AS (SELECT *, unnest(CASE {cases} ELSE [NULL] END) AS {name} FROM {before})")
+        cases = " ".join(f"WHEN {c} THEN list_extract([{', '.join(repr(v) for v in values)}], 1 + ((n // {k + 2} + n * {k + 1}) % {len(values)}))" for c, values in choices)
+        parts.append(f"s{k} AS (SELECT *, CASE {cases} END AS {name} FROM {before})")
         before = f"s{k}"
-    return "WITH " + ",\n ".join(parts) + f",\n leaves AS (SELECT {_COLUMNS} FROM {before})"
+    return "WITH " + ",\n ".join(parts) + f",\n leaves AS (SELECT {_LINE}, {_COLUMNS} FROM {before})"
+
+
+def line_configurations(spark, sf_dir):
+    """A configuration for every line of every order: each variable that is asked has one of its values, by the line's number."""
+    (lines,) = tables(spark, sf_dir, "lineitem")
+    out = lines.selectExpr(*_LINE.split(", "), f"{_NUMBER} AS n")
+    for k, (name, choices) in enumerate(DOMAINS.items()):
+        value = None
+        for condition, values in choices:
+            one = F.element_at(F.array(*map(F.lit, values)), F.expr(f"CAST(1 + (n div {k + 2} + n * {k + 1}) % {len(values)} AS INT)"))
+            value = F.when(F.expr(condition), one) if value is None else value.when(F.expr(condition), one)
+        out = out.withColumn(name, value)
+    return out.drop("n")
 
 
 # The rules again, written as SQL from the specification and not from the tables of the rules module.
@@ -63,62 +81,86 @@ def _rank(code: str) -> str:
 _HEAD = _leaf_ctes()
 
 
-@query(f"{_HEAD} SELECT {_COLUMNS} FROM leaves")
+@query(f"{_HEAD} SELECT {_COLUMNS}, count(*) AS lines FROM leaves GROUP BY ALL")
 def leaf_enumeration(spark, sf_dir):
-    return leaves(spark)
+    """The configurations that lines have."""
+    return line_configurations(spark, sf_dir).groupBy(*rules.DIMENSIONS).agg(F.count("*").alias("lines"))
 
 
-@query(f"{_HEAD} SELECT {_COLUMNS} FROM leaves WHERE false")
+@query(f"""{_HEAD} SELECT {_LINE} FROM leaves WHERE l_orderkey % 13 = 0 OR (l_orderkey % 13 = 1 AND ph_adjudication IS NULL) OR (l_orderkey % 13 = 2 AND r_present = 'PRESENT')""")
 def leaf_validation(spark, sf_dir):
-    return violations(leaves(spark))
+    """Some lines get a value that no domain has, one that was not asked for, or none where one was: those and no others are found."""
+    rows, kind = line_configurations(spark, sf_dir), F.col("l_orderkey") % 13
+    broken = rows.withColumns({
+        "cash_reimb_in": F.when(kind == 0, F.lit("SOON")).otherwise(F.col("cash_reimb_in")), "ph_payment": F.when((kind == 1) & F.col("ph_adjudication").isNull(), F.lit("FULL")).otherwise(F.col("ph_payment")),
+        "r_qualification": F.when(kind != 2, F.col("r_qualification")),
+    })
+    return violations(broken).select(*_LINE.split(", "))
 
 
-@query(f"{_HEAD}, {_CODED} SELECT reimbursement_code, rebate_code, count(*) AS configurations FROM coded GROUP BY ALL")
+@query(f"{_HEAD}, {_CODED} SELECT reimbursement_code, rebate_code, count(*) AS lines FROM coded GROUP BY ALL")
 def verdict_pair_counts(spark, sf_dir):
-    return verdict_pairs(spark)
+    return rules.classified(line_configurations(spark, sf_dir)).groupBy("reimbursement_code", "rebate_code").agg(F.count("*").alias("lines"))
 
 
-@query(f"{_HEAD}, {_CODED}, {_FLAGGED} SELECT {_COLUMNS}, reimbursement_code, rebate_code, coherence FROM flagged")
+@query(f"{_HEAD}, {_CODED}, {_FLAGGED} SELECT {_LINE}, reimbursement_code, rebate_code, flags, coherence FROM flagged")
 def verdict_classify(spark, sf_dir):
-    return rules.classified(leaves(spark)).drop("flags")
+    return rules.classified(line_configurations(spark, sf_dir)).select(*_LINE.split(", "), "reimbursement_code", "rebate_code", "flags", "coherence")
 
 
-@query(f"{_HEAD}, {_CODED}, {_FLAGGED} SELECT flag, count(*) AS configurations FROM (SELECT unnest(flags) AS flag FROM flagged) GROUP BY flag")
+@query(f"{_HEAD}, {_CODED}, {_FLAGGED} SELECT flag, count(*) AS lines FROM (SELECT unnest(flags) AS flag FROM flagged) GROUP BY flag")
 def cross_track_flags(spark, sf_dir):
-    return rules.classified(leaves(spark)).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("configurations"))
+    return rules.classified(line_configurations(spark, sf_dir)).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("lines"))
+
+
+_RANKED = f"""ranked AS (SELECT *, greatest({_rank('reimbursement_code')}, {_rank('rebate_code')}, CASE WHEN len(list_filter(flags, lambda x: x <> 'X-4')) > 0 THEN 2 ELSE -1 END) AS r FROM flagged)"""
 
 
-@query(f"""{_HEAD}, {_CODED}, {_FLAGGED}, ranked AS (SELECT *, greatest({_rank('reimbursement_code')}, {_rank('rebate_code')}, CASE WHEN len(list_filter(flags, lambda x: x <> 'X-4')) > 0 THEN 2 ELSE -1 END) AS r FROM flagged)
-    SELECT reimbursement_code, rebate_code, flags, CASE r WHEN 2 THEN 'EXCEPTION' WHEN 1 THEN 'PENDING' WHEN 0 THEN 'CLOSED' END AS disposition, count(*) AS configurations FROM ranked GROUP BY ALL""")
+@query(f"""{_HEAD}, {_CODED}, {_FLAGGED}, {_RANKED}
+    SELECT reimbursement_code, rebate_code, flags, CASE r WHEN 2 THEN 'EXCEPTION' WHEN 1 THEN 'PENDING' WHEN 0 THEN 'CLOSED' END AS disposition, count(*) AS lines FROM ranked GROUP BY ALL""")
 def disposition_rollup(spark, sf_dir):
-    rows = rules.composed(rules.classified(leaves(spark)))
-    return rows.groupBy("reimbursement_code", "rebate_code", "flags", "disposition").agg(F.count("*").alias("configurations"))
+    rows = rules.composed(rules.classified(line_configurations(spark, sf_dir)))
+    return rows.groupBy("reimbursement_code", "rebate_code", "flags", "disposition").agg(F.count("*").alias("lines"))
+
+
+# Why, by code and by flag, written from the specification.
+_WHY = """CASE code WHEN 'A-01' THEN ['REJECTED_AT_POS'] WHEN 'A-02' THEN ['AWAITING_REMITTANCE'] WHEN 'A-05' THEN ['NO_CASH'] WHEN 'A-06' THEN ['SETTLEMENT_MISSING']
+    WHEN 'A-07' THEN ['UNDERPAID'] WHEN 'A-08' THEN ['UNDERPAID', 'NO_CASH'] ELSE [] END"""
+
+
+@query(f"""{_HEAD}, {_CODED} SELECT {_LINE}, len(reasons) AS reasons, reasons[1] AS first_reason FROM (SELECT *, {_WHY.replace('code', 'reimbursement_code')} AS reasons FROM coded
+    WHERE reimbursement_code IN ('A-01', 'A-02', 'A-04', 'A-05', 'A-06', 'A-07', 'A-08') AND rebate_code = 'C-00') WHERE list_contains(['A-01', 'A-02', 'A-04', 'A-05', 'A-06', 'A-07', 'A-08'], reimbursement_code)""")
+def reasons_of_lines(spark, sf_dir):
+    """Reasons of lines without a rebate track that no flag can hold for."""
+    rows = rules.composed(rules.classified(line_configurations(spark, sf_dir))).where("rebate_code = 'C-00' AND reimbursement_code IN ('A-01', 'A-02', 'A-04', 'A-05', 'A-06', 'A-07', 'A-08')")
+    return rows.select(*_LINE.split(", "), F.size("reasons").cast("long").alias("reasons"), F.get("reasons", F.lit(0)).alias("first_reason"))
 
 
 @query(f"""{_HEAD}, depths AS (SELECT reimb_type, {' + '.join(f'CASE WHEN {n} IS NOT NULL THEN 1 ELSE 0 END' for n in rules.DIMENSIONS)} AS d FROM leaves)
     SELECT reimb_type, CAST(min(d) AS BIGINT) AS least, CAST(max(d) AS BIGINT) AS most, CAST(sum(d) AS BIGINT) AS total FROM depths GROUP BY reimb_type""")
 def leaf_depths(spark, sf_dir):
-    return leaves(spark).withColumn("d", depth()).groupBy("reimb_type").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.sum("d").alias("total"))
+    rows = line_configurations(spark, sf_dir).withColumn("d", depth())
+    return rows.groupBy("reimb_type").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.sum("d").alias("total"))
+
+
+def _pairs(rows):
+    """Every code of one track with every code of the other that lines have: 31 and 12 codes at most, and no data, are combined."""
+    return rows.select("reimbursement_code").distinct().crossJoin(rows.select("rebate_code").distinct())
 
 
-_CODES = lambda letter: sorted(k for k in rules.DISPOSITIONS if (k[0] == "C") == (letter == "C"))
+_PAIRS = "pairs AS (SELECT a.reimbursement_code, c.rebate_code FROM (SELECT DISTINCT reimbursement_code FROM coded) a, (SELECT DISTINCT rebate_code FROM coded) c)"
 
 
-@query("""SELECT a.code AS reimbursement_code, c.code AS rebate_code FROM
-    (SELECT unnest(['A-01','A-02','A-04','A-05','A-06','A-07','A-08','A-09','A-10','A-11','A-12','A-13','A-14','A-15','A-16','A-17','B-01','B-02','B-04','B-05','B-06','B-07','B-08','B-09','B-10','B-11','B-12','B-13','B-14','B-15','B-16']) AS code) a,
-    (SELECT unnest(['C-00','C-01','C-02','C-03','C-05','C-07','C-08','C-09','C-10','C-11','C-13','C-14']) AS code) c""")
+@query(f"{_HEAD}, {_CODED}, {_PAIRS} SELECT * FROM pairs")
 def reachable_pairs(spark, sf_dir):
-    """31 by 12 codes: a product of two fixed lists of codes, and of no data."""
-    return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in _CODES("A")])).alias("reimbursement_code")).select(
-        "*", F.explode(F.array(*[F.lit(c) for c in _CODES("C")])).alias("rebate_code")
-    )
+    return _pairs(rules.classified(line_configurations(spark, sf_dir)))
 
 
-@query("""SELECT 'A-05' AS reimbursement_code, unnest(['C-00','C-01','C-02','C-03','C-05','C-07','C-08','C-09','C-10','C-11','C-13','C-14']) AS rebate_code""")
+@query(f"{_HEAD}, {_CODED}, {_PAIRS} SELECT * FROM pairs EXCEPT SELECT reimbursement_code, rebate_code FROM coded WHERE reimbursement_code <> 'A-05'")
 def missing_pairs(spark, sf_dir):
-    """Pairs that could be but are not among those found, from which one code was taken out."""
-    found = verdict_pairs(spark).where("reimbursement_code <> 'A-05'").select("reimbursement_code", "rebate_code")
-    return reachable_pairs(spark, sf_dir).exceptAll(found)
+    """Pairs that could be but are not among those of the lines, from which one code was taken out."""
+    rows = rules.classified(line_configurations(spark, sf_dir)).select("reimbursement_code", "rebate_code")
+    return _pairs(rows).exceptAll(rows.where("reimbursement_code <> 'A-05'").distinct())
 
 
 _PAYMENT = """CASE WHEN n = 0 THEN 'NONE' WHEN n > 1 AND amounts = 1 THEN 'DUPLICATE' WHEN paid > expected THEN 'OVER' WHEN paid = expected THEN 'FULL' WHEN paid > 0 THEN 'PARTIAL' ELSE 'NONE' END"""

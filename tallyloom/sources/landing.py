@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,17 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, with no lineage to recompute."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written to the shared folder, by the columns ``by``, and read again: computed once, with no lineage to recompute."""
     path = f"{shared_folder(df.sparkSession)}/engine-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the folder of a table made by ``stored``, once nothing reads it any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/engine-[^/]*)/.*", r"\1", f) for f in df.inputFiles()}:
         if "/engine-" in folder:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

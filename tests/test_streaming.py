@@ -27,6 +27,21 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     assert touched(stored.limit(1), attachments).count() == 1
 
 
+def test_a_later_copy_of_a_parent_drops_its_children(spark, tmp_path):
+    """Copies days apart, in other batches; an unreadable first delivery takes no id."""
+    first = remittance(1, [(1, 120.0, 90.0)], 90.0)
+    copy = dict(remittance(1, [(1, 120.0, 90.0), (2, 50.0, 40.0)], 130.0), received_at="2025-09-01T10:00:00Z")
+    broken = dict(claim(9), transaction_code="??")
+    out = [f"{tmp_path}/{n}" for n in ("records", "quarantine", "checkpoint")]
+    raw = raw_rows(spark, [first, broken, copy, dict(claim(9), received_at="2025-08-01T10:00:00Z"), first])
+    for ids in (("raw0000", "raw0001"), ("raw0002", "raw0003"), ("raw0004",)):
+        raw.where(F.col("raw_id").isin(*ids)).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest(spark, f"{tmp_path}/in", *out).awaitTermination()
+    stored = spark.read.parquet(out[0])
+    assert {r["raw_id"] for r in stored.collect()} == {"raw0000", "raw0003"}
+    assert stored.where("raw_id = 'raw0000'").count() == 2 and [r["raw_id"] for r in spark.read.parquet(out[1]).collect()] == ["raw0001"]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, [claim(1), claim(2)])) + "\n\n")
     (tmp_path / "bank.csv").write_text(
