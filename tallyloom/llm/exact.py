@@ -1,12 +1,11 @@
 """Exact dedup over an extendible-hash index that is kept as tables in the shared folder.
 
-Copies are merged where their bytes are equal: a group-by on the 64-bit key and the whole text, whose map side
-leaves one row for every text of a task, so a text that a third of all rows have moves once a task. What comes out
-are the index entries: key, length, SHA-256, how many rows have the text, and the ``doc_id`` that stays.
+A directory names the bucket of every leading-bits slot of a text's 64-bit key: a bucket over its capacity is split by one bit more and
+the directory doubles, until every bucket fits. Owner tasks take ranges of keys. Texts of a key meet there: equal bytes are one group, and texts that
+only share the key are chained. The index has an entry for every place of a chain: key, length, SHA-256, how many rows have the text, and the
+``doc_id`` that stays. A document finds its entry as in any such index: slot, bucket, key, and then its place in the chain.
 
-A directory names the bucket of every leading-bits slot of the key: a bucket over its capacity is split by one bit more and
-the directory doubles, until every bucket fits. Owner tasks take ranges of buckets and chain the entries whose keys
-collide. A document finds its entry as in any such index: slot, bucket, key, and then its place in the chain.
+Copies are merged before they move to their owner, so a text that a third of all rows have arrives as a few rows.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from tallyloom.llm.common import drop_written, row_columns, text_of, with_row, w
 #: Index entries that a bucket holds before it is split.
 BUCKET_ENTRIES = 8192
 KEY_BITS = 64
+#: Rows that a text leaves at most when its copies move to their owner; tasks for copies without an id.
+SALTS = 16
 
 
 def _text_key(text: Column) -> Column:
@@ -71,25 +72,26 @@ def _digest(text: Column) -> Column:
 def exact_index(docs: DataFrame, capacity: int = BUCKET_ENTRIES, key_of=_text_key) -> tuple[DataFrame, DataFrame, int]:
     """The index ``bucket, key, chain_place, n_bytes, sha, group_size, keep_id``, its directory, and that one's bits.
 
-    ``key_of`` gives a text's key; a weaker one makes longer chains and the same groups.
+    The directory is laid out by digests, which are small. Then the texts go to their owners: copies are merged within a salt of
+    their id, which leaves a hot text a few rows, and each owner takes a range of keys, compares the texts of a key byte by byte, and chains
+    those that differ. What it finds there is the group. ``key_of`` gives a text's key; a weaker one makes longer chains and the same groups.
     """
     texts = docs.select("doc_id", text_of().alias("text")).select("doc_id", key_of(F.col("text")).alias("key"), "text")
-    merged = texts.groupBy("key", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    entries = merged.select("key", F.octet_length("text").alias("n_bytes"), _digest(F.col("text")).alias("sha"), "group_size", "keep_id")
-    entries = written(entries, "entries")
-    slots, bits = directory(entries, capacity)
+    digests = written(texts.select("key", F.octet_length("text").alias("n_bytes"), _digest(F.col("text")).alias("sha")).distinct(), "digests")
+    slots, bits = directory(digests, capacity)
     slots = written(slots, "directory")
-    owned = entries.withColumn("slot", _slot(F.col("key"), bits)).join(slots, "slot").repartitionByRange("key")
+    drop_written(digests)
+    salted = texts.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("id"))
+    at_owner = salted.repartitionByRange("key")
+    told = at_owner.groupBy("key", "text").agg(F.sum("n").alias("group_size"), F.max("id").alias("keep_id"))
+    entries = told.select("key", F.octet_length("text").alias("n_bytes"), _digest(F.col("text")).alias("sha"), "group_size", "keep_id")
     chain = Window.partitionBy("key").orderBy("n_bytes", "sha")
     again = (F.lag("sha").over(chain) == F.col("sha")) & (F.lag("n_bytes").over(chain) == F.col("n_bytes"))
-    chained = owned.select(
-        "bucket", "key", F.row_number().over(chain).alias("chain_place"), "n_bytes", "sha", "group_size", "keep_id",
-        F.coalesce(again, F.lit(False)).alias("again"),
-    )
-    # Entries differ in their bytes, so two with one digest would mix up their documents.
-    told = F.when(F.col("again"), F.raise_error(F.lit("two texts with one SHA-256 differ")).cast("int")).otherwise(F.col("chain_place"))
-    index = written(chained.withColumn("chain_place", told).drop("again").sortWithinPartitions("bucket", "key", "chain_place"), "index")
-    drop_written(entries)
+    chained = entries.select("*", F.row_number().over(chain).alias("chain_place"), F.coalesce(again, F.lit(False)).alias("again"))
+    # A chain's texts differ in their bytes, so probes could not tell two of one digest apart.
+    place = F.when(F.col("again"), F.raise_error(F.lit("two texts with one SHA-256 differ")).cast("int")).otherwise(F.col("chain_place"))
+    placed = chained.withColumn("slot", _slot(F.col("key"), bits)).join(slots.select("slot", "bucket"), "slot")
+    index = written(placed.select("bucket", "key", place.alias("chain_place"), "n_bytes", "sha", "group_size", "keep_id"), "index")
     return index, slots, bits
 
 
@@ -106,22 +108,26 @@ def exact_duplicates(docs: DataFrame, capacity: int = BUCKET_ENTRIES, key_of=_te
     probes = text.select("doc_id", key_of(F.col("text")).alias("key"), F.octet_length("text").alias("n_bytes"), _digest(F.col("text")).alias("sha"))
     placed = probes.withColumn("slot", _slot(F.col("key"), bits)).join(slots.select("slot", "bucket"), "slot")
     found = placed.join(index, ["bucket", "key", "n_bytes", "sha"])
-    return found.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return found.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for every distinct text, that of the largest ``doc_id``; of rows that repeat it, any one.
 
-    The rows move once, to the index entries that name them, and what repeats a ``doc_id`` there lies together already.
+    A null text counts as empty. Where no row of a text has an id, any one of them stays. An empty table gives an empty one. The rows
+    move once, to the index entries that name them, and what repeats a ``doc_id`` there lies together already; rows without an id, which
+    may be very many of one text, are dealt over ``SALTS`` tasks and only the one that each task leaves meets the others.
     """
     index, _, _ = exact_index(docs)
-    named = [F.col("keep_id").isNull().alias("no_id"), F.coalesce("keep_id", F.lit(0)).alias("the_id")]
-    stays = index.select("key", "n_bytes", "sha", *named)
     text = text_of()
-    own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id")]
-    rows = with_row(docs, _text_key(text).alias("key"), F.octet_length(text).alias("n_bytes"), _digest(text).alias("sha"), *own)
-    at = ["key", "n_bytes", "sha", "no_id", "the_id"]
-    kept = rows.join(stays, at, "left_semi").dropDuplicates(at)
-    return kept.select(*row_columns(kept))
+    entry = [_text_key(text).alias("key"), F.octet_length(text).alias("n_bytes"), _digest(text).alias("sha")]
+    at = ["key", "n_bytes", "sha"]
+    named = with_row(docs.where("doc_id IS NOT NULL"), *entry, F.col("doc_id").alias("the_id"))
+    stays = index.where("keep_id IS NOT NULL").select(*at, F.col("keep_id").alias("the_id"))
+    kept = named.join(stays, [*at, "the_id"], "left_semi").dropDuplicates([*at, "the_id"])
+    # Tables mostly have no rows without an id, which their files' statistics tell before anything is read.
+    nameless = with_row(docs.where("doc_id IS NULL"), *entry, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    alone = index.where("keep_id IS NULL").select(*at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    one = nameless.join(alone, [*at, "salt"], "left_semi").dropDuplicates([*at, "salt"]).dropDuplicates(at)
+    return kept.select(*row_columns(kept)).unionByName(one.select(*row_columns(one)))

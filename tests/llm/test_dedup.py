@@ -101,7 +101,11 @@ def test_exact_with_repeated_rows_and_none(spark):
     assert [(r["group_size"], r["kept"]) for r in exact.exact_duplicates(docs).where("doc_id = 1").collect()] == [(2, True)] * 2
     ids = spark.createDataFrame([(None, "a"), (None, "a"), (0, "b"), (None, "b"), (0, "c")], SCHEMA)
     assert sorted(map(str, map(tuple, exact.drop_exact_duplicates(ids).collect()))) == ["(0, 'b')", "(0, 'c')", "(None, 'a')"]
-    assert exact.exact_duplicates(docs.limit(0)).count() == 0
+    assert exact.exact_duplicates(docs.limit(0)).count() == 0 and exact.drop_exact_duplicates(docs.limit(0)).count() == 0
+    long = "w é " * 500_000
+    many = spark.createDataFrame([(None, "hot")] * 300 + [(None, long), (None, long), (7, long + "x"), (8, long + "x"), (None, None), (None, "")], SCHEMA).repartition(5)
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in exact.drop_exact_duplicates(many).collect()) == [(0, 0), (0, 3), (0, len(long)), (8, len(long) + 1)]
+    assert sorted({(r["keep_id"] or 0, r["group_size"]) for r in exact.exact_duplicates(many).collect()}) == [(0, 2), (0, 300), (8, 2)]
 
 
 def test_exact_with_one_text_in_half_the_rows(spark):
