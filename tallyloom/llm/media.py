@@ -229,13 +229,24 @@ def decode_media(files: list[bytes]) -> list[tuple[int, np.ndarray]]:
     return [(ms, joined[e - n : e]) for (ms, n), e in zip(counts, ends)]
 
 
+def histograms(frames: list[np.ndarray]) -> np.ndarray:
+    """Counts (frames, LEVELS) of grey levels of frames of any sizes, each brought to ``FRAME`` samples in all."""
+    counts = np.stack([np.bincount((f >> 4).ravel().astype(np.int64), minlength=LEVELS) for f in frames])
+    return counts * FRAME // np.maximum(1, counts.sum(axis=1, keepdims=True))
+
+
 def shots(frames: np.ndarray) -> list[int]:
     """The first frame of every shot."""
     n = len(frames)
     if n < 2:
         return [0] * n
     bins = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * LEVELS
-    counts = np.bincount(bins.ravel(), minlength=n * LEVELS).reshape(n, LEVELS)
+    return cuts_of(np.bincount(bins.ravel(), minlength=n * LEVELS).reshape(n, LEVELS))
+
+
+def cuts_of(counts: np.ndarray) -> list[int]:
+    """Where histograms move further than those shortly before did: the first frame of every shot."""
+    n = len(counts)
     diff = np.abs(np.diff(counts, axis=0)).sum(axis=1)
     total = np.concatenate([[0], np.cumsum(diff)])
     squares = np.concatenate([[0], np.cumsum(diff * diff)])
