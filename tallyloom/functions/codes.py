@@ -68,3 +68,14 @@ def evidence_role(kind: Column) -> Column:
 def whole_units(quantity_milli: Column) -> Column:
     """Thousandths as whole units for display; none for null."""
     return F.floor(F.coalesce(quantity_milli, F.lit(0)) / 1000).cast("long")
+
+
+#: How far a deposit's basis proves where the money belongs (fixed values).
+MATCH_STRENGTH: dict[str, str] = {
+    "TRN02": "EXACT_REFERENCE", "ACH_TRACE": "EXACT_REFERENCE", "ALLOCATION_CODE": "EXACT_REFERENCE", "AMOUNT_DATE": "WEAK_INFERENCE", "RESIDUAL": "UNATTRIBUTED",
+}
+
+
+def match_strength(basis: Column) -> Column:
+    """The strength of a basis; null for one that there is not."""
+    return _looked_up(MATCH_STRENGTH, basis)

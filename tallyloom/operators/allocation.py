@@ -17,16 +17,15 @@ def largest_remainder(df: DataFrame, group: list[str], total: str, weight: str,
     the weights sum to zero, the first row gets all. Products are taken as decimals of 38 digits and cannot overflow.
     """
     whole = Window.partitionBy(*group)
-    by_order = whole.orderBy(*order)
     wide = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(19,0)")
     rows = df.withColumn("_weights", F.sum(F.coalesce(F.col(weight), F.lit(0))).over(whole).cast("decimal(19,0)"))
     product = (wide(total) * wide(weight)).cast("decimal(38,0)")
     rows = rows.withColumn("_floor", F.when(F.col("_weights") != 0, floor_div(product, F.col("_weights")).cast("long")))
     rows = rows.withColumn("_rest", F.when(F.col("_weights") != 0, F.pmod(product, F.col("_weights"))))
     rows = rows.withColumn("_left", F.col(total) - F.sum("_floor").over(whole)).withColumn("_place", F.row_number().over(whole.orderBy(F.desc_nulls_last("_rest"), *order)))
-    rows = rows.withColumn("_first", F.row_number().over(by_order))
-    share = F.when(F.col("_weights") == 0, F.when(F.col("_first") == 1, F.col(total)).otherwise(0)).otherwise(F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long"))
-    return rows.withColumn(out, share.cast("long")).drop("_weights", "_floor", "_rest", "_left", "_place", "_first")
+    # Without weights nothing has a remainder, so places follow the order alone.
+    share = F.when(F.col("_weights") == 0, F.when(F.col("_place") == 1, F.col(total)).otherwise(0)).otherwise(F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long"))
+    return rows.withColumn(out, share.cast("long")).drop("_weights", "_floor", "_rest", "_left", "_place")
 
 
 def plan(deposits: DataFrame, children: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def evidence(records: DataFrame, attachments: DataFrame) -> DataFrame:
     amount = F.col("amount_cents")
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     same = lambda on: F.count(F.when(on, 1)) > 1
-    one = lambda on: F.count_distinct(F.when(on, F.coalesce(amount, F.lit(-(2**62))))) == 1
+    one = lambda on: F.min(F.when(on, F.coalesce(amount, F.lit(-(2**62))))) == F.max(F.when(on, F.coalesce(amount, F.lit(-(2**62)))))
     last = lambda on, known: F.max_by(F.when(on & F.col("status").isin(*known), F.col("status")), F.when(on & F.col("status").isin(*known), arrival))
     return rows.groupBy("episode_id").agg(
         F.max_by(F.when(F.col("creates").isNotNull(), F.col("status")), F.when(F.col("creates").isNotNull(), arrival)).alias("status"),

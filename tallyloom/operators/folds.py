@@ -17,8 +17,9 @@ def specific_adjustment(adjustments: str = "adjustments") -> Column:
 
 
 def one_amount(amount: str) -> Column:
-    """Several lines with a single amount; a missing amount counts as one of its own."""
-    return (F.count("*") > 1) & (F.count_distinct(amount) + F.max(F.col(amount).isNull().cast("int")) == 1)
+    """Several lines with a single amount; a missing amount counts as one of its own. The least and the largest tell, in one pass."""
+    same = (F.count(amount) == F.count("*")) & (F.min(amount) == F.max(amount))
+    return (F.count("*") > 1) & (F.coalesce(same, F.lit(False)) | (F.count(amount) == 0))
 
 
 def claim_line_fold(lines: DataFrame, keys: list[str], signature: str = "signature") -> DataFrame:

@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.codes import MATCH_STRENGTH
 from tallyloom.operators import rules
 from tallyloom.operators.asof import latest
 from tallyloom.operators.episodes import allocations, decided, episodes, keyed_records, linked_deposits, own_links
@@ -22,7 +23,6 @@ from tallyloom.sources.landing import discard, stored
 from tallyloom.streaming.pool import Pool
 
 ROOTS = ("REMITTANCE", "REBATE_BATCH", "BANK_TRANSACTION")
-BASES = ("TRN02", "ALLOCATION_CODE", "AMOUNT_DATE")
 
 
 class RefusedAppend(ValueError):
@@ -58,7 +58,7 @@ def append_verdicts(verdicts: DataFrame, path: str) -> None:
 
 def append_allocations(rows: DataFrame, path: str) -> None:
     """Appends planned cents by the cursor of their batch; an unknown basis is refused."""
-    wrong = rows.where(~F.coalesce(F.col("basis").isin(*BASES), F.lit(False)))
+    wrong = rows.where(~F.coalesce(F.col("basis").isin(*MATCH_STRENGTH), F.lit(False)))
     if not wrong.isEmpty():
         raise RefusedAppend(f"unknown basis: {[r[0] for r in wrong.select('basis').distinct().limit(5).collect()]}")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cursor_at").parquet(path)
