@@ -5,7 +5,7 @@ import os
 import pytest
 from compare import duck_rows, spark_rows
 
-from tallyloom.plans import amounts, casework, desk, feeds, history, reference, registry, verdicts  # noqa: F401
+from tallyloom.plans import amounts, casework, claims, desk, feeds, history, reference, registry, verdicts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
