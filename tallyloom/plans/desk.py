@@ -104,3 +104,59 @@ def graded_by_both(spark, sf_dir):
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS arrival FROM events")
 def arrival_order(spark, sf_dir):
     return desk.arrival_order(tables(spark, sf_dir, "events")[0], ["user_id"], "ts", "event_id").select("event_id", "arrival")
+
+
+@query("""WITH up AS (SELECT user_id, event_type, coalesce(value > lag(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id), true) AS rises FROM events)
+    SELECT user_id, event_type, bool_and(rises) AND count(*) > 1 AS rising FROM up GROUP BY ALL""")
+def rising_scores(spark, sf_dir):
+    from tallyloom.operators.asof import always_rising
+
+    return always_rising(tables(spark, sf_dir, "events")[0], ["user_id", "event_type"], "event_id", "value", "user_id")
+
+
+@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 24 AS chunk FROM orders")
+def claim_chunks(spark, sf_dir):
+    from tallyloom.operators.matching import allocation_chunks
+
+    return allocation_chunks(tables(spark, sf_dir, "orders")[0], ["o_custkey"], ["o_orderkey"], 24).select("o_orderkey", "chunk")
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * {cents_sql('l_extendedprice')}) AS BIGINT) AS sum_cents FROM lineitem GROUP BY l_orderkey),
+    d AS (SELECT o_orderkey AS document_id, sum_cents + CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 3 ELSE 0 END AS declared_cents, sum_cents FROM orders JOIN s ON l_orderkey = o_orderkey)
+    SELECT document_id, CAST(declared_cents AS BIGINT) AS declared_cents, sum_cents FROM d WHERE declared_cents <> sum_cents""")
+def document_identity(spark, sf_dir):
+    """Orders that declare what their lines less their returns come to, but for some that are a cent or two off."""
+    from tallyloom.operators.allocation import identity_breaks
+
+    orders, lines = tables(spark, sf_dir, "orders", "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "PLB").otherwise("LINE")
+    children = lines.select(F.col("l_orderkey").alias("document_id"), kind.alias("kind"), cents("l_extendedprice").alias("amount_cents"))
+    sums = children.groupBy("document_id").agg(F.sum(F.when(F.col("kind") == "PLB", -F.col("amount_cents")).otherwise(F.col("amount_cents"))).alias("s"))
+    off = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 3).otherwise(F.lit(0))
+    documents = orders.join(sums, F.col("o_orderkey") == F.col("document_id")).select("document_id", (F.col("s") + off).alias("declared_cents"))
+    return identity_breaks(documents, children)
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [] WHEN {cents_sql('o_totalprice')} = o_custkey THEN [] ELSE [CAST({cents_sql('o_totalprice')} AS VARCHAR)] END AS unsourced FROM orders")
+def unsourced_amounts(spark, sf_dir):
+    """Numbers of a sentence that no tool has given."""
+    from tallyloom.functions.text import unsourced_numbers
+
+    (orders,) = tables(spark, sf_dir, "orders")
+    amount, customer = cents("o_totalprice").cast("string"), F.col("o_custkey").cast("string")
+    said = F.concat(F.lit("Customer "), customer, F.lit(" owes "), amount, F.lit(" cents."))
+    known = F.when(F.col("o_orderkey") % 3 == 0, F.array(customer, amount)).otherwise(F.array(customer))
+    return orders.select("o_orderkey", unsourced_numbers(said, known).alias("unsourced"))
+
+
+@query("""WITH a AS (SELECT user_id, value AS outcome FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+    b AS (SELECT user_id, value AS state FROM events WHERE event_type = 'purchase' AND user_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+    SELECT coalesce(a.user_id, b.user_id) AS user_id, outcome, state FROM a FULL OUTER JOIN b ON a.user_id = b.user_id""")
+def merged_decisions(spark, sf_dir):
+    """The last outcome and the last state of everyone who has one."""
+    from tallyloom.operators.folds import merged_decisions as merged
+
+    (events,) = tables(spark, sf_dir, "events")
+    outcomes = events.where("event_type = 'click' AND user_id % 3 <> 0").withColumnRenamed("value", "outcome")
+    states = events.where("event_type = 'purchase' AND user_id % 5 <> 0").withColumnRenamed("value", "state")
+    return merged(outcomes, states, "user_id", ["ts", "event_id"], (["outcome"], ["state"]))
