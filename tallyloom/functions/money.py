@@ -37,12 +37,12 @@ def double_cents(value: Column) -> Column:
     return F.round(value * 100).cast("long")
 
 
-def cents_text(cents: Column) -> Column:
-    """``-12.05`` for -1205."""
+def cents_text(cents: Column, negative: Column | None = None) -> Column:
+    """``-12.05`` for -1205; where a sign of its own is kept beside the size, ``negative`` gives it, also for ``-0.00``."""
     size = F.abs(cents)
     hundred = F.lit(100).cast("long")
     digits = F.concat(int_div(size, hundred).cast("string"), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))
-    return F.concat(F.when(cents < 0, "-").otherwise(""), digits)
+    return F.concat(F.when(cents < 0 if negative is None else negative, "-").otherwise(""), digits)
 
 
 def whole_number(text: Column, scale: int = 1) -> Column:

@@ -29,6 +29,19 @@ def test_money_texts(spark):
     assert one(spark, M.whole_number(F.lit("0030"), 1000), M.whole_number(F.lit("3x"))) == (30000, None)
 
 
+def test_amount_of_nothing_keeps_its_sign(spark, tmp_path):
+    import duckdb
+
+    from tallyloom.plans import amounts, registry
+
+    spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 1.05), (4, 1.05), (6, None)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["amount"], r["parsed_cents"]) for r in amounts.money_text(spark, str(tmp_path)).collect()}
+    assert got == {1: ("0.00", 0), 2: ("-0.00", 0), 3: ("1.05", 105), 4: ("-1.05", -105), 6: (None, None)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert {n: (a, c) for n, a, c in con.execute(registry.ORACLE_SQL["money_text"]).fetchall()} == got
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(-(10**6), 10**6), st.lists(st.integers(0, 10**6), min_size=1, max_size=6)), min_size=1, max_size=20))
 def test_largest_remainder_sums_exactly(spark, groups):
