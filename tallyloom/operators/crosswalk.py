@@ -27,18 +27,26 @@ def _moment(at: Column, by: Column, depth: Column) -> Column:
     return F.struct(at.alias("at"), by.alias("by"), depth.cast("int").alias("depth"))
 
 
-def _best(known: DataFrame) -> DataFrame:
+def _best(known: DataFrame, suspects: bool) -> DataFrame:
     """Of every key the two episodes that it leads to first, with and without suspects: more of them decide nothing.
 
-    The limits are taken before the shuffle as well, so a key with very many episodes does not meet in one task.
+    The limits are taken before the shuffle as well, so a key with very many episodes does not meet in one task. Without
+    suspects among ``known`` the two are the same.
     """
     by_target = known.groupBy(*KEY, "target").agg(
         F.min("since").alias("since"), F.min(F.when(~F.col("suspect"), F.col("since"))).alias("sure"), F.max("target_entity").alias("target_entity")
     )
     rank = lambda when: F.row_number().over(Window.partitionBy(*KEY).orderBy(when, "target"))
-    any_ = by_target.withColumn("n", rank("since")).where("n <= 2").withColumn("suspect", ~F.col("since").eqNullSafe(F.col("sure")))
+    any_ = by_target.withColumn("n", rank("since")).where("n <= 2").withColumn("suspect", ~F.col("since").eqNullSafe(F.col("sure"))).select(*_KNOWN)
+    if not suspects:
+        return any_
     sure = by_target.where("sure IS NOT NULL").withColumn("since", F.col("sure")).withColumn("n", rank("since")).where("n <= 2").withColumn("suspect", F.lit(False))
-    return any_.select(*_KNOWN).unionByName(sure.select(*_KNOWN))
+    return any_.unionByName(sure.select(*_KNOWN)).dropDuplicates()
+
+
+def _asked(keys: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Those of ``keys`` that some look-up names: what nobody asks for is not ranked, stored or joined again."""
+    return keys.join(lookups.select(*KEY).distinct(), KEY, "left_semi")
 
 
 def judged(lookups: DataFrame, known: DataFrame) -> DataFrame:
@@ -49,8 +57,8 @@ def judged(lookups: DataFrame, known: DataFrame) -> DataFrame:
     hits = lookups.join(known, KEY)
     before = F.struct(F.col("since.at"), F.col("since.by")) < F.struct(F.col("at"), F.col("record_id"))
     hits = hits.withColumn("when", F.when(before, _moment(F.col("at"), F.col("record_id"), F.lit(0))).otherwise(_moment(F.col("since.at"), F.col("since.by"), F.col("since.depth") + 1)))
+    hits = hits.select("record_id", "when", "target", "target_entity", "suspect", contradicts(F.col("entity"), F.col("target_entity")).alias("differs"))
     hits = hits.withColumn("first", F.min("when").over(Window.partitionBy("record_id"))).where(F.col("when") == F.col("first"))
-    hits = hits.withColumn("differs", contradicts(F.col("entity"), F.col("target_entity")))
     sure = F.when(~F.col("suspect"), F.col("target"))
     found = hits.groupBy("record_id").agg(
         F.min("first").alias("since"), F.min("target").alias("target"), F.max("target").alias("most"), F.min_by("target_entity", "target").alias("target_entity"), F.bool_or("differs").alias("clash"),
@@ -60,25 +68,34 @@ def judged(lookups: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("record_id", "since", "target", "most", "target_entity", "clash", (F.col("rests") | torn).alias("suspect"), "sure")
 
 
-def _state(labels: DataFrame) -> tuple:
-    h = F.xxhash64("record_id", "since", "target", "suspect")
-    return tuple(labels.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).first())
+def _state(known: DataFrame) -> tuple:
+    h = F.xxhash64(*_KNOWN)
+    return tuple(known.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).first())
+
 
+def _torn(labels: DataFrame) -> bool:
+    return not labels.where("suspect").isEmpty()
 
-def _relaxed(carriers: DataFrame, anchors: DataFrame, publishes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels of the carriers as if suspects attached, and the keys known then."""
-    known, labels, state = stored(_best(anchors), "known"), None, None
+
+def _relaxed(carriers: DataFrame, first: DataFrame, publishes: DataFrame) -> DataFrame:
+    """Labels of the carriers as if suspects attached. ``first`` and ``publishes`` hold keys that carriers look up.
+
+    What two targets of a key came first, anchors and published keys taken together, follows from the first two of either, so a round
+    ranks ``first`` and not all anchors again.
+    """
+    known, state = first, _state(first)
     while True:
-        found = stored(judged(carriers, known), "labels")
-        before, state = state, _state(found)
-        if labels is not None:
-            discard(labels)
-        labels = found
-        if state == before:
-            return labels, known
+        labels = stored(judged(carriers, known), "labels")
         more = publishes.join(labels, "record_id").select(*_KNOWN)
-        discard(known)
-        known = stored(_best(anchors.unionByName(more)), "known")
+        wider = stored(_best(first.unionByName(more), _torn(labels)), "known")
+        before, state = state, _state(wider)
+        if known is not first:
+            discard(known)
+        known = wider
+        if state == before:
+            discard(known)
+            return labels
+        discard(labels)
 
 
 def anchor_keys(anchors: DataFrame) -> DataFrame:
@@ -96,22 +113,26 @@ def why() -> Column:
 
 
 def settled(keyed: DataFrame, known_before: DataFrame, publishes: DataFrame) -> DataFrame:
-    """``judged`` of all ``keyed`` look-ups: by the keys known before, and by those that attached records publish."""
+    """``judged`` of all ``keyed`` look-ups: by the keys known before, none of them a suspect's, and by those that attached records publish."""
     carriers = stored(keyed.join(publishes.select("record_id").distinct(), "record_id", "left_semi"), "carriers")
-    free = carriers
+    asked = stored(_asked(known_before, keyed), "asked")
+    said = stored(_asked(publishes, keyed), "said")
+    inner = stored(_asked(said, carriers), "inner")
+    first, free = stored(_best(_asked(asked, carriers), False), "known"), carriers
     while True:
-        labels, known = _relaxed(free, known_before, publishes)
+        labels = _relaxed(free, first, inner)
         wrong = stored(labels.where("sure").select("record_id"), "blocked")
-        discard(labels)
         if wrong.isEmpty():
             break
-        discard(known)
+        discard(labels)
         rest = stored(free.join(wrong, "record_id", "left_anti"), "carriers")
-        discard(free)
+        if free is not carriers:
+            discard(free)
         free = rest
+    known = stored(_best(asked.unionByName(said.join(labels, "record_id").select(*_KNOWN)), _torn(labels)), "known")
     found = stored(judged(keyed, known), "judged")
-    discard(known)
-    discard(free)
+    for done in (known, labels, first, inner, said, asked, *({id(d): d for d in (free, carriers)}.values())):
+        discard(done)
     return found
 
 

@@ -102,3 +102,17 @@ def test_random_records_equal_a_replay(spark, seed):
         if rng.random() < 0.5:
             publishes += [(name, "K", rng.choice(keys)) for _ in range(rng.randint(1, 2))]
     assert found(spark, lookups, anchors, publishes) == replayed(lookups, anchors, publishes)
+
+
+def test_a_key_is_kept_once_a_target_and_only_if_it_is_asked_for(spark):
+    """Rows that repeat each other, or that nobody looks up, would be ranked, written and joined in every round."""
+    from tallyloom.operators import crosswalk as X
+
+    rows = [("K", f"k{k}", f"{t:02d}", f"E{t}", None) for k in range(3) for t in range(5)]
+    anchors = X.anchor_keys(spark.createDataFrame(rows, ANCHORS))
+    lookups = spark.createDataFrame([("R", "50", "K", "k1", None)], LOOKUPS)
+    asked = X._asked(anchors, lookups)
+    assert {r["key_value"] for r in asked.collect()} == {"k1"}
+    for suspects in (False, True):
+        known = X._best(asked, suspects).collect()
+        assert [(r["target"], r["suspect"]) for r in sorted(known, key=lambda r: r["target"])] == [("E0", False), ("E1", False)]
