@@ -15,16 +15,32 @@ def resolve(lookups: DataFrame, published: DataFrame) -> DataFrame:
 
     ``lookups``: ``record_id, at, key_type, key_value, entity`` with one row a key, and one with a null key for a record without
     keys. ``published``: ``key_type, key_value, first_seen_at, target, target_entity``. A key counts from the moment it was first
-    seen. No target parks the record, several park it as ambiguous, and one of another covered entity parks it too. Key
-    lists are never gathered: the count and the least and largest target decide.
+    seen. No target parks the record, several park it as ambiguous, and one of another covered entity parks it too. No pairs of
+    records and targets are made: each key's targets and look-ups are gone through once in the order of time, with how many targets were seen
+    so far, the least and the largest of them, and those of their entities. Only a record that several keys lead to
+    several targets has these joined, as its keys may share some.
     """
-    hits = lookups.join(published, ["key_type", "key_value"], "left").withColumn("_seen", F.col("first_seen_at") <= F.col("at"))
-    target = F.when(F.col("_seen"), F.col("target"))
-    clash = F.col("_seen") & contradicts(F.col("entity"), F.col("target_entity"))
-    found = hits.groupBy("record_id").agg(
-        F.max(F.col("key_value").isNotNull()).alias("_keyed"), F.min(target).alias("target"), F.max(target).alias("_most"), F.max(F.coalesce(clash, F.lit(False))).alias("_clash"),
-        F.count_distinct(target).alias("targets"),
+    keys = ["key_type", "key_value"]
+    seen = published.where("first_seen_at IS NOT NULL AND key_type IS NOT NULL AND key_value IS NOT NULL")
+    targets = seen.where("target IS NOT NULL").groupBy(*keys, "target").agg(F.min("first_seen_at").alias("at"))
+    entities = seen.where("target_entity IS NOT NULL").groupBy(*keys, "target_entity").agg(F.min("first_seen_at").alias("at"))
+    asked = lookups.select("record_id", "at", *keys, "entity", F.lit(True).alias("_asks"))
+    moments = asked.unionByName(targets, allowMissingColumns=True).unionByName(entities, allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("at"), F.asc_nulls_first("_asks")).rowsBetween(Window.unboundedPreceding, 0)
+    keyed = F.col("key_type").isNotNull() & F.col("key_value").isNotNull()
+    hits = moments.where(keyed).select(
+        "record_id", "entity", "_asks", F.count("target").over(so_far).alias("_n"), F.min("target").over(so_far).alias("_low"), F.max("target").over(so_far).alias("_high"),
+        F.min("target_entity").over(so_far).alias("_e0"), F.max("target_entity").over(so_far).alias("_e1"),
+    ).where("_asks")
+    none = asked.where(~keyed).select("record_id", "entity", "_asks", *[F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("_n", "_low", "_high", "_e0", "_e1")], F.col("key_value").isNotNull().alias("_has"))
+    clash = contradicts(F.col("entity"), F.col("_e0")) | contradicts(F.col("entity"), F.col("_e1"))
+    found = hits.withColumn("_has", F.lit(True)).unionByName(none).groupBy("record_id").agg(
+        F.max("_has").alias("_keyed"), F.min("_low").alias("target"), F.max("_high").alias("_most"), F.max(clash).alias("_clash"), F.max(F.coalesce("_n", F.lit(0))).alias("targets"), F.count_if(F.col("_n") > 0).alias("_led"),
     )
+    several = found.where("_led > 1 AND target <> _most").select("record_id")
+    pairs = lookups.join(several, "record_id", "left_semi").select("record_id", *keys, F.col("at").alias("_now")).join(targets, keys).where(F.col("at") <= F.col("_now"))
+    exact = pairs.groupBy("record_id").agg(F.count_distinct("target").alias("_exact"))
+    found = found.join(exact, "record_id", "left").withColumn("targets", F.coalesce("_exact", "targets"))
     decision = (
         F.when(~F.col("_keyed"), PARK_REASONS[0]).when(F.col("target").isNull(), PARK_REASONS[1]).when(F.col("target") != F.col("_most"), PARK_REASONS[2])
         .when(F.col("_clash"), PARK_REASONS[3]).otherwise(ATTACHED)

@@ -45,6 +45,28 @@ def test_decisions_in_order(spark):
     assert got == {"one": ("ATTACHED", "e1"), "two": ("AMBIGUOUS_KEY_MATCH", None), "late": ("NO_KEY_MATCH", None), "none": ("NO_KEYS_PRESENT", None), "clash": ("COVERED_ENTITY_MISMATCH", None), "miss": ("NO_KEY_MATCH", None)}
 
 
+def test_targets_of_keys_equal_all_pairs_and_none_are_made(spark):
+    rng = random.Random(5)
+    keys, entity = [f"k{i}" for i in range(6)], lambda: rng.choice([None, None, "X", "Y"])
+    published = [("A", rng.choice(keys), rng.randint(1, 9), f"e{rng.randint(1, 5)}", entity()) for _ in range(14)]
+    lookups = []
+    for i in range(150):
+        at, own = rng.randint(0, 10), entity()
+        lookups += [(f"r{i:03d}", at, "A", rng.choice([*keys, "none"]), own) for _ in range(rng.choice([1, 1, 2, 3]))] if i % 10 else [(f"r{i:03d}", at, None, None, own)]
+    a = spark.createDataFrame(lookups, "record_id string, at int, key_type string, key_value string, entity string")
+    b = spark.createDataFrame(published, "key_type string, key_value string, first_seen_at int, target string, target_entity string")
+    got = {r["record_id"]: tuple(r)[1:] for r in matching.resolve(a, b).collect()}
+    for name in {r[0] for r in lookups}:
+        own = [r for r in lookups if r[0] == name]
+        hits = [(t, e, r[4]) for r in own for _, v, since, t, e in published if v == r[3] and since <= r[1]]
+        apart, clash = {t for t, _, _ in hits}, any(e and mine and e != mine for _, e, mine in hits)
+        why = "NO_KEYS_PRESENT" if own[0][3] is None else "NO_KEY_MATCH" if not apart else "AMBIGUOUS_KEY_MATCH" if len(apart) > 1 else "COVERED_ENTITY_MISMATCH" if clash else "ATTACHED"
+        assert got[name] == (len(apart), apart.pop() if why == "ATTACHED" else None, why)
+    hot = spark.range(20_000).selectExpr("id AS record_id", "id AS at", "'A' AS key_type", "'one' AS key_value", "CAST(NULL AS STRING) AS entity")
+    many = hot.selectExpr("key_type", "key_value", "at AS first_seen_at", "record_id AS target", "entity AS target_entity")
+    assert matching.resolve(hot, many).agg(F.sum("targets")).first()[0] == 20_000 * 20_001 // 2
+
+
 def test_band_match_equals_all_pairs(spark):
     rng = random.Random(3)
     day = lambda: f"2025-07-{rng.randint(1, 28):02d}"
