@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A dimension up to this many rows may be broadcast.
 MOST_BROADCAST = 100_000
+#: Rows that a task groups or sorts, about.
+TASK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -81,9 +83,14 @@ def _checks(rows: DataFrame, table: str, found: list[Check], ids: tuple[str, ...
     return _out(rows.select("*", F.explode(F.filter(failed, lambda f: f.isNotNull())).alias("_rule")), table, F.col("_rule"), _named(ids))
 
 
-def _keys(rows: DataFrame, k: Key) -> DataFrame:
+def _dealt(rows: DataFrame, columns: tuple[str, ...], task_rows: int) -> DataFrame:
+    """``rows`` dealt by ``columns`` to tasks of about ``task_rows`` rows each, so that a larger table takes more tasks and not larger ones."""
+    return rows.repartition(max(1, -(-rows.count() // task_rows)), *columns)
+
+
+def _keys(rows: DataFrame, k: Key, task_rows: int = TASK_ROWS) -> DataFrame:
     rule = f"KEY {','.join(k.columns)}"
-    twice = rows.groupBy(*k.columns).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | _missing(k.columns))
+    twice = _dealt(rows.select(*k.columns), k.columns, task_rows).groupBy(*k.columns).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | _missing(k.columns))
     return _out(twice, k.table, rule, _named(k.columns))
 
 
@@ -95,10 +102,11 @@ def _references(rows: DataFrame, target: DataFrame, r: Reference) -> DataFrame:
     return _out(own.join(there, same, "left_anti"), r.table, f"REFERENCE {','.join(r.columns)} TO {r.to}", _named(r.columns))
 
 
-def _spans(rows: DataFrame, e: Exclusive) -> DataFrame:
+def _spans(rows: DataFrame, e: Exclusive, task_rows: int = TASK_ROWS) -> DataFrame:
     """A span breaks the rule where an earlier one of its key ends after its start: the latest end so far decides, and no pairs are made."""
     order = Window.partitionBy(*e.key).orderBy(F.asc_nulls_first(e.start), F.asc_nulls_last(e.end)).rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.select(*e.key, e.start, e.end, F.count("*").over(order).alias("_n"), F.max(e.end).over(order).alias("_most"), F.bool_or(F.col(e.end).isNull()).over(order).alias("_open"))
+    own = _dealt(rows.select(*dict.fromkeys((*e.key, e.start, e.end))), e.key, task_rows)
+    before = own.select(*e.key, e.start, e.end, F.count("*").over(order).alias("_n"), F.max(e.end).over(order).alias("_most"), F.bool_or(F.col(e.end).isNull()).over(order).alias("_open"))
     over = (F.col("_n") > 0) & (F.coalesce("_open", F.lit(False)) | (F.col("_most") > F.col(e.start)))
     empty = F.coalesce(F.col(e.end) <= F.col(e.start), F.lit(False)) | F.col(e.start).isNull()
     return _out(before.where(over | empty), e.table, f"EXCLUSIVE {e.start}..{e.end} BY {','.join(e.key)}", _named((*e.key, e.start)))

@@ -97,3 +97,12 @@ def test_numbers_in_words(spark):
     assert one("twelve hundred and five; a hundred, hundredths of a someone, two thousand\nthree") == [1205, 100, 2003]
     assert one("forty two and one") == [] and one("") == [] and one("nine hundred or nine hundred") == [900]
     assert spark.range(1).select(T.numbers_in_words(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_a_larger_table_takes_more_tasks(spark):
+    """Without a number of its own, a shuffle of a few small columns is merged into a few large tasks."""
+    rows = spark.range(95).selectExpr("id", "id div 2 AS k", "id AS since", "id + 1 AS until")
+    assert [C._dealt(rows.limit(n), ("k",), 10).rdd.getNumPartitions() for n in (0, 10, 95)] == [1, 1, 10]
+    assert {r["row"] for r in C._keys(rows, C.Key("t", ("k",)), 10).collect()} == {str(k) for k in range(47)}
+    assert C._spans(rows, C.Exclusive("t", ("k",), "since", "until"), 10).count() == 0
+    assert C._spans(rows.withColumn("until", rows["until"] + 1), C.Exclusive("t", ("k",), "since", "until"), 10).count() == 47
