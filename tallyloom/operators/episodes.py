@@ -13,6 +13,8 @@ from tallyloom.sources.landing import stored
 
 #: Adjustments that take money back for an earlier claim (fixed values).
 RECOVERIES = ("WO", "CS", "72")
+#: Records that a task folds, about: as wide rows they take several kilobytes each in memory.
+TASK_RECORDS = 100_000
 _ROOTS = ("REMITTANCE", "REBATE_BATCH", "BANK_TRANSACTION")
 
 
@@ -79,12 +81,16 @@ def expected_amounts(all_episodes: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("episode_id", F.coalesce(price["expected"], zero).alias("expected_cents"), F.when(priced, F.coalesce(rebate, zero)).otherwise(zero).alias("expected_rebate_cents"), priced.alias("is_priced"))
 
 
-def evidence(records: DataFrame, attachments: DataFrame) -> DataFrame:
-    """One row of folds for every episode, in a single grouped pass over its records."""
+def evidence(records: DataFrame, attachments: DataFrame, task_records: int = TASK_RECORDS) -> DataFrame:
+    """One row of folds for every episode, in a single grouped pass over its records.
+
+    Records are dealt by episode to tasks of about ``task_records`` each, and what is joined by episode after that comes in as many.
+    """
     parents = records.where("record_kind IN ('REMITTANCE', 'REBATE_BATCH')").select(F.col("record_id").alias("parent_id"), F.col("event_date").alias("issued_on"))
     rows = records.join(attachments.select("record_id", "episode_id"), "record_id").join(parents, "parent_id", "left")
     is_ = lambda *k: F.col("record_kind").isin(*k)
     line, plb, paid_rebate = is_("REMITTANCE_CLAIM_LINE"), is_("PROVIDER_LEVEL_ADJUSTMENT"), is_("REBATE_DISPENSE_LINE")
+    rows = rows.repartition(max(1, -(-attachments.count() // task_records)), "episode_id")
     arrival = F.struct("received_at", "record_id")
     issued = F.struct(F.coalesce("issued_on", "received_at"), "received_at", "record_id")
     amount = F.col("amount_cents")
@@ -100,7 +106,7 @@ def evidence(records: DataFrame, attachments: DataFrame) -> DataFrame:
         any_(line & (F.col("status") == "1")).alias("settled"), any_(line & F.col("status").isin("19", "25")).alias("forwarded"),
         any_(is_("MEDICAL_ACKNOWLEDGMENT") & (F.col("status") == "REJECTED")).alias("refused"), F.min_by(F.when(line, amount), F.when(line, issued)).alias("first_paid"),
         F.min_by(F.when(line, F.col("status") == "4"), F.when(line, issued)).alias("first_denied"), any_(line & (F.col("status") == "4")).alias("any_denied"),
-        any_(is_("MEDICAL_SUBMISSION") & F.col("status").isin("7", "8")).alias("appealed"), F.count_distinct(F.when(line, F.col("icn"))).alias("answers"),
+        any_(is_("MEDICAL_SUBMISSION") & F.col("status").isin("7", "8")).alias("appealed"), F.size(F.collect_set(F.when(line, F.col("icn")))).alias("answers"),
         any_(is_("TPA_QUALIFICATION", "TPA_REBATE_REQUEST", "TPA_MANUFACTURER_DECISION", "TPA_REVERSAL", "REBATE_DISPENSE_LINE")).alias("present"),
         last(is_("TPA_QUALIFICATION"), ("QUALIFIED", "NOT_QUALIFIED")).alias("qualification"), any_(is_("TPA_REBATE_REQUEST", "BEACON_ACKNOWLEDGMENT")).alias("requested"),
         last(is_("TPA_MANUFACTURER_DECISION"), ("APPROVED", "REJECTED", "PENDING")).alias("manufacturer"), F.count(F.when(paid_rebate, 1)).alias("rebate_lines"),

@@ -179,3 +179,15 @@ def test_raw_ids_are_the_same_in_every_read(spark, tmp_path):
     source = lambda *names: feeds.Source("s", "PBM", "JSONL", tuple(str(tmp_path / n) for n in names))
     ids = lambda *names: sorted(r["raw_id"] for r in feeds.read_jsonl(spark, source(*names), "2025-01-01").select("raw_id").collect())
     assert ids("a.jsonl", "b.jsonl") == ids("a.jsonl") == ids("b.jsonl") and len(set(ids("a.jsonl"))) == 3
+
+
+def test_more_records_take_more_tasks_and_answers_are_told_apart(spark):
+    from tallyloom.operators.episodes import evidence
+    from tallyloom.operators.normalize import RECORD
+
+    lines = [{"record_id": f"r{i}", "record_kind": "REMITTANCE_CLAIM_LINE", "icn": ("a", "b", "a", None)[i % 4], "amount_cents": 1, "charge_cents": 1, "received_at": "2025"} for i in range(40)]
+    records = spark.createDataFrame([tuple(r.get(n) for n in RECORD) for r in lines], ", ".join(f"{n} {t}" for n, t in RECORD.items()))
+    links = spark.createDataFrame([(f"r{i}", f"e{i // 4}") for i in range(40)], "record_id string, episode_id string")
+    found = evidence(records, links, 5)
+    assert found.rdd.getNumPartitions() == 8
+    assert {(r["episode_id"], r["lines"], r["answers"], len(r["evidence"])) for r in found.collect()} == {(f"e{i}", 4, 2, 4) for i in range(10)}
