@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -192,3 +193,50 @@ def test_passage_inside_long_sentences_is_cut_after_any_prefix(spark):
         left = set(got[i]["text"].split())
         assert sum(w in left for w in passage) <= 20
         assert set(docs[i].split()) - set(passage) <= left
+
+
+def test_runs_of_many_texts_equal_a_plain_version():
+    """Units and runs sentence by sentence and word by word, as spans too, for texts of odd white space and wide full stops."""
+    import random
+    import re
+
+    import xxhash
+
+    rng = random.Random(3)
+    parts = ["a", "bb", "ccc.", "d!", "e?", "。", "x。", "y！z", "？", "\n", " ", " \n ", "\t", "\u3000", "\x85", "foo", "baz", "qux.", "日本", "."]
+    texts = ["", "\n", " ", "。", *(rng.choice([" ", "", " "]).join(rng.choice(parts) for _ in range(rng.randint(0, 120))) for _ in range(300))]
+
+    def plain(text):
+        at, out = 0, []
+        for stop, after in [*((m.start(), m.end()) for m in re.finditer(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])", text)), (len(text), len(text))]:
+            words = [(at + m.start(), at + m.end(), m[0]) for m in re.finditer(r"\S+", text[at:stop])]
+            hashes = [xxhash.xxh3_64_intdigest(w.encode()) for _, _, w in words]
+            if len(words) > substring_dedup.SENTENCE_WORDS:
+                first = 0
+                for k in range(len(words)):
+                    if k == len(words) - 1 or hashes[k] == min(hashes[max(0, k - 2) : k + 3]):
+                        out.append((words[first][0], words[k][1], tuple(w for _, _, w in words[first : k + 1])))
+                        first = k + 1
+            elif words:
+                out.append((at, stop, tuple(w for _, _, w in words)))
+            at = after
+        return out
+
+    def ends(units):
+        for i in range(len(units)):
+            n = next((n for n in range(3, len(units) - i + 1) if sum(len(u[2]) for u in units[i : i + n]) >= substring_dedup.RUN_WORDS), None)
+            if n:
+                yield i, i + n
+
+    units = [plain(t) for t in texts]
+    want = [(k, i, tuple(u[2] for u in own[i:j])) for k, own in enumerate(units) for i, j in ends(own)]
+    text, place, halves = substring_dedup.runs(texts, substring_dedup._Words())
+    assert list(zip(text.tolist(), place.tolist())) == [w[:2] for w in want]
+    hashes = list(map(tuple, halves.tolist()))
+    assert len(set(hashes)) == len({w[2] for w in want}) == len({(h, w[2]) for h, w in zip(hashes, want)})
+    places = [np.array([i for i, _ in ends(own) if rng.random() < 0.2], np.int32) for own in units]
+    for t, own, p, (left, spans, n) in zip(texts, units, places, substring_dedup.cuts(texts, places, substring_dedup._Words())):
+        gone = sorted({k for i, j in ends(own) if i in p for k in range(i, j)})
+        assert n == sum(len(own[k][2]) for k in gone)
+        assert [s["start"] for s in spans] == [own[k][0] for k in gone if k - 1 not in gone] and [s["end"] for s in spans] == [own[k][1] for k in gone if k + 1 not in gone]
+        assert len(left) == len(t) - sum(s["end"] - s["start"] for s in spans)
