@@ -21,7 +21,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share four fifths of their five-word shingles or more, the one with the least id stays."""
+    """Of documents that share four fifths of their five-word shingles or more, found by SimHash and a join for the rest, the one with the least id stays."""
     return shingle_join.keep_one_of_each_group(docs)
 
 

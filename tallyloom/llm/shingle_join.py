@@ -1,14 +1,16 @@
-"""Near duplicates by the share of common shingles: a set join with prefix filtering that loses no pair.
+"""Near duplicates by SimHash and, for what fingerprints miss, by a set join with prefix filtering: no pair is lost.
 
-Shingles are brought into one order, those that all documents together have most often last (counted by slots of a hash, so what
+SimHash comes first: documents whose fingerprints the index on positional bytes brings together, and differ in few enough bits,
+are compared by their whole sets of shingles and linked. They are most of the near copies, and parts of the join below from the start.
+
+For the join, shingles are brought into one order, those that all documents together have most often last (counted by slots of a hash, so what
 is broadcast has a fixed size). A passage that many documents share is then in the prefix of those alone that hardly hold anything else. Two sets with Jaccard similarity ``t`` or more share at
 least ``ceil(t * n)`` of the ``n`` shingles of either, so they share one of the first ``n - ceil(t * n) + 1`` of both. Documents
 that meet there and whose sizes allow it are first compared by bitmaps that hold the parity of shingles a slot: bitmaps cannot differ in more
 bits than the sets do in shingles. Those that may be similar are compared by their whole sets. The order decides the effort, never the result.
 
-What is wanted are the components, not all pairs. So every document is first compared with one other, the most central of
-the most common shingle that it has in its prefix, and then, if it is not in the component of most there, with that one's most
-central. Only documents of different components that meet are left for the last comparison, at their first common shingle: what
+What is wanted are the components, not all pairs. So every document that is not in the component of most at a shingle of its
+prefix is first compared with one other, the most central of the most common such shingle. Only documents of different components that meet are left for the last comparison, at their first common shingle: what
 may follow after that place in both has to suffice for the similarity.
 """
 
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm import simhash
 from tallyloom.llm.common import drop_written, row_columns, text_of, with_row, written
 from tallyloom.llm.components import connected_components
 
@@ -125,25 +128,30 @@ def shingle_levels(docs: DataFrame, words: int = SHINGLE_WORDS, most_bits: int =
 
 
 def set_table(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, text_hash, node, size, bitmap, prefix``: ``node`` names a document's set of shingles, equal sets alike."""
+    """``doc_id, text_hash, node, size, bitmap, prefix, fp``: ``node`` names a document's set of shingles, equal sets alike; ``fp`` is its SimHash."""
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, words))
 
     def of(batches):
         shingles = hasher(words)
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("text").to_pylist()
+            sets = [shingles(t) for t in texts]
+            fps = np.fromiter(map(simhash.fingerprint_of, texts), np.uint64, len(texts))
             prefixes = [prefix_of(s, levels.value).view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, prefixes)])
             values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             columns = [
                 batch.column("doc_id"), batch.column("text_hash"), pa.array(map(_node, sets), pa.int64()),
                 pa.array(map(len, sets), pa.int32()), pa.array(map(parities, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                pa.array(fps.view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "bitmap", "prefix", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return written(rows.mapInArrow(of, f"doc_id {kind}, text_hash long, node long, size int, bitmap binary, prefix array<long>"), "sets")
+    sets = written(rows.mapInArrow(of, f"doc_id {kind}, text_hash long, node long, size int, bitmap binary, prefix array<long>, fp long"), "sets")
+    levels.destroy()
+    return sets
 
 
 def _may_be_similar(sets: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -210,13 +218,12 @@ def _can_be_similar(one: str, other: str) -> Column:
     return (F.least(m, n) * over >= F.greatest(m, n) * times) & (share * (over + times) >= (m + n) * times)
 
 
-def _with_parts(live: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The postings of lists that hold several components, with each node's own, ``part``, and those lists.
+def _with_parts(live: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of lists that hold several of the components ``parts``, with each node's own, ``part``, and those lists.
 
     ``most`` is the component of most in a list, ``centre`` its posting of the earliest place.
     """
-    parts = written(connected_components(found, "a", "b"), "parts").withColumnRenamed("node", "of")
-    own = live.join(parts, F.col("node") == F.col("of"), "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
+    own = live.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
     own = written(own, "postings")
     groups = own.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct("pos", "node", "size")).alias("centre"))
     lists = groups.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by(F.struct("part", "centre"), F.struct("n", "part")).alias("m"))
@@ -244,27 +251,42 @@ def _merged(live: DataFrame) -> DataFrame:
     return merged
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``a, b``: links between nodes of ``sets`` that connect all that are similar."""
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """``a, b``: nodes that SimHash links: each with the first of its fingerprint, and the firsts of linked fingerprints."""
+    firsts = written(sets.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "firsts")
+    alike = sets.select("node", "fp").join(firsts.where("first < last").select("fp", "first"), "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(firsts.select("fp"))  # a pair may come more than once
+    one, other = firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = near.join(one, "a").join(other, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return alike.unionAll(across)
+
+
+def _joined(parts: DataFrame | None, found: DataFrame) -> DataFrame:
+    """``node, component``: the components ``parts``, if there are any yet, joined by the links ``found``."""
+    links = found if parts is None else parts.toDF("a", "b").unionAll(found)
+    return written(connected_components(links, "a", "b"), "parts")
+
+
+def components(docs: DataFrame, sets: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``node, component`` of all nodes of ``sets`` that are similar to another."""
     postings = sets.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     live = _merged(written(postings.join(shared, "key", "left_semi").distinct(), "live"))
-    none = live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    found = _similar(docs, sets, _to_centres(*_with_parts(live, none)), words)
-    found = found.unionAll(_similar(docs, sets, _to_centres(*_with_parts(live, found)), words))
-    own, lists = _with_parts(live, found)
+    parts = _joined(None, _similar(docs, sets, _by_fingerprint(sets), words))
+    parts = _joined(parts, _similar(docs, sets, _to_centres(*_with_parts(live, parts)), words))
+    own, lists = _with_parts(live, parts)
     rest = own.join(lists.select("key", "most"), "key")
     x, y = rest.where("part <> most").alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & _can_be_similar("x", "y")
     left = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return found.unionAll(_similar(docs, sets, left, words))
+    return _joined(parts, _similar(docs, sets, left, words))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
-    ``component_id`` is the least ``doc_id`` that can be reached over documents with similarity ``SIMILAR`` or more. A null
-    text counts as empty. Repeated rows each give a row. A null ``doc_id`` is kept and never names a component
+    ``component_id`` is the least ``doc_id`` that can be reached over documents with similarity ``SIMILAR`` or more, whether
+    SimHash or the join brought them together. A null text counts as empty. Repeated rows each give a row. A null ``doc_id`` is kept and never names a component
     unless the whole component has none. An empty table gives an empty result.
     """
     members = _members(docs, words)
@@ -275,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def _members(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, text_hash, component`` of every row."""
     sets = set_table(docs, words)
-    linked = connected_components(links(docs, sets, words), "a", "b").withColumnRenamed("node", "of")
+    linked = components(docs, sets, words).withColumnRenamed("node", "of")
     ids = sets.select("doc_id", "text_hash", "node").join(linked, F.col("node") == F.col("of"), "left")
     members = written(ids.select("doc_id", "text_hash", F.coalesce("component", "node").alias("component")), "members")
     drop_written(sets)

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from test_dedup import SCHEMA, reachable
 
-from tallyloom.llm import shingle_join
+from tallyloom.llm import shingle_join, simhash
 
 
 def shingle_set(text):
@@ -61,3 +61,22 @@ def test_stage_drops_near_copies_at_four_fifths(spark):
     ids = spark.createDataFrame([(None, "a b c d e f"), (None, "other words of one text here"), (None, "other words of one text here"), (3, "a b c d e f"), (3, "some third text stands here now")], SCHEMA)
     kept = sorted(map(str, map(tuple, corpus_pipeline.drop_near(spark, ids, "").collect())))
     assert kept == ["(3, 'a b c d e f')", "(3, 'some third text stands here now')", "(None, 'other words of one text here')"]
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """The stage's first candidates are what fingerprints within three bits connect; its result stays that of all pairs."""
+    texts = copies()
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    sets = shingle_join.set_table(docs)
+    nodes = {r["doc_id"]: (r["node"], r["fp"]) for r in sets.collect()}
+    fps = {i: simhash.fingerprint_of(t) for i, t in texts.items()}
+    assert {i: fp % (1 << 64) for i, (_, fp) in nodes.items()} == fps
+    near = [(nodes[a][0], nodes[b][0]) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    named = {n: "" for n, _ in nodes.values()}
+    got = [(r["a"], r["b"]) for r in shingle_join._by_fingerprint(sets).collect()]
+    assert reachable(named, got) == reachable(named, near) and any(a != b for a, b in got)
+    asked = []
+    similar = shingle_join._similar
+    monkeypatch.setattr(shingle_join, "_similar", lambda *a: asked.append([(r["a"], r["b"]) for r in a[2].collect()]) or similar(*a))
+    shingle_join.components(docs, sets).collect()
+    assert reachable(named, asked[0]) == reachable(named, near)
