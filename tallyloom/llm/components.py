@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import drop_written, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the centre of its component or has one edge, to the centre."""
+    end = lambda node, up: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    nodes = edges.select(F.explode(F.array(end("a", 1), end("b", 0))).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return not nodes.agg(F.count(F.when((F.col("up") > 0) & (F.col("up") + F.col("down") > 1), 1))).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     joined = both.join(least, "a").where("b > a")
-    return joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    return joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,18 +37,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` for every node that has a link; ``component`` is its least reachable node.
 
-    Links are pairs of longs without nulls; their order, repeats and self-links do not matter.
+    Links are pairs of longs without nulls; their order, repeats and self-links do not matter. Components found before may be
+    given as links of nodes to them, beside new ones: no round is spent on what is a star already.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = written(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _all_stars(edges):
         stars = written(_small_star(_large_star(edges)), "stars")
-        old, edges = edges, stars
-        before, state = state, _state(edges)
-        drop_written(old)
-        if state == before:
-            break
+        drop_written(edges)
+        edges = stars
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

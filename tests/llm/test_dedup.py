@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import exact, simhash, substring_dedup
+from tallyloom.llm import components, exact, simhash, substring_dedup
 from tallyloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
@@ -240,3 +240,16 @@ def test_runs_of_many_texts_equal_a_plain_version():
         assert n == sum(len(own[k][2]) for k in gone)
         assert [s["start"] for s in spans] == [own[k][0] for k in gone if k - 1 not in gone] and [s["end"] for s in spans] == [own[k][1] for k in gone if k + 1 not in gone]
         assert len(left) == len(t) - sum(s["end"] - s["start"] for s in spans)
+
+
+def test_components_spend_no_round_on_stars(spark, monkeypatch):
+    """Known components with nothing to join take no round, and a last one only to see that nothing changes is not made."""
+    rounds = []
+    written = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or written(df, name))
+    stars = [(i, i % 3) for i in range(3, 30)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(stars, "a long, b long"), "a", "b").collect()}
+    assert got == {i: i % 3 for i in range(30)} and rounds == ["edges"]
+    rounds.clear()
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*stars, (4, 5)], "a long, b long"), "a", "b").collect()}
+    assert got == {i: 0 if i % 3 == 0 else 1 for i in range(30)} and rounds.count("stars") <= 2
