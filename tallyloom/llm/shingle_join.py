@@ -118,12 +118,12 @@ def shingle_levels(docs: DataFrame, words: int = SHINGLE_WORDS, most_bits: int =
         for part in table.column("counts"):
             total += np.frombuffer(zlib.decompress(part.as_buffer()), np.uint32)
         levels = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
-        return pa.table({"at": table.column("at").slice(0, 1), "levels": pa.array([levels.tobytes()])})
+        return pa.table({"at": table.column("at").slice(0, 1), "levels": pa.array([zlib.compress(levels.tobytes())])})
 
     counted = docs.select(text_of().alias("text")).mapInArrow(count, "at int, counts binary").groupBy("at").applyInArrow(merge, "at int, levels binary")
     levels = np.zeros((1 << bits) // block * block, np.uint8).reshape(-1, block)
     for row in counted.collect():
-        levels[row["at"]] = np.frombuffer(row["levels"], np.uint8)
+        levels[row["at"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
     return levels.ravel()
 
 
@@ -155,12 +155,13 @@ def set_table(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def _may_be_similar(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``candidates`` without pairs whose bitmaps differ in more bits than similar sets do in shingles."""
+    """``candidates`` without pairs whose bitmaps differ in more bits than similar sets do in shingles, with ``s, t``: the hash of a text of each."""
     nodes = candidates.select(F.col("a").alias("node")).unionAll(candidates.select(F.col("b").alias("node"))).distinct()
-    known = sets.select("node", "size", "bitmap").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"))
+    known = sets.select("node", "size", "bitmap", "text_hash").join(nodes, "node", "left_semi").groupBy("node")
+    known = known.agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.min("text_hash").alias("text_hash"))
     known = written(known, "bitmaps")
-    left = candidates.join(known.toDF("a", "m", "x"), "a")
-    both = left.join(known.toDF("b", "n", "y"), "b").select("a", "b", (F.col("m") + F.col("n")).alias("sizes"), "x", "y")
+    left = candidates.join(known.toDF("a", "m", "x", "s"), "a")
+    both = left.join(known.toDF("b", "n", "y", "t"), "b").select("a", "b", "s", "t", (F.col("m") + F.col("n")).alias("sizes"), "x", "y")
 
     def compare(batches):
         times, over = SIMILAR
@@ -168,9 +169,9 @@ def _may_be_similar(sets: DataFrame, candidates: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             keep = apart * (over + times) <= batch.column("sizes").to_numpy().astype(np.int64) * (over - times)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "s", "t"]).filter(pa.array(keep, pa.bool_()))
 
-    compared = written(both.mapInArrow(compare, "a long, b long"), "compared")
+    compared = written(both.mapInArrow(compare, "a long, b long, s long, t long"), "compared")
     drop_written(known)
     return compared
 
@@ -180,8 +181,7 @@ def _similar(docs: DataFrame, sets: DataFrame, candidates: DataFrame, words: int
     candidates = written(candidates.distinct(), "candidates")
     pairs = _may_be_similar(sets, candidates)
     drop_written(candidates)
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(sets.select("node", "text_hash").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash"), "wanted")
+    wanted = written(pairs.select(F.col("s").alias("text_hash")).unionAll(pairs.select(F.col("t").alias("text_hash"))).distinct(), "wanted")
 
     def whole(batches):
         shingles = hasher(words)
@@ -191,7 +191,7 @@ def _similar(docs: DataFrame, sets: DataFrame, candidates: DataFrame, words: int
 
     texts = docs.select(F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).join(wanted, "text_hash", "left_semi").select("text")
     full = written(texts.mapInArrow(whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "whole")
-    left = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    left = pairs.select("a", "b").join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def compare(batches):

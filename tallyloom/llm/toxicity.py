@@ -9,6 +9,7 @@ predictions, so a later model sees earlier ones as unsure as they will be on new
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -247,6 +248,19 @@ def _unseen(present: list[np.ndarray], y: np.ndarray, seen: np.ndarray, rest: np
     return _logistic(_Design.of(present, rest, chosen, earlier, many).times(w))
 
 
+def _alone(chain: Chain) -> Chain:
+    """``chain`` with features of its own: those it was learned with lie among all others and would keep their memory."""
+    chain.weights = [{f.encode().decode(): v for f, v in w.items()} for w in chain.weights]
+    return chain
+
+
+def _give_back() -> None:
+    """Hand what was freed back to the system, where the C library can: the driver goes on for long after a fit."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Chain:
     """A chain for ``labels.toxic`` from at most ``rows`` labelled documents of at most ``most_bytes`` bytes in all.
 
@@ -275,7 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes:
     found.sort(key=lambda r: (r["doc_id"], r["words"]), reverse=True)
     once = {r["doc_id"]: r for r in found}
     del found
-    return train((r["fold"], r["words"].split(), int(r["toxic"])) for _, r in sorted(once.items()))
+    chain = _alone(train((r["fold"], r["words"].split(), int(r["toxic"])) for _, r in sorted(once.items())))
+    del once
+    _give_back()
+    return chain
 
 
 def _with_probabilities(rows: DataFrame, chain: Chain) -> DataFrame:

@@ -253,3 +253,28 @@ def test_components_spend_no_round_on_stars(spark, monkeypatch):
     rounds.clear()
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*stars, (4, 5)], "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 if i % 3 == 0 else 1 for i in range(30)} and rounds.count("stars") <= 2
+
+
+def test_components_of_one_block_take_no_round(spark, monkeypatch):
+    """A long path took a round for every doubling, each with several shuffles to be planned; blocks of edges are stars before that."""
+    rounds = []
+    written = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or written(df, name))
+    path = [(i * 37 % 211, (i + 1) * 37 % 211) for i in range(150)]
+    links = [*path, (7, 7), *path[:9], (1000, -3), (-3, 1001)]
+    want = reachable({n for e in links for n in e}, links)
+    table = spark.createDataFrame(links, "a long, b long")
+    assert {r["node"]: r["component"] for r in connected_components(table, "a", "b").collect()} == want and rounds == ["edges"]
+    rounds.clear()
+    got = [(r["node"], r["component"]) for r in connected_components(table, "a", "b", block=20).collect()]
+    assert len(got) == len(want) and dict(got) == want and rounds[:2] == ["edges", "within"] and "stars" in rounds
+    assert connected_components(table.limit(0), "a", "b").count() == 0 == connected_components(spark.createDataFrame([(7, 7)], "a long, b long"), "a", "b").count()
+
+
+def test_a_task_makes_stars_of_blocks():
+    """A task holds a block or two, however many edges it gets, and loses no connection."""
+    rng = np.random.default_rng(5)
+    for many, block in ((1, 1), (300, 8), (300, 1000)):
+        a, b = rng.integers(-200, 200, (2, many))
+        nodes, least = components._stars_of(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist())) == reachable({*a.tolist(), *b.tolist()}, list(zip(a.tolist(), b.tolist())))

@@ -358,3 +358,14 @@ def test_chunks_cover_every_byte():
         raw = bytes(i % 255 + 1 for i in range(n))
         chunks = quality.chunks_of(raw)
         assert b"".join(c[: quality.STRIDE].tobytes() for c in chunks[:-1]) + chunks[-1].tobytes()[: n - (len(chunks) - 1) * quality.STRIDE] == raw
+
+
+def test_a_fitted_chain_has_features_of_its_own(spark, monkeypatch):
+    """The features it was learned with lie among all others in the driver's memory, which stayed taken as long as the chain."""
+    encoded, seen = toxicity._encoded, []
+    monkeypatch.setattr(toxicity, "_encoded", lambda rows: seen.append(encoded(rows)) or seen[-1])
+    table = spark.createDataFrame([(i, "stupid idiot" if i % 3 else "calm friendly letter") for i in range(60)], "doc_id long, text string")
+    chain = toxicity.fit(table, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, toxic int"))
+    own = {f: f for w in chain.weights for f in w}
+    (names, *_), = seen
+    assert own and own.keys() <= set(names) and not any(own.get(n) is n for n in names)
