@@ -50,6 +50,15 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join, both of whose sides grow with the input and therefore move by the key: neither is ever broadcast.
+
+    Spark would go by its estimates, which hold an exploded table for as large as what it was exploded from, and a file's rows for as large as
+    they are on disk.
+    """
+    return df.hint("merge")
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null one counting as empty."""
     return F.coalesce(F.col(col), F.lit(""))

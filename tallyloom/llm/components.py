@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, written
+from tallyloom.llm.common import drop_written, shuffled, written
 
 #: Edges that a task makes stars of at a time.
 BLOCK = 1 << 18
@@ -29,13 +29,13 @@ def _all_stars(edges: DataFrame) -> bool:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    joined = both.join(least, "a").where("b > a")
+    joined = both.join(shuffled(least), "a").where("b > a")
     return joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    joined = edges.join(shuffled(least), "a")
     pairs = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
     return pairs.select("e.a", "e.b").where("a > b").distinct()
 

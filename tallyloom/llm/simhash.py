@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, row_columns, text_of, with_row, written
+from tallyloom.llm.common import drop_written, row_columns, shuffled, text_of, with_row, written
 from tallyloom.llm.components import connected_components
 
 BYTES = 8
@@ -150,11 +150,11 @@ def links(fps: DataFrame, together: int = TOGETHER, paired: int = PAIRED_LIST, b
     spread = fps.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "fp")
     postings = _postings(spread, together)
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = written(postings.join(lists, "key"), "postings")
+    live = written(postings.join(shuffled(lists), "key"), "postings")
 
     short = live.where(F.col("n") <= paired)
     a, b = short.alias("a"), short.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = a.join(shuffled(b), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("lists")).where(F.col("lists") >= comb(MIN_SHARED, together))
     found = counted.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
 
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, together: int =
     component has none. An empty table gives an empty result.
     """
     docs_fp, labels = _labelled(docs, words, together, paired, block)
-    return docs_fp.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs_fp.join(shuffled(labels), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _labelled(docs: DataFrame, words: int, together: int, paired: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -182,11 +182,11 @@ def _labelled(docs: DataFrame, words: int, together: int, paired: int, block: in
     docs_fp = written(fingerprints(docs, words), "fingerprints")
     distinct = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = connected_components(links(distinct.select("fp"), together, paired, block), "a", "b")
-    members = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    members = distinct.join(shuffled(linked), distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     members = written(members, "members")
     drop_written(distinct)
     named = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    return docs_fp, written(members.join(named, "component").select("fp", "component", "component_id"), "labels")
+    return docs_fp, written(members.join(shuffled(named), "component").select("fp", "component", "component_id"), "labels")
 
 
 def keep_one_of_each_group(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -197,8 +197,8 @@ def keep_one_of_each_group(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataF
     """
     docs_fp, labels = _labelled(docs, words, TOGETHER, PAIRED_LIST, BLOCK)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id"), "text_hash")
-    stays = docs_fp.join(labels, "fp").groupBy("component").agg(F.min(order).alias("least")).select("least.*")
+    stays = docs_fp.join(shuffled(labels), "fp").groupBy("component").agg(F.min(order).alias("least")).select("least.*")
     own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id"), F.xxhash64(text_of()).alias("text_hash")]
     at = ["no_id", "the_id", "text_hash"]
-    kept = with_row(docs, *own).join(stays, at, "left_semi").dropDuplicates(at)
+    kept = with_row(docs, *own).join(shuffled(stays), at, "left_semi").dropDuplicates(at)
     return kept.select(*row_columns(kept))

@@ -71,6 +71,22 @@ def test_links_connect_all_within_three_bits(spark, together, paired, block):
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def test_simhash_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Postings are seventy rows a fingerprint and were broadcast as long as their fingerprints' file was small, all of them to the driver."""
+    plans = {}
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "written", lambda df, name, do=module.written: plans.update({name: plan_of(df)}) or do(df, name))
+    docs = spark.createDataFrame([(i, f"word{i % 40} and others {i % 3} of a text") for i in range(200)], SCHEMA)
+    found = simhash.near_duplicates(docs)
+    plans["result"] = plan_of(found)
+    plans["kept"] = plan_of(simhash.keep_one_of_each_group(docs))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert connected_components(chain, "a", "b", block=8).where("component = 0").count() == 61
+    assert {"postings", "edges", "within", "stars", "members", "labels"} <= plans.keys() and found.count() == 200
+    assert not [name for name, plan in plans.items() if "BroadcastExchange" in plan]
+
+
 def test_keep_one_of_each_group_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "x"), (2, "a b c d e", "y"), (3, "quite another text", "z")], "doc_id long, text string, row string")
     assert sorted(map(tuple, simhash.keep_one_of_each_group(docs).collect())) == [(1, "a b c d e", "x"), (3, "quite another text", "z")]
