@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, row_columns, text_of, with_row, written
+from tallyloom.llm.common import drop_written, row_columns, shuffled, text_of, with_row, written
 
 #: Index entries that a bucket holds before it is split.
 BUCKET_ENTRIES = 8192
@@ -125,9 +125,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     at = ["key", "n_bytes", "sha"]
     named = with_row(docs.where("doc_id IS NOT NULL"), *entry, F.col("doc_id").alias("the_id"))
     stays = index.where("keep_id IS NOT NULL").select(*at, F.col("keep_id").alias("the_id"))
-    kept = named.join(stays, [*at, "the_id"], "left_semi").dropDuplicates([*at, "the_id"])
+    kept = named.join(shuffled(stays), [*at, "the_id"], "left_semi").dropDuplicates([*at, "the_id"])
     # Tables mostly have no rows without an id, which their files' statistics tell before anything is read.
     nameless = with_row(docs.where("doc_id IS NULL"), *entry, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
     alone = index.where("keep_id IS NULL").select(*at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    one = nameless.join(alone, [*at, "salt"], "left_semi").dropDuplicates([*at, "salt"]).dropDuplicates(at)
+    one = nameless.join(shuffled(alone), [*at, "salt"], "left_semi").dropDuplicates([*at, "salt"]).dropDuplicates(at)
     return kept.select(*row_columns(kept)).unionByName(one.select(*row_columns(one)))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import simhash
-from tallyloom.llm.common import drop_written, row_columns, text_of, with_row, written
+from tallyloom.llm.common import drop_written, row_columns, shuffled, text_of, with_row, written
 from tallyloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -160,8 +160,8 @@ def _may_be_similar(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     known = sets.select("node", "size", "bitmap", "text_hash").join(nodes, "node", "left_semi").groupBy("node")
     known = known.agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.min("text_hash").alias("text_hash"))
     known = written(known, "bitmaps")
-    left = candidates.join(known.toDF("a", "m", "x", "s"), "a")
-    both = left.join(known.toDF("b", "n", "y", "t"), "b").select("a", "b", "s", "t", (F.col("m") + F.col("n")).alias("sizes"), "x", "y")
+    left = candidates.join(shuffled(known.toDF("a", "m", "x", "s")), "a")
+    both = left.join(shuffled(known.toDF("b", "n", "y", "t")), "b").select("a", "b", "s", "t", (F.col("m") + F.col("n")).alias("sizes"), "x", "y")
 
     def compare(batches):
         times, over = SIMILAR
@@ -191,8 +191,8 @@ def _similar(docs: DataFrame, sets: DataFrame, candidates: DataFrame, words: int
 
     texts = docs.select(F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).join(wanted, "text_hash", "left_semi").select("text")
     full = written(texts.mapInArrow(whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "whole")
-    left = pairs.select("a", "b").join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.select("a", "b").join(shuffled(full.select(F.col("node").alias("a"), F.col("shingles").alias("x"))), "a")
+    both = left.join(shuffled(full.select(F.col("node").alias("b"), F.col("shingles").alias("y"))), "b").select("a", "b", "x", "y")
 
     def compare(batches):
         times, over = SIMILAR
@@ -223,7 +223,7 @@ def _with_parts(live: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame
 
     ``most`` is the component of most in a list, ``centre`` its posting of the earliest place.
     """
-    own = live.join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
+    own = live.join(shuffled(parts.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
     own = written(own, "postings")
     groups = own.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct("pos", "node", "size")).alias("centre"))
     lists = groups.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by(F.struct("part", "centre"), F.struct("n", "part")).alias("m"))
@@ -233,7 +233,7 @@ def _with_parts(live: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame
 
 def _to_centres(own: DataFrame, lists: DataFrame) -> DataFrame:
     """``a, b``: every node that is apart from the component of most somewhere, and the centre of the largest such list."""
-    apart = own.join(lists, "key").where("part <> most").withColumn("own", F.struct("pos", "node", "size")).where(_can_be_similar("own", "centre"))
+    apart = own.join(shuffled(lists), "key").where("part <> most").withColumn("own", F.struct("pos", "node", "size")).where(_can_be_similar("own", "centre"))
     return apart.groupBy("node").agg(F.max_by("centre.node", F.struct("n", "key")).alias("c")).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
 
@@ -245,7 +245,7 @@ def _merged(live: DataFrame) -> DataFrame:
     """
     one, other = F.xxhash64("node"), F.xxhash64("node", F.lit(SEED))
     alike = live.groupBy("key").agg(F.xxhash64(F.min(one), F.min(other)).alias("list"))
-    once = live.join(alike, "key").groupBy("list", "node", "size").agg(F.min("pos").alias("pos"))
+    once = live.join(shuffled(alike), "key").groupBy("list", "node", "size").agg(F.min("pos").alias("pos"))
     merged = written(once.withColumnRenamed("list", "key"), "merged")
     drop_written(live)
     return merged
@@ -254,10 +254,10 @@ def _merged(live: DataFrame) -> DataFrame:
 def _by_fingerprint(sets: DataFrame) -> DataFrame:
     """``a, b``: nodes that SimHash links: each with the first of its fingerprint, and the firsts of linked fingerprints."""
     firsts = written(sets.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "firsts")
-    alike = sets.select("node", "fp").join(firsts.where("first < last").select("fp", "first"), "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    alike = sets.select("node", "fp").join(shuffled(firsts.where("first < last").select("fp", "first")), "fp").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = simhash.links(firsts.select("fp"))  # a pair may come more than once
     one, other = firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    across = near.join(one, "a").join(other, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = near.join(shuffled(one), "a").join(shuffled(other), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return alike.unionAll(across)
 
 
@@ -271,14 +271,14 @@ def components(docs: DataFrame, sets: DataFrame, words: int = SHINGLE_WORDS) ->
     """``node, component`` of all nodes of ``sets`` that are similar to another."""
     postings = sets.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    live = _merged(written(postings.join(shared, "key", "left_semi").distinct(), "live"))
+    live = _merged(written(postings.join(shuffled(shared), "key", "left_semi").distinct(), "live"))
     parts = _joined(None, _similar(docs, sets, _by_fingerprint(sets), words))
     parts = _joined(parts, _similar(docs, sets, _to_centres(*_with_parts(live, parts)), words))
     own, lists = _with_parts(live, parts)
-    rest = own.join(lists.select("key", "most"), "key")
+    rest = own.join(shuffled(lists.select("key", "most")), "key")
     x, y = rest.where("part <> most").alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & _can_be_similar("x", "y")
-    left = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    left = x.join(shuffled(y), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     return _joined(parts, _similar(docs, sets, left, words))
 
 
@@ -291,14 +291,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """
     members = _members(docs, words)
     named = written(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "named")
-    return members.join(named, "component").select("doc_id", "component_id")
+    return members.join(shuffled(named), "component").select("doc_id", "component_id")
 
 
 def _members(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, text_hash, component`` of every row."""
     sets = set_table(docs, words)
     linked = components(docs, sets, words).withColumnRenamed("node", "of")
-    ids = sets.select("doc_id", "text_hash", "node").join(linked, F.col("node") == F.col("of"), "left")
+    ids = sets.select("doc_id", "text_hash", "node").join(shuffled(linked), F.col("node") == F.col("of"), "left")
     members = written(ids.select("doc_id", "text_hash", F.coalesce("component", "node").alias("component")), "members")
     drop_written(sets)
     return members
@@ -315,5 +315,5 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     stays = members.groupBy("component").agg(F.min(order).alias("least")).select("least.*")
     own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("the_id"), F.xxhash64(text_of()).alias("text_hash")]
     at = ["no_id", "the_id", "text_hash"]
-    kept = with_row(docs, *own).join(stays, at, "left_semi").dropDuplicates(at)
+    kept = with_row(docs, *own).join(shuffled(stays), at, "left_semi").dropDuplicates(at)
     return kept.select(*row_columns(kept))

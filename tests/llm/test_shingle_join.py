@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from test_dedup import SCHEMA, reachable
 
-from tallyloom.llm import shingle_join, simhash
+from tallyloom.llm import components, exact, shingle_join, simhash
 
 
 def shingle_set(text):
@@ -63,6 +63,21 @@ def test_stage_drops_near_copies_at_four_fifths(spark):
     assert kept == ["(3, 'a b c d e f')", "(3, 'some third text stands here now')", "(None, 'other words of one text here')"]
 
 
+def test_only_hashes_are_ever_broadcast(spark, monkeypatch):
+    """What was joined was broadcast where its file, or that of what it was exploded from, was small; of the tables that grow only bare hashes may be, as their files do not compress."""
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (shingle_join, simhash, components, exact):
+        monkeypatch.setattr(module, "written", lambda df, name, do=module.written: plans.append((name, plan_of(df))) or do(df, name))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in copies().items()], "doc_id long, text string, row string")
+    kept = exact.drop_exact_duplicates(docs)
+    plans.append(("exact_dedup", plan_of(kept)))
+    plans.append(("near_dedup", plan_of(shingle_join.keep_one_of_each_group(kept))))
+    assert {"postings", "live", "merged", "lists", "compared", "whole", "similar", "parts", "edges", "members"} <= {name for name, _ in plans}
+    # Directories, which have a slot for thousands of texts, and hashes of nodes and wanted texts.
+    assert {name for name, plan in plans if "BroadcastExchange" in plan} <= {"directory", "index", "bitmaps", "whole"}
+
+
 def test_simhash_comes_first(spark, monkeypatch):
     """The stage's first candidates are what fingerprints within three bits connect; its result stays that of all pairs."""
     texts = copies()
