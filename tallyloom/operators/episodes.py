@@ -56,11 +56,11 @@ def linked_deposits(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return deposits, orphans.select(F.col("record_id").alias("bank_id"), F.col("amount_cents").alias("deposit_cents"), F.col("event_date").alias("posted_on"))
 
 
-def allocations(records: DataFrame, attachments: DataFrame, deposits: DataFrame) -> DataFrame:
-    """Cents of every deposit by episode, with ``is_rebate``."""
+def allocations(records: DataFrame, linked: DataFrame, deposits: DataFrame) -> DataFrame:
+    """Cents of every deposit by episode, with ``is_rebate``; ``linked`` are the records with their ``episode_id``, if they have any."""
     kinds = {"REMITTANCE_CLAIM_LINE": "LINE", "PROVIDER_LEVEL_ADJUSTMENT": "PLB", "REBATE_DISPENSE_LINE": "REBATE"}
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("record_kind"))
-    children = records.where(F.col("record_kind").isin(*kinds)).join(attachments.select("record_id", "episode_id"), "record_id", "left").select(
+    children = linked.where(F.col("record_kind").isin(*kinds)).select(
         F.col("parent_id").alias("document_id"), F.col("record_id").alias("child_id"), kind.alias("kind"), "amount_cents", "episode_id"
     )
     made = allocation.plan(deposits, children)
@@ -69,7 +69,7 @@ def allocations(records: DataFrame, attachments: DataFrame, deposits: DataFrame)
 
 
 def expected_amounts(all_episodes: DataFrame, terms: DataFrame) -> DataFrame:
-    """``episode_id, expected_cents, expected_rebate_cents, is_priced``; an episode without terms expects nothing and is not priced.
+    """The episodes with ``expected_cents, expected_rebate_cents, is_priced``; one without terms expects nothing and is not priced.
 
     ``terms``: ``payer, ndc, wac_cents, discount_bps, fee_cents, copay_cents, coinsurance_bps, acquisition_cents, ceiling_cents``.
     """
@@ -78,19 +78,24 @@ def expected_amounts(all_episodes: DataFrame, terms: DataFrame) -> DataFrame:
     rebate = expected_rebate(F.col("acquisition_cents"), F.col("ceiling_cents"), F.col("quantity_milli"))
     zero = F.lit(0).cast("long")
     priced = price["expected"].isNotNull()
-    return rows.select("episode_id", F.coalesce(price["expected"], zero).alias("expected_cents"), F.when(priced, F.coalesce(rebate, zero)).otherwise(zero).alias("expected_rebate_cents"), priced.alias("is_priced"))
+    return rows.select(*all_episodes.columns, F.coalesce(price["expected"], zero).alias("expected_cents"), F.when(priced, F.coalesce(rebate, zero)).otherwise(zero).alias("expected_rebate_cents"), priced.alias("is_priced"))
 
 
 def evidence(records: DataFrame, attachments: DataFrame, task_records: int = TASK_RECORDS) -> DataFrame:
-    """One row of folds for every episode, in a single grouped pass over its records.
+    """One row of folds for every episode from the records attached to it."""
+    parents = records.where("record_kind IN ('REMITTANCE', 'REBATE_BATCH')").select(F.col("record_id").alias("parent_id"), F.col("event_date").alias("issued_on"))
+    rows = records.join(attachments.select("record_id", "episode_id"), "record_id").join(parents, "parent_id", "left")
+    return folded(rows, attachments.count(), task_records)
+
+
+def folded(rows: DataFrame, many: int, task_records: int = TASK_RECORDS) -> DataFrame:
+    """The folds of about ``many`` records with their ``episode_id`` and ``issued_on``, the day of their document, in a single grouped pass.
 
     Records are dealt by episode to tasks of about ``task_records`` each, and what is joined by episode after that comes in as many.
     """
-    parents = records.where("record_kind IN ('REMITTANCE', 'REBATE_BATCH')").select(F.col("record_id").alias("parent_id"), F.col("event_date").alias("issued_on"))
-    rows = records.join(attachments.select("record_id", "episode_id"), "record_id").join(parents, "parent_id", "left")
     is_ = lambda *k: F.col("record_kind").isin(*k)
     line, plb, paid_rebate = is_("REMITTANCE_CLAIM_LINE"), is_("PROVIDER_LEVEL_ADJUSTMENT"), is_("REBATE_DISPENSE_LINE")
-    rows = rows.repartition(max(1, -(-attachments.count() // task_records)), "episode_id")
+    rows = rows.repartition(max(1, -(-many // task_records)), "episode_id")
     arrival = F.struct("received_at", "record_id")
     issued = F.struct(F.coalesce("issued_on", "received_at"), "received_at", "record_id")
     amount = F.col("amount_cents")
@@ -149,11 +154,11 @@ def own_links(records: DataFrame) -> DataFrame:
     return records.where("creates IS NOT NULL").select("record_id", F.col("record_id").alias("episode_id"), F.col("received_at").alias("attached_at"))
 
 
-def decided(known: DataFrame, base: DataFrame, attachments: DataFrame, made: DataFrame, terms: DataFrame, cursor: str) -> DataFrame:
-    """Verdicts of the episodes ``base`` from the records attached to them and their allocations."""
+def decided(base: DataFrame, found: DataFrame, made: DataFrame, terms: DataFrame, cursor: str) -> DataFrame:
+    """Verdicts of the episodes ``base`` from the evidence ``found`` for them and their allocations."""
     of = lambda rebate, sign: F.coalesce(F.sum(F.when((F.col("is_rebate") == rebate) & (F.col("allocated_cents") * sign > 0), F.col("allocated_cents") * sign)), F.lit(0))
     cash = made.where("episode_id IS NOT NULL").groupBy("episode_id").agg(of(False, 1).alias("cash_in"), of(False, -1).alias("cash_out"), of(True, 1).alias("rebate_in"), of(True, -1).alias("rebate_out"))
-    rows = base.join(expected_amounts(base, terms), "episode_id").join(evidence(known, attachments), "episode_id").join(cash, "episode_id", "left").na.fill(0, ["cash_in", "cash_out", "rebate_in", "rebate_out"])
+    rows = expected_amounts(base, terms).join(found, "episode_id").join(cash, "episode_id", "left").na.fill(0, ["cash_in", "cash_out", "rebate_in", "rebate_out"])
     rows = rules.composed(rules.classified(_decided(rows)), F.col("is_priced"))
     expected, rebate = rules.still_expected(F.col("expected_cents"), F.col("expected_rebate_cents"))
     return rows.select(
@@ -168,9 +173,9 @@ def evaluated(records: DataFrame, terms: DataFrame, cursor: str) -> dict[str, Da
     known = stored(records.where(F.col("received_at") <= cursor), "known_records")
     attachments, parked = crosswalk(known)
     deposits, orphans = linked_deposits(known)
-    made = stored(allocations(known, attachments, deposits), "allocations")
+    made = stored(allocations(known, known.join(attachments.select("record_id", "episode_id"), "record_id", "left"), deposits), "allocations")
     base = episodes(known)
-    verdicts = decided(known, base, attachments, made, terms, cursor)
+    verdicts = decided(base, evidence(known, attachments), made, terms, cursor)
     return {"verdicts": verdicts, "allocations": made, "deposits": deposits, "orphans": orphans, "attachments": attachments, "parked": parked, "episodes": base}
 
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.codes import MATCH_STRENGTH
 from tallyloom.operators import rules
 from tallyloom.operators.asof import latest
-from tallyloom.operators.episodes import allocations, decided, episodes, keyed_records, linked_deposits, own_links
+from tallyloom.operators.episodes import allocations, decided, episodes, folded, keyed_records, linked_deposits, own_links
 from tallyloom.operators.normalize import RECORD
 from tallyloom.sources.landing import discard, stored
 from tallyloom.streaming.pool import Pool
@@ -92,11 +92,11 @@ class Ledger:
 
         Cursors rise from call to call. A call that is repeated does its work again and leaves the same tables.
         """
-        batch = stored(batch.where(F.col("received_at") <= cursor), "batch")
         step = int(datetime.fromisoformat(cursor).timestamp())
         schema = ", ".join(f"{n} {t}" for n, t in RECORD.items()) + ", at_cursor string"
-        self._put(batch.withColumn("at_cursor", F.lit(cursor)), "records", "record_kind", "at_cursor")
+        self._put(batch.where(F.col("received_at") <= cursor).withColumn("at_cursor", F.lit(cursor)), "records", "record_kind", "at_cursor")
         records = self._read("records", schema).where(F.col("at_cursor") <= cursor)
+        batch = records.where(F.col("at_cursor") == cursor)
         every = keyed_records(records)
         moved = self.pool.advance(*keyed_records(batch), everything=(every[0], every[2]), step=step)
         links = self.pool.attachments().select("record_id", "episode_id").unionByName(own_links(records).select("record_id", "episode_id"))
@@ -119,26 +119,41 @@ class Ledger:
         self.evaluated = touched.count()
         if self.evaluated:
             self._evaluate(records, links, deposits, touched, cursor)
-        for done in (batch, documents, touched, moved):
+        for done in (documents, touched, moved):
             discard(done)
         return self.evaluated
 
     def _evaluate(self, records: DataFrame, links: DataFrame, deposits: DataFrame, touched: DataFrame, cursor: str) -> None:
-        own = links.join(touched, "episode_id", "left_semi")
-        mine = records.join(own.select("record_id"), "record_id", "left_semi")
-        documents = mine.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("document_id")).distinct()
-        of_document = records.join(documents, records["parent_id"] == documents["document_id"], "left_semi").unionByName(records.join(documents, records["record_id"] == documents["document_id"], "left_semi"))
-        known = stored(mine.unionByName(of_document).dropDuplicates(["record_id"]), "known")
-        near = stored(links.join(known.select("record_id"), "record_id", "left_semi"), "links")
-        made = stored(allocations(known, near, deposits.join(documents, "document_id", "left_semi")), "allocations")
-        base = episodes(known).join(touched, "episode_id", "left_semi")
-        rows = decided(known, base, near.join(touched, "episode_id", "left_semi"), made, self.terms, cursor)
+        known, documents = self._known(records, links, touched)
+        made = stored(allocations(known, known, deposits.join(documents, "document_id", "left_semi")), "allocations")
+        mine = known.where("touched")
+        found = folded(mine, mine.select("record_id").count())
+        rows = decided(episodes(mine), found, made, self.terms, cursor)
         rows = stored(self._reopened(rows), "verdicts")
         append_verdicts(rows, f"{self.folder}/verdicts")
         append_allocations(made.withColumn("cursor_at", F.lit(cursor)), f"{self.folder}/allocations")
-        for done in (known, near, made, rows):
+        for done in (known, documents, made, rows):
             discard(done)
 
+    def _known(self, records: DataFrame, links: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Records of the cases ``touched`` and of their documents, each once, with ``episode_id``, whether that one is ``touched``, and ``issued_on``, the day
+        of their document; and those documents.
+
+        All of it is found over ids, so that the records, which are wide, move once.
+        """
+        links = links.join(touched.withColumn("touched", F.lit(True)), "episode_id", "left")
+        own = links.where("touched").select("record_id")
+        child = records.where("parent_id IS NOT NULL").select("record_id", F.col("parent_id").alias("document_id"))
+        documents = stored(child.join(own, "record_id", "left_semi").select("document_id").distinct(), "of_cases")
+        of_document = child.join(documents, "document_id", "left_semi").select("record_id")
+        wanted = own.unionByName(of_document).unionByName(documents.select(F.col("document_id").alias("record_id"))).distinct()
+        issued = records.where("record_kind IN ('REMITTANCE', 'REBATE_BATCH')").select(F.col("record_id").alias("document_id"), F.col("event_date").alias("issued_on"))
+        issued = child.join(issued, "document_id").select("record_id", "issued_on")
+        placed = wanted.join(links, "record_id", "left").join(issued, "record_id", "left")
+        once = F.row_number().over(Window.partitionBy("record_id").orderBy("record_id"))
+        narrow = records.drop("looks_up", "trace", "source_system")  # nothing that follows reads them
+        return stored(narrow.join(placed, "record_id").withColumn("_n", once).where("_n = 1").drop("_n"), "known"), documents
+
     def _reopened(self, rows: DataFrame) -> DataFrame:
         """What each case fell back from: by its verdict before this one, whose own flag is carried on until it is closed."""
         try:

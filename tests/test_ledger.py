@@ -57,3 +57,17 @@ def test_a_case_has_one_verdict_a_cursor_and_lists_keep_to_their_words(spark, le
             append_verdicts(bad, f"{tmp_path}/v")
     with pytest.raises(RefusedAppend, match="basis"):
         append_allocations(spark.createDataFrame([("b", "GUESS", "c")], "bank_id string, basis string, cursor_at string"), f"{tmp_path}/a")
+
+
+def test_the_records_of_touched_cases_are_read_and_moved_once(spark, world, tmp_path, monkeypatch):  # noqa: F811
+    """They were read as a case's own, as a document's lines and as documents, and moved for each, for being kept once, and for three joins after that."""
+    from tallyloom.streaming import ledger as module
+
+    plans = {}
+    stored = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name, *by: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or stored(df, name, *by))
+    book = Ledger(spark, str(tmp_path / "ledger"), terms(spark))
+    assert book.advance(world[0], CURSORS[-1]) == 8
+    wide = [name for name, plan in plans.items() if "adjustments" in plan]
+    assert wide == ["known", "verdicts"] and sum("FileScan" in line and "adjustments" in line for line in plans["known"].splitlines()) == 1
+    assert sum("FileScan" in line and "adjustments" in line for line in plans["verdicts"].splitlines()) == 1 and "episode_id" in plans["known"]
